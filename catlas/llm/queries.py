@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, ngram_join, quality_crf, sharding
+from . import chat, decontam, mixing, ngram_join, pii, quality_crf, quality_forest, secret_scan, sharding, token_rollup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.copies().select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.count_all(_read(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(_read(spark, sf_dir, "documents"), leaves=24)
     return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -29,6 +33,36 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    judge = quality_forest.judge(quality_forest.train(docs, _read(spark, sf_dir, "labels")))
+    return docs.select("doc_id", judge("text").alias("v")).select("doc_id", *[f"v.{c}" for c in (*quality_forest.STATS, "base_failed", "kept", "anomaly")])
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    named = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(kinds, x["rank"] + 1), x["start"], x["end"])), ",")
+    counts = [F.size(F.filter("base", lambda x, i=i: x["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(named("base").cast("binary"), 256).alias("base_sha256"), named(every).alias("spans"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_read(spark, sf_dir, "conversations"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan_all(_read(spark, sf_dir, "documents"))
+    found = F.col("found")
+    return rows.select(
+        "doc_id",
+        *[secret_scan.number(found, k).alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.spans(found, secret_scan.BASE).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.spans(found).alias("spans"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,7 +83,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_crf": op2_quality_crf,
+    "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_personal_data": op6_personal_data,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_join": op10_ngram_join,
 }
