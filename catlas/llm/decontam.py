@@ -151,9 +151,11 @@ def _matches(row, queries: Queries, slack: int) -> tuple[np.ndarray, np.ndarray,
             w = np.repeat(some[s], counts[s])
             inner = np.arange(len(w)) - np.repeat(np.cumsum(counts[s]) - counts[s], counts[s])
             at = postings[np.repeat(offsets[slot[s]], counts[s]) + inner].astype(np.int64) - order[w, 0]
+            if slack:  # the rarest term may stand off its place as well
+                w, at = np.tile(w, 2 * slack + 1), np.concatenate([at + d for d in range(-slack, slack + 1)])
             keep = (at >= 0) & (at + span <= size)
             w, at = w[keep], at[keep]
-            for k in range(1, span):
+            for k in range(0 if slack else 1, span):
                 j = order[w, k]
                 want = words[w, j]
                 hit = line[at + j] == want
