@@ -149,11 +149,10 @@ def connected(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def verify(texts: list[str], left: np.ndarray, threshold: float, cache: _Words) -> tuple[np.ndarray, np.ndarray]:
+def verify(texts: list[str], blocks: np.ndarray, across: bool, threshold: float, cache: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Links between texts by full n-gram sets: (number per text, root index per text).
 
-    left: True for the first block's texts, False for the second's; without a
-    second block all pairs count, otherwise only those across.
+    across: only pairs of texts from different blocks count, otherwise all do.
     """
     grams, counts = ngrams(texts, cache)
     n = len(texts)
@@ -182,8 +181,8 @@ def verify(texts: list[str], left: np.ndarray, threshold: float, cache: _Words)
     union = sizes[:, None] + sizes[None, :] - shared
     linked = (shared > 0) & (shared >= threshold * union - 1e-6)
     np.fill_diagonal(linked, False)
-    if not left.all():
-        linked &= left[:, None] != left[None, :]
+    if across:
+        linked &= blocks[:, None] != blocks[None, :]
     root = np.arange(n)
     while True:
         nearest = np.where(linked, root[None, :], n).min(axis=1)
@@ -195,10 +194,9 @@ def verify(texts: list[str], left: np.ndarray, threshold: float, cache: _Words)
 
 
 def _verify_frame(threshold: float):
-    def flush(rows: list[tuple], cache: _Words) -> pd.DataFrame:
+    def flush(rows: list[tuple], across: bool, cache: _Words) -> pd.DataFrame:
         rows.sort(key=lambda r: bytes(r[0]))
-        i = rows[0][2]
-        links, root = verify([r[3] for r in rows], np.array([r[1] == i for r in rows]), threshold, cache)
+        links, root = verify([r[2] for r in rows], np.array([r[1] for r in rows]), across, threshold, cache)
         some = np.flatnonzero(links)
         return pd.DataFrame({"h": [rows[k][0] for k in some], "links": links[some], "root": [rows[root[k]][0] for k in some]})
 
@@ -208,12 +206,12 @@ def _verify_frame(threshold: float):
             for cluster, i, j, h, block, text in zip(batch["cluster"], batch["i"], batch["j"], batch["h"], batch["block"], batch["text"], strict=True):
                 if (cluster, i, j) != key:
                     if len(rows) > 1:
-                        yield flush(rows, cache)
+                        yield flush(rows, key[1] != key[2], cache)
                     rows, key = [], (cluster, i, j)
                 if not rows or rows[-1][0] != h:  # a repeated row (one id, one text) comes again; its class counts once
-                    rows.append((h, block, i, text))
+                    rows.append((h, block, text))
         if len(rows) > 1:
-            yield flush(rows, cache)
+            yield flush(rows, key[1] != key[2], cache)
 
     return run
 
