@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catlas.functions import fingerprints, redaction
 from catlas.functions import text as T
 from catlas.operators import catalogs, describing, health, planning, reading, sampling, structure
-from catlas.plans.workload import view, with_views
+from catlas.plans.workload import view
 from catlas.sources import postgres, sqlserver
 from catlas.sources.tables import Tables
 

@@ -38,7 +38,7 @@ VIEWS: dict[str, tuple[str, list[str], str]] = {
         "lineitem",
         [
             "concat('app', cast(l_partkey % 7 as string), '.obj', cast(l_partkey as string)) as key",
-            "l_orderkey * 10 + l_linenumber as ord",
+            "(l_orderkey * 10 + l_linenumber) * 1000000 + cast(floor(l_extendedprice) as bigint) % 1000000 as ord",
             "case when l_linenumber = 1 then 'Email' when l_linenumber = 2 then 'photo_blob' when l_linenumber = 3 then 'raw' else concat('col', cast(l_linenumber as string)) end as name",
             "case when l_linenumber = 3 then 'varbinary' when l_linenumber = 4 then 'varchar' else 'int' end as type",
             "case when l_linenumber = 4 then '(20)' else '' end as length",
