@@ -1,0 +1,139 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from catlas.functions import fingerprints, redaction
+from catlas.functions import text as T
+from catlas.schemas import STRUCTURE
+
+
+def column(spark, values, expression, kind="string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r["x"] for r in rows.orderBy("i").select("i", expression(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_trim_takes_all_unicode_space(spark):
+    assert column(spark, ["  a ", " b　\n", " c ", "d e", ""], T.trim) == ["a", "b", "c", "d e", ""]
+
+
+def test_normalise(spark):
+    bodies = ["SELECT 1\r\n", "\nSELECT 1   \n", "SELECT 1", "a \t\nb \r\n  c ", "", " \n "]
+    got = column(spark, bodies, T.normalise)
+    assert got == ["SELECT 1", "SELECT 1", "SELECT 1", "a\nb\n  c", "", ""]
+    want = ["\n".join(x.rstrip() for x in b.replace("\r\n", "\n").split("\n")).strip() for b in bodies]
+    assert got == want
+    assert column(spark, ["a\rb  "], T.normalise) == ["a\rb"]
+
+
+def test_flags_and_numbers(spark):
+    assert column(spark, ["1", "TRUE", " t ", "Yes", "y", "0", "no", "", None], T.flag) == [True] * 5 + [False] * 4
+    assert column(spark, ["7", "+7", "-7", " 7", "7.5", "x", "", None, "99999999999999999999"], T.number) == [7, 7, -7, 0, 0, 0, 0, 0, 0]
+
+
+def test_sizes(spark):
+    assert column(spark, [0, 16, 1023, 1024, 1536, 2048, 1048575, 58072064], T.size, "bigint") == ["0 KB", "16 KB", "1023 KB", "1 MB", "2 MB", "2 MB", "1024 MB", "55 GB"]
+
+
+def test_cells(spark):
+    assert column(spark, [" a\tb\nc\r ", "x"], T.cell) == ["a b c", "x"]
+    assert column(spark, ["a\tb\r\n" + "é" * 300], T.sample_cell) == ["a b\r " + "é" * 195]
+
+
+def test_split_type(spark):
+    got = column(spark, ["character varying(50)", "timestamp(3) without time zone", "text", "odd("], T.split_type)
+    assert [tuple(g) for g in got] == [("character varying", "(50)"), ("timestamp without time zone", "(3)"), ("text", ""), ("odd(", "")]
+
+
+def test_signatures(spark):
+    rows = [[("(returns)", "int", False), ("@id", "int", False), ("@t", "money", True)], []]
+    kind = "array<struct<name:string,type:string,output:boolean>>"
+    assert column(spark, rows, T.parameters, kind) == ["@id int, @t money out", ""]
+    assert column(spark, rows, T.returns, kind) == ["int", "table"]
+
+
+def test_ages(spark):
+    assert column(spark, [0.5, 1.2, 23.9, 24.0, 49.0], T.human_age, "double") == ["0 hours", "1 hour", "23 hours", "1 day", "2 days"]
+
+
+# Two tables whose digests are known.
+ORDERS = {
+    "columns": [("OrderID", "int", "", False, True, False), ("Status", "varchar", "(20)", True, False, False)],
+    "primary_key": ["OrderID"],
+    "foreign_keys": [("CustomerID", "app.Customers.CustomerID")],
+    "indexes": [("ixStatus", False, ["Status"])],
+    "parameters": [],
+    "definition": "",
+    "target": "",
+}
+
+
+def entry(spark, kind, rows, triggers=0, **change):
+    s = ORDERS | change
+    value = tuple(s[k] for k in ("columns", "primary_key", "foreign_keys", "indexes", "parameters", "definition", "target"))
+    return spark.createDataFrame([(kind, rows, triggers, value)], f"kind string, rows bigint, triggers int, s {STRUCTURE}")
+
+
+def print_of(spark, *args, **change):
+    df = entry(spark, *args, **change)
+    return df.select(fingerprints.fingerprint(F.col("kind"), F.col("s"), F.col("triggers"), F.col("rows")).alias("x")).first()["x"]
+
+
+def test_table_fingerprint(spark):
+    assert print_of(spark, "table", 5000) == "c579a797a1989ce8"
+    text = entry(spark, "table", 5000).select(fingerprints.canonical_table(F.col("s"), F.col("triggers"), F.col("rows")).alias("x")).first()["x"]
+    assert text.split("\n") == ["c OrderID int notnull id", "c Status varchar(20) null", "pk OrderID", "fk CustomerID -> app.Customers.CustomerID", "ix ixStatus Status", "tg 0", "rows 25"]
+
+
+def test_small_table_fingerprint(spark):
+    columns = [("id", "integer", "", False, False, False), ("name", "text", "", False, False, False), ("email_contact", "text", "", True, False, False)]
+    assert print_of(spark, "table", 3, columns=columns, primary_key=["id"], foreign_keys=[], indexes=[]) == "b8faf991d5fdbc5d"
+
+
+@pytest.mark.parametrize(("before", "after", "moves"), [(0, 100, True), (8, 9, True), (40, 60, False), (616802364, 617802364, False), (40, 10, True)])
+def test_depth_moves_the_fingerprint(spark, before, after, moves):
+    assert (print_of(spark, "table", before) != print_of(spark, "table", after)) == moves
+
+
+def test_other_kinds(spark):
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()[:16]
+    assert print_of(spark, "view", 0, definition="SELECT 1 \r\n") == digest("SELECT 1")
+    assert print_of(spark, "synonym", 0, target="other.dbo.T") == digest("other.dbo.T")
+    with pytest.raises(Exception, match="no fingerprint rule"):
+        print_of(spark, "queue", 0)
+
+
+REDACTIONS = [
+    ("SET @pwd = 'a b'; x", "SET @pwd = <redacted>; x", {"password": 1}),
+    ("DbPassword=abc, y", "DbPassword=<redacted>, y", {"password": 1}),
+    ("Data Source=srv; Initial Catalog=x", "Data Source=<redacted>; Initial Catalog=<redacted>", {"connection-string": 2}),
+    ("api-key=abc client_secret = \"d e\"", "api-key=<redacted> client_secret = <redacted>", {"api-key": 2}),
+    ("BEARER abcdefghijklm.x", "Bearer <redacted>", {"bearer-token": 1}),
+    ("bearer short", "bearer short", {}),
+    ("mail a.b@c-d.org now", "mail <email> now", {"email": 1}),
+    ("password=joe@host.org", "password=<redacted>", {"password": 1}),
+    ("SELECT password FROM t", "SELECT password FROM t", {}),
+    ("", "", {}),
+]
+
+
+def test_redaction(spark):
+    got = column(spark, [r[0] for r in REDACTIONS], redaction.redact)
+    assert [(g["text"], g["counts"]) for g in got] == [(t, c) for _, t, c in REDACTIONS]
+    assert column(spark, [{"email": 2, "api-key": 1}, {}], redaction.summary, "map<string,int>") == ["api-key 1, email 2", "none"]
+
+
+def test_personal_names(spark):
+    names = {"WorkEmail": "email", "fax": "phone", "SocialSecurityNo": "government-id", "dob": "birth", "dob_year": None, "AccessToken": "password", "full_name": "name", "PostalCode": "address", "iban": "financial", "Longitude": "location", "Photo": "biometric", "OrderID": None, "Status": None}
+    assert dict(zip(names, column(spark, list(names), redaction.classify), strict=True)) == names
+
+
+def test_types_never_sampled(spark):
+    assert column(spark, ["VarBinary ", "bytea", "int", "timestamp with time zone"], redaction.sampleable) == [False, False, True, True]
+
+
+def test_patterns_have_no_surprises():
+    for _, pattern, _ in redaction.RULES:
+        assert "\\b" not in pattern and "\\s" not in pattern
+        re.compile(pattern.replace("(?iu)", "(?i)"))
