@@ -217,9 +217,10 @@ def _verify_frame(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, group (the least id among its near
-    duplicates, its own if it has none), n_links (other texts at the threshold or
-    above) and n_copies (rows with its very text, itself included).
+    """One row per row of `docs`: id, h (its text's digest), group (the least id
+    among its near duplicates, its own if it has none), n_links (other texts at
+    the threshold or above), n_copies (rows with its very text, itself included)
+    and first (true for the rows of one id and text of each group).
 
     Equal texts are one class whatever their number; null counts as empty, and
     blank texts match only equal ones. Null ids sort before others. Rows with
@@ -259,9 +260,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("h").agg(F.sum("links").alias("n_links"))
     groups = connected(found.select(F.col("h").alias("a"), F.col("root").alias("b")))
     grouped = classes.select("h", "rep", "n_copies").join(groups.withColumnRenamed("node", "h"), "h", "left").join(links, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    least = grouped.filter("n_links is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    info = materialize(
-        grouped.join(least, "root", "left").select("h", F.when(F.col("n_links").isNull(), F.col("rep")).otherwise(F.col("least")).alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"),
-        "classes-found",
-    )
-    return signed.select("id", "h").join(info, "h").select("id", "group", "n_links", "n_copies")
+    own = F.struct(F.col("rep").alias("id"), "h")
+    least = grouped.filter("n_links is not null").groupBy("root").agg(F.min(own).alias("least"))
+    found = grouped.join(least, "root", "left").withColumn("least", F.coalesce("least", own))
+    info = materialize(found.select("h", "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "classes-found")
+    first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h"))
+    return signed.select("id", "h").join(info, "h").select("id", "h", F.col("least.id").alias("group"), "n_links", "n_copies", first.alias("first"))
