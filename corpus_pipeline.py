@@ -7,7 +7,7 @@ files are under its threshold and sorts and merges otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catlas.llm import decontam, mixing, ngram_join, quality_crf, sharding
@@ -26,24 +26,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.drop("__score")
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates keep the document with the least id.
-
-    Rows that share one id are told apart by nothing but their order; one stays.
-    """
-    found = ngram_join.near_duplicates(docs)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("group"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialize(kept.select(F.col("id").alias("__id"), (F.col("n") > 1).alias("__repeated")), "kept")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Of each group of near duplicates keep the document with the least id, once if its row is repeated."""
+    kept = ngram_join.near_duplicates(docs).filter("first").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialize(kept.select(F.col("id").alias("__id"), F.col("h").alias("__h"), (F.col("n") > 1).alias("__repeated")), "kept")
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest(F.col("text")) == F.col("__h")))
     once = joined.filter(~F.col("__repeated")).select(docs.columns)
-    return once.unionByName(joined.filter("__repeated").select(docs.columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(joined.filter("__repeated").dropDuplicates(["__id", "__h"]).select(docs.columns))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontam.decontaminate(docs, benchmark)
+    leaks = materialize(found.filter("n_hit > 0").select(F.col("id").alias("__id"), F.col("digest").alias("__h")).distinct(), "leaks")
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest(F.col("text")) == F.col("__h")), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = materialize(found.filter("n_hit > 0").select(F.col("id").alias("__id")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
