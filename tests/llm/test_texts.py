@@ -120,8 +120,9 @@ def test_repeated_rows_and_null_ids(spark):
     text = " ".join(map(str, range(80)))
     rows = [(1, text), (1, text), (2, text + " x"), (None, text + " y"), (1, "another text altogether")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted([tuple(r) for r in ngram_join.near_duplicates(frame).collect()], key=str)
-    assert len(got) == 5 and sum(r[2] == 2 for r in got) == 4
+    got = ngram_join.near_duplicates(frame).collect()
+    assert len(got) == 5 and sum(r["n_links"] == 2 for r in got) == 4
+    assert sorted((str(r["id"]), r["group"]) for r in got if r["first"]) == [("1", 1), ("None", None)]
 
 
 def test_banding_reaches_its_recall():
@@ -188,3 +189,32 @@ def test_rotation_masks_each_speaker(spark):
     assert [ann["text"][a:b] for a, b in spans] == ["Hi < |end|> é<|end|>\n"] and ann["n_masked"] == sum(b - a for a, b in spans)
     assert got[("bob", 1)]["mask"] == "" and got[("bob", 1)]["n_masked"] == 0
     assert chat.rotate(frame.limit(0)).count() == 0
+
+
+def test_pipeline_stages_keep_one_and_clean(spark):
+    import corpus_pipeline as P
+
+    text, leak = " ".join(map(str, range(80))), " ".join(f"leak{i}" for i in range(12))
+    rows = [(1, text, "en", "a", 3, "x"), (1, text, "en", "a", 3, "x"), (2, text + " more", "en", "a", 3, "x"), (3, "words " + leak, "fr", None, 3, "x"), (3, "clean words of one id", "fr", None, 3, "x"), (4, None, None, None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    one = P.keep_one_of_each(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in one) == [(1, text), (3, "clean words of one id"), (3, "words " + leak), (4, "")]
+    kept = P.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 2, 3, 4]
+    mixed = P.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    assert P.put_in_shards(spark, mixed, "").count() == mixed.count()
+    assert P.keep_one_of_each(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_runs_on_test_tables(spark):
+    import corpus_pipeline as P
+
+    data = "/root/testdata/sf0.001"
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    good = {r["doc_id"] for r in P.keep_good(spark, docs, data).select("doc_id").collect()}
+    assert sum(quality[i] for i in quality if i in good) >= 0.98 * sum(quality.values())
+    rows = P.run(spark, data).collect()
+    assert rows and {r["shard"] for r in rows} <= set(range(P.SHARDS)) and {r["doc_id"] for r in rows} <= good
