@@ -148,5 +148,46 @@ t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id:
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+""",
+    "op7_chat_formatting": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(floor(turn / 64)::BIGINT, -1) AS block
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+e AS (
+  SELECT t.*, speaker, role = speaker AS own,
+         '<|' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || '|>' || chr(10) AS head,
+         text || '<|end|>' || chr(10) AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+w AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, block ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto
+  FROM e)
+SELECT conv_id, speaker, block, count(*) AS n_turns, string_agg(head || body, '' ORDER BY upto) AS text,
+       coalesce(string_agg(CASE WHEN own THEN (upto - length(body)) || ':' || upto END, ',' ORDER BY upto), '') AS mask,
+       coalesce(sum(CASE WHEN own THEN length(body) END), 0)::BIGINT AS n_masked
+FROM w GROUP BY conv_id, speaker, block
+""",
+    "op8_secret_scan": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS (
+  SELECT r, t, 0 AS rank, 'assign' AS kind, 8 AS least, regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m,
+         regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS g,
+         string_split_regex(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gaps FROM d
+  UNION ALL SELECT r, t, 1, 'access', 16, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT r, t, 2, 'hex', 32, regexp_extract_all(t, '[0-9a-f]{32,}'), regexp_extract_all(t, '[0-9a-f]{32,}'), string_split_regex(t, '[0-9a-f]{32,}') FROM d
+  UNION ALL SELECT r, t, 3, 'github', 1, regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}'), regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}'), string_split_regex(t, 'gh[pousr]_[A-Za-z0-9]{36,}') FROM d
+  UNION ALL SELECT r, t, 4, 'private_key', 1, regexp_extract_all(t, '-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----'), string_split_regex(t, '-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----') FROM d),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM x WHERE len(m) > 0),
+f AS (
+  SELECT r, rank, kind, length(array_to_string(gaps[1:k], '')) + length(array_to_string(m[1:k - 1], '')) AS s, length(m[k]) AS n
+  FROM i WHERE length(g[k]) >= least),
+a AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(CASE WHEN rank < 3 THEN kind || ':' || s || ':' || (s + n) END, ',' ORDER BY s, rank) AS base,
+         string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS spans
+  FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
 """,
 }
