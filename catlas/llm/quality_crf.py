@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     At most `max_training` documents of each label go to the driver, the first
     by the key of their ids. Rows without a label or an id are not learnt from.
     """
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)").dropDuplicates(["__id"])
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.min("__y").alias("__y"))
     if held_out_fold:
         known = known.filter(~held_out(F.col("__id")))
     picked = []
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     if not picked:
         return fit([], [])
     wanted = docs.sparkSession.createDataFrame(picked, known.schema)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted), "__id").dropDuplicates(["__id"]).collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).collect()
     rows.sort(key=lambda r: str(r["__id"]))
     rows = [r for r in rows if (r["__text"] or "").strip()]
     return fit([r["__text"] for r in rows], [r["__y"] for r in rows])
