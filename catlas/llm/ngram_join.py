@@ -31,6 +31,8 @@ RECALL = 0.9999
 BLOCK_BYTES = 3_000_000
 #: Bytes of text whose signatures are computed at one time.
 CHUNK_BYTES = 2_000_000
+#: Parts into which the rows of one key are dealt before a join with a row per key.
+SALTS = 4
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = 96) -> tuple[int, int]:
@@ -125,6 +127,16 @@ def _signature_frame(bands: int, rows: int):
     return run
 
 
+def _salted(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on `key`, whose rows in `left` may be very many for one value, with one row per key in `right`.
+
+    The salt deals a value's rows to SALTS tasks, and since both sides are then
+    shuffled for the join alone, Spark can split what is still skewed.
+    """
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components: (node, root) of every node in `edges` (a, b); the root is the least node.
 
@@ -135,7 +147,7 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _salted(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
@@ -240,14 +252,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     # Band hashes: buckets of two or more classes, each class tied to its bucket's least.
     banded = classes.select("h", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).filter("n > 1")
-    edges = banded.join(shared, "bucket").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    edges = _salted(banded, shared, "bucket").select(F.col("h").alias("a"), F.col("least").alias("b"))
     clusters = materialize(connected(edges), "clusters").withColumnRenamed("root", "cluster").withColumnRenamed("node", "h")
 
     members = materialize(clusters.join(classes.select("h", "rep", "n_bytes"), "h"), "members")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n_bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = materialize(members.join(sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")), "placed")
+    placed = materialize(_salted(members, sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")), "placed")
     same_id = F.col("s.id").eqNullSafe(F.col("p.rep"))
-    texts = slim.alias("s").join(placed.alias("p"), (F.col("s.h") == F.col("p.h")) & same_id).select("p.cluster", "p.blocks", "p.block", "p.h", "s.text")
+    # One plan at every size: texts move once, and nothing depends on a broadcast that a larger corpus outgrows.
+    texts = slim.alias("s").join(placed.hint("merge").alias("p"), (F.col("s.h") == F.col("p.h")) & same_id).select("p.cluster", "p.blocks", "p.block", "p.h", "s.text")
     tasks = (
         texts.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("i", F.least("block", "x"))
@@ -262,7 +275,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     grouped = classes.select("h", "rep", "n_copies").join(groups.withColumnRenamed("node", "h"), "h", "left").join(links, "h", "left").withColumn("root", F.coalesce("root", "h"))
     own = F.struct(F.col("rep").alias("id"), "h")
     least = grouped.filter("n_links is not null").groupBy("root").agg(F.min(own).alias("least"))
-    found = grouped.join(least, "root", "left").withColumn("least", F.coalesce("least", own))
+    found = _salted(grouped, least, "root", "left").withColumn("least", F.coalesce("least", own))
     info = materialize(found.select("h", "least", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "classes-found")
     first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h"))
     return signed.select("id", "h").join(info, "h").select("id", "h", F.col("least.id").alias("group"), "n_links", "n_copies", first.alias("first"))
