@@ -1,8 +1,9 @@
 """From raw documents to shards: five stages, each over all its predecessor kept.
 
 Every stage but the last returns the columns of documents. Decisions are
-written before they are joined back, so Spark broadcasts them only when their
-files are under its threshold and sorts and merges otherwise.
+written before they are joined back; those that grow with the corpus are merged
+by sorting at every size, those that follow the benchmark or the sources are
+broadcast by Spark only while their files are under its threshold.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near duplicates keep the document with the least id, once if its row is repeated."""
     kept = ngram_join.near_duplicates(docs).filter("first").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"))
     kept = materialize(kept.select(F.col("id").alias("__id"), F.col("h").alias("__h"), (F.col("n") > 1).alias("__repeated")), "kept")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest(F.col("text")) == F.col("__h")))
+    joined = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (digest(F.col("text")) == F.col("__h")))
     once = joined.filter(~F.col("__repeated")).select(docs.columns)
     return once.unionByName(joined.filter("__repeated").dropDuplicates(["__id", "__h"]).select(docs.columns))
 
