@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_key, sortable
 
-#: Rows that one task orders at the end of a split or a slot count, on average.
+#: Rows that one task orders at the end of a split, on average.
 ROWS_PER_TASK = 20_000
+#: Rows of all shards in one prefix of the order key; slots are counted by shard and prefix.
+ROWS_PER_PREFIX = 2048
 DIMENSIONS = ("source", "lang", "length")
 
 
@@ -102,6 +104,7 @@ def kd_tree(rows: DataFrame, leaves: int) -> tuple[DataFrame, list[DataFrame]]:
             F.when(leaf | goes_left, F.col("lo")).otherwise(F.col("lo") + F.col("left_k")).alias("lo"),
             F.when(leaf, F.col("k")).when(goes_left, F.col("left_k")).otherwise(F.col("k") - F.col("left_k")).alias("k"),
         )
+        placed = materialize(placed, "shard-level")  # else each level would plan and broadcast all the splits above it anew
     return placed, splits
 
 
@@ -119,7 +122,7 @@ def shard(docs: DataFrame, target_bytes: int | None = None, leaves: int | None =
         leaves = max(1, math.ceil(total / (target_bytes or 1 << 30)))
     placed, _ = kd_tree(rows, leaves)
     placed = placed.withColumnRenamed("lo", "shard")
-    digits = max(1, min(6, math.ceil(math.log(max(2, rows.count() / leaves / ROWS_PER_TASK), 16))))
+    digits = max(1, min(6, math.ceil(math.log(max(2, rows.count() / ROWS_PER_PREFIX), 16))))
     placed = placed.withColumn("part", F.substring("key", 1, digits))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = materialize(counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n"), "shard-counts")
