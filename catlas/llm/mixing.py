@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import key_bin, materialize, shuffle_key, sortable, word_count
 
-#: Rows of one (source, bin) group that a task sorts, on average.
-ROWS_PER_BIN = 4096
+#: Rows of all sources in one range of the order key; a task sorts one source's part of it.
+ROWS_PER_BIN = 1024
 
 
 @dataclass
