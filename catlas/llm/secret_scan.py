@@ -14,10 +14,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,7 @@ class Ledger:
         current = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
         found = self.findings().filter(current[F.col("kind")] == F.col("version"))
         by_blob = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("rank"), "kind", "end"))).alias("found"))
+        by_blob = materialize(by_blob, "findings-by-blob")  # so that a blob of very many paths is a skewed join Spark can split
         paths = versions.select(*keep, blob_id(F.col(text_col)).alias("blob"))
         return paths.join(by_blob, "blob", "left")
 
@@ -131,8 +132,6 @@ def _pieces(rule: Rule) -> Column:
 
 def _located(hits: DataFrame, rule: Rule) -> DataFrame:
     """Findings in code points, end exclusive; matches that are too short are dropped."""
-    from pyspark.sql import Window
-
     each = hits.filter(F.col(rule.kind).isNotNull()).select("blob", F.posexplode(rule.kind).alias("at", "m"))
     upto = F.sum(F.col("m.gap") + F.col("m.size")).over(Window.partitionBy("blob").orderBy("at"))
     end = each.select("blob", "m", upto.cast("long").alias("end"))
