@@ -69,6 +69,17 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([own, before, after], axis=1), size, counts
 
 
+def chunked_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of all texts, with the words of CHUNK_BYTES of text in memory at one time."""
+    parts, at, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) + 1
+        if held >= CHUNK_BYTES or i == len(texts) - 1:
+            parts.append(line_features(texts[at : i + 1]))
+            at, held = i + 1, 0
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _by_step(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Texts from long to short, each one's first line, and how many have a line at each step."""
     order = np.argsort(-counts, kind="stable")
@@ -114,21 +125,20 @@ class LineField:
     scale: float = 1.0
     shift: float = 0.0
 
-    def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        features, size, counts = line_features(texts)
+    def lines(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """P(good) of each line."""
         advantage = features @ self.weights
-        good, _ = marginals(np.column_stack([-advantage / 2, advantage / 2]), self.trans, counts)
-        return good, size, counts
+        return marginals(np.column_stack([-advantage / 2, advantage / 2]), self.trans, counts)[0]
 
-    def raw(self, texts: list[str]) -> np.ndarray:
-        good, size, counts = self.lines(texts)
+    def raw(self, features: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        good = self.lines(features, counts)
         start = np.concatenate([[0], np.cumsum(counts)[:-1]])
         weight = size + 1e-9
         return np.add.reduceat(good * weight, start) / np.add.reduceat(weight, start)
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Scores of texts; those without a character but white space score 0."""
-        logit = self.scale * _logit(self.raw(texts)) + self.shift
+        logit = self.scale * _logit(self.raw(*line_features(texts))) + self.shift
         blank = np.array([not t.strip() for t in texts])
         return np.where(blank, 0.0, 1 / (1 + np.exp(-logit)))
 
@@ -148,7 +158,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 1e-5)
     if len(set(labels)) < 2:
         share = float(labels_.mean()) if len(labels) else 0.5
         return LineField(np.zeros(3 * OWN), np.zeros((2, 2)), 0.0, float(_logit(np.array([share]))[0]))
-    features, size, counts = line_features(texts)
+    features, size, counts = chunked_features(texts)
     y = np.repeat(labels_, counts)
     # each text weighs alike however many lines it has, and each label alike
     text_weight = np.where(labels_ == 1, 0.5 / (labels_ == 1).sum(), 0.5 / (labels_ == 0).sum())
@@ -168,7 +178,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 1e-5)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         parameters = parameters + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     field = LineField(parameters[:-4], parameters[-4:].reshape(2, 2))
-    x = _logit(field.raw(texts))
+    x = _logit(field.raw(features, size, counts))
     scale, shift = 1.0, 0.0
     for _ in range(50):  # Newton steps with a pull towards the uncalibrated score
         p = 1 / (1 + np.exp(-(scale * x + shift)))
