@@ -2,9 +2,11 @@
 
 Base spans (email, ip, card, phone) seed the method. Every seed and every other
 identifier-like word stands in lexical patterns: the two words before it, and the
-word before with the word after. Patterns and instances form a bipartite graph
-whose edges are counted over the whole corpus; Spark scores both sides in turns,
-and identifier-like words in patterns of high confidence become new spans.
+word before with the word after. Identifier-like are words with a digit or an @,
+runs of digit groups, and addresses that spell their at or dots. Patterns and
+instances form a bipartite graph whose edges are counted over the whole corpus;
+Spark scores both sides in turns, and what is identifier-like in patterns of
+high confidence becomes new spans.
 
 One pass over whole texts writes spans and occurrences; everything after that
 works on those slim rows.
@@ -13,11 +15,12 @@ works on those slim rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize
@@ -36,8 +39,19 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(WORD)
 _POSSIBLE = re.compile(r"[0-9@]")
-#: An identifier-like word has a digit or an @, and five characters or more between its outer marks.
-_LIKE = re.compile(r"(?=[^0-9@]*[0-9@])[\w@][^\s]{3,}[\w]")
+_TOKEN = re.compile(r"\S+")
+_FIRST = re.compile(r"[\w@]")
+_LINE_END = re.compile(r"[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+#: Least characters of an identifier-like word between its outer marks, and least digits of a run of groups.
+LEAST = 5
+_GROUP = re.compile(r"[0-9()+/.-]+")
+#: Words that may stand alone between the groups of a run.
+_BETWEEN = frozenset("-/\u2013")
+_AT = re.compile(r"(?<![^\W_])at(?![^\W_])", re.IGNORECASE)
+_AT_INSIDE = re.compile(r"[\[({<]at[\])}>]|(?<=[^\W_])(?:_at_|-at-)(?=[^\W_])", re.IGNORECASE)
+_DOTTED = re.compile(r"\w\.\w|\w[\[({<]dot[\])}>]\w|[^\W_](?:_dot_|-dot-)[^\W_]", re.IGNORECASE)
+_AT_WORDS = frozenset(("at", "[at]", "(at)", "{at}", "<at>"))
+_DOT_WORDS = frozenset(("dot", "[dot]", "(dot)", "{dot}", "<dot>"))
 
 
 def luhn(digits: str) -> bool:
@@ -93,25 +107,148 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
+def _core(text: str, start: int, end: int) -> tuple[int, int]:
+    """The part of a word between its outer marks; + and a parenthesis that open a number are kept."""
+    m = _FIRST.search(text, start, end)
+    if not m:
+        return start, start
+    s = m.start()
+    while end > s and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        end -= 1
+    if end > s and text[s] in "0123456789":
+        plus = parenthesis = False
+        while s > start:
+            if text[s - 1] == "+" and not plus:
+                plus = True
+            elif text[s - 1] == "(" and not parenthesis and text.find(")", s, end) >= 0:
+                parenthesis = True
+            else:
+                break
+            s -= 1
+    return s, end
+
+
+def _runs(text: str, tokens: list[tuple[int, int]], free: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Two or more neighbouring words of one line that are digits with the marks of phone numbers."""
+    out: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []
+    last, open_end = -3, False
+
+    def close() -> None:
+        if len(run) > 1 and sum(c in "0123456789" for c in text[run[0][0] : run[-1][1]]) >= LEAST:
+            out.append((run[0][0], run[-1][1]))
+        run.clear()
+
+    for k, (start, end) in enumerate(tokens):
+        if not _POSSIBLE.search(text, start, end):
+            continue
+        s, e = _core(text, start, end)
+        if s == e or not _GROUP.fullmatch(text, s, e) or not free(s, e):
+            continue
+        if s > start and e < end and text[s - 1] == "(" and text[e] == ")":
+            s, e = s - 1, e + 1
+            s -= s > start and text[s - 1] == "+"
+        near = last == k - 1 or (last == k - 2 and text[tokens[k - 1][0] : tokens[k - 1][1]] in _BETWEEN)
+        if not (near and open_end and s == start and not _LINE_END.search(text, tokens[last][1], start)):
+            close()
+        run.append((s, e))
+        last, open_end = k, e == end
+    close()
+    return out
+
+
+def _addresses(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Addresses that spell their at, in one word or several of one line: a bare word `at` needs a dot after it."""
+    starts = [s for s, _ in tokens]
+    cores: dict[int, tuple[int, int]] = {}
+
+    def core(k: int) -> tuple[int, int]:
+        if k not in cores:
+            cores[k] = _core(text, *tokens[k])
+        return cores[k]
+
+    def is_word(k: int, left: bool, right: bool) -> bool:
+        """Token k is no link, and has no mark on a side where the address goes on."""
+        if not 0 <= k < len(tokens):
+            return False
+        (s, e), (cs, ce) = tokens[k], core(k)
+        return cs < ce and not link(k, _AT_WORDS) and not link(k, _DOT_WORDS) and (not left or cs == s) and (not right or ce == e)
+
+    def link(k: int, words: frozenset[str]) -> bool:
+        return 0 <= k < len(tokens) and tokens[k][1] - tokens[k][0] <= 5 and text[slice(*tokens[k])].lower() in words
+
+    def one_line(k: int, j: int) -> bool:
+        return not _LINE_END.search(text, tokens[k][1], tokens[j][0])
+
+    out = []
+    done = -1
+    for m in _AT.finditer(text):
+        k = bisect_right(starts, m.start()) - 1
+        if k <= done:
+            continue
+        if link(k, _AT_WORDS):
+            first, final = k - 1, k + 1
+            if not (is_word(first, False, True) and is_word(final, True, False) and one_line(first, final)):
+                continue
+            bare = tokens[k][1] - tokens[k][0] == 2
+        elif is_word(k, False, False) and _AT_INSIDE.search(text, *core(k)):
+            first = final = k
+            bare = False
+        else:
+            continue
+        dotted = bool(_DOTTED.search(text, *core(final)))
+        while is_word(first, True, False) and link(first - 1, _DOT_WORDS) and is_word(first - 2, False, True) and one_line(first - 2, first):
+            first -= 2
+        while is_word(final, False, True) and link(final + 1, _DOT_WORDS) and is_word(final + 2, True, False) and one_line(final, final + 2):
+            final, dotted = final + 2, True
+        if dotted or not bare:
+            out.append((core(first)[0], core(final)[1]))
+            done = final
+    return out
+
+
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and identifier-like words with their patterns; rank is -1 for those that are no seed."""
+    """Seeds and what is identifier-like with their patterns; rank is -1 for those that are no seed.
+
+    A word inside a run of groups or a spelled address keeps only the patterns
+    that the longer one has not, so that no place counts twice for a pattern.
+    Runs and addresses don't cross line ends; [ at ] with inner blanks and an
+    identifier under five characters in one word are none.
+    """
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts = np.array([s for s, _ in words])
     ends = np.array([e for _, e in words])
-    found: list[tuple[int, int, int]] = list(spans)
     taken_from = np.array(sorted(s for s, _, _ in spans))
     taken_to = np.maximum.accumulate(np.array([e for _, e in sorted((s, e) for s, _, e in spans)])) if spans else taken_from
-    for s, e in words:
-        if m := _LIKE.match(text, s, e):
-            k = int(np.searchsorted(taken_from, m.end())) - 1
-            if k < 0 or taken_to[k] <= m.start():
-                found.append((m.start(), -1, m.end()))
+
+    def free(s: int, e: int) -> bool:
+        k = int(np.searchsorted(taken_from, e)) - 1
+        return k < 0 or bool(taken_to[k] <= s)
+
+    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    wide = sorted({x for x in (*_runs(text, tokens, free), *_addresses(text, tokens)) if free(*x)})
+    found: list[tuple[int, int, int]] = [*spans, *((s, -1, e) for s, e in wide)]
+    known = set(wide)
+    for start, end in tokens:
+        if _POSSIBLE.search(text, start, end):
+            s, e = _core(text, start, end)
+            if e - s >= LEAST and (s, e) not in known and free(s, e):
+                found.append((s, -1, e))
     out = []
-    for s, rank, e in found:
+    word = lambda k: text[words[k][0] : words[k][1]].lower()[:64] if 0 <= k < len(words) else "^"
+
+    def patterns(s: int, e: int) -> tuple[str, str]:
         i, j = int(np.searchsorted(ends, s, side="right")), int(np.searchsorted(starts, e))
-        word = lambda k: text[words[k][0] : words[k][1]].lower()[:64] if 0 <= k < len(words) else "^"
-        for pattern in (f"{word(i - 2)} {word(i - 1)} _", f"{word(i - 1)} _ {word(j)}"):
-            out.append({"start": s, "end": e, "rank": rank, "value": text[s:e].lower()[:256], "pattern": pattern})
+        return f"{word(i - 2)} {word(i - 1)} _", f"{word(i - 1)} _ {word(j)}"
+
+    longer_from = [s for s, _ in wide]
+    for s, rank, e in found:
+        k = bisect_right(longer_from, s) - 1
+        inside = rank < 0 and k >= 0 and (s, e) not in known and e <= wide[k][1]
+        held = patterns(*wide[k]) if inside else ()
+        for pattern in patterns(s, e):
+            if pattern not in held:
+                out.append({"start": s, "end": e, "rank": rank, "value": text[s:e].lower()[:256], "pattern": pattern})
     return out
 
 
@@ -127,7 +264,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for text in batch["text"]:
                 spans = base_spans(text)
                 bases.append([{"start": s, "rank": r, "end": e} for s, r, e in spans])
-                seen.append(occurrences(text, spans) if text and _POSSIBLE.search(text) else [])
+                seen.append(occurrences(text, spans) if text and (_POSSIBLE.search(text) or _AT.search(text)) else [])
             yield pd.DataFrame({"id": batch["id"], "base": bases, "seen": seen})
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -167,8 +304,9 @@ def score_patterns(extracted: DataFrame, rounds: int = ROUNDS, confidence: float
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """One row per document: id, base and added, sorted (start, rank, end) spans in code points.
 
-    `added` spans are identifier-like words, without overlap with base spans, in
-    a pattern of high confidence; their rank is that of the pattern's kind.
+    `added` spans are identifier-like words, runs and addresses, without overlap
+    with base spans, in a pattern of high confidence; their rank is that of the
+    pattern's kind. Those that overlap become one, with the rank of the longest.
     Null and empty texts have no spans; repeated rows are each returned; an
     empty table gives no rows.
     """
@@ -176,6 +314,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     patterns = materialize(score_patterns(extracted, rounds, confidence, support), "pii-accepted")
     new = extracted.select("row", F.explode("seen").alias("o")).filter("o.rank < 0").select("row", "o.pattern", "o.start", "o.end").join(patterns, "pattern")
     once = new.groupBy("row", "start", "end").agg(F.max_by("kind_rank", F.struct("confidence", -F.col("kind_rank"))).alias("rank"))
-    added = once.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("added"))
+    in_row = Window.partitionBy("row").orderBy("start", "end")
+    before = F.max("end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    apart = once.withColumn("apart", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).withColumn("part", F.sum("apart").over(in_row))
+    longest = F.max_by("rank", F.struct(F.col("end") - F.col("start"), -F.col("start")))
+    merged = apart.groupBy("row", "part").agg(F.min("start").alias("start"), longest.alias("rank"), F.max("end").alias("end"))
+    added = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("added"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     return extracted.select("row", "id", "base").join(added, "row", "left").select("id", "base", F.coalesce("added", empty).alias("added"))

@@ -57,6 +57,60 @@ def test_context_finds_unseen_identifiers(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+HIDDEN = {
+    "(user77[at]hidden9)": "user77[at]hidden9",
+    "<user77[at]hidden9>": "user77[at]hidden9",
+    '"user77[at]hidden9"': "user77[at]hidden9",
+    "user77[at]hidden9,": "user77[at]hidden9",
+    "+49/30/123456": "+49/30/123456",
+    "(212)555/0100": "(212)555/0100",
+    "((212)555/0100).": "(212)555/0100",
+    "jane.doe[at]example.org": "jane.doe[at]example.org",
+    "(jane.doe(at)example(dot)org)": "jane.doe(at)example(dot)org",
+    "jane.doe [at] example [dot] org": "jane.doe [at] example [dot] org",
+    "jane dot doe at example dot org": "jane dot doe at example dot org",
+    '"jane.doe at example.org"': "jane.doe at example.org",
+    "0151 555 123": "0151 555 123",
+    "(0151 555 / 123456).": "0151 555 / 123456",
+    "(212) 555 0100": "(212) 555 0100",
+    "\u00a0user77[at]hidden9": "user77[at]hidden9",
+}
+
+
+@pytest.mark.parametrize("written", list(HIDDEN))
+def test_marks_and_blanks_hide_no_identifier(written):
+    text = f"Contact mail to: {written} and go on"
+    seen = pii.occurrences(text, pii.base_spans(text))
+    at = text.index(HIDDEN[written])
+    span = (at, at + len(HIDDEN[written]))
+    after = "contact mail" if written[0] == "\u00a0" else "mail to:"
+    first = [(x["start"], x["end"]) for x in seen if x["rank"] < 0 and x["pattern"] == f"{after} _"]
+    assert first == [span] or written[0] == "\u00a0" and span in [(x["start"], x["end"]) for x in seen]
+    assert span in [(x["start"], x["end"]) for x in seen if x["pattern"].endswith("_ and")]
+
+
+def test_prose_is_not_like_an_identifier():
+    for text in ("we looked at the house. Then at night", "page 12 and 13 of 7", "in 2019. 45 people", "1 2\n3 4"):
+        assert pii.occurrences(text, pii.base_spans(text)) == [], text
+
+
+def test_candidates_of_long_runs_are_linear():
+    for text in ("(" * 300_000 + "1", "1" + ")" * 300_000, "1 " * 100_000, "at " * 100_000, "a at b dot " * 20_000, "a.b at " * 30_000, "x" + " " * 300_000 + "at b.c"):
+        pii.occurrences(text, [])
+
+
+def test_hidden_identifiers_become_spans(spark):
+    rows = [(i, f"Some words here. Contact mail to: user{i}@host.example.com and go on") for i in range(80)]
+    hidden = [x for x in HIDDEN if x[0] != "\u00a0"]
+    rows += [(100 + i, f"Other words. Contact mail to: {x} and go on") for i, x in enumerate(hidden)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["id"]: [r0["start"] for r0 in r["added"]] and [(x["start"], x["end"]) for x in r["added"]] for r in pii.find(docs).collect()}
+    for i, x in enumerate(hidden):
+        text = rows[80 + i][1]
+        at = text.index(HIDDEN[x])
+        assert found[100 + i] == [(at, at + len(HIDDEN[x]))], x
+
+
 def test_clean_documents_get_no_added_spans(spark):
     rows = queries.op6_personal_data(spark, "/root/testdata/sf0.01").collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
