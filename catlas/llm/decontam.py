@@ -26,6 +26,8 @@ from .common import materialize
 
 #: Words of one test window.
 WINDOW = 10
+#: Words that a term of a proximity match may stand off its place.
+NEAR_SLACK = 1
 #: Characters of test items that one search holds on the driver and in each task.
 MAX_ITEM_CHARS = 20_000_000
 #: Bytes of text in one block of the index.
@@ -140,6 +142,7 @@ def _matches(row, queries: Queries, slack: int) -> tuple[np.ndarray, np.ndarray,
     pairs = [np.zeros((0, 2), dtype=np.int64)]
     for words, order, anchors, by_anchor, item_starts, item_names in queries.ready:
         span = words.shape[1]
+        off = min(slack, span - 1)  # a single word has no place to stand off from
         slot = np.searchsorted(terms, anchors)
         there = slot < len(terms)
         there[there] = terms[slot[there]] == anchors[there]
@@ -150,34 +153,40 @@ def _matches(row, queries: Queries, slack: int) -> tuple[np.ndarray, np.ndarray,
         for s in slices:
             w = np.repeat(some[s], counts[s])
             inner = np.arange(len(w)) - np.repeat(np.cumsum(counts[s]) - counts[s], counts[s])
-            at = postings[np.repeat(offsets[slot[s]], counts[s]) + inner].astype(np.int64) - order[w, 0]
-            if slack:  # the rarest term may stand off its place as well
-                w, at = np.tile(w, 2 * slack + 1), np.concatenate([at + d for d in range(-slack, slack + 1)])
-            keep = (at >= 0) & (at + span <= size)
-            w, at = w[keep], at[keep]
-            for k in range(0 if slack else 1, span):
+            held = postings[np.repeat(offsets[slot[s]], counts[s]) + inner].astype(np.int64)
+            at = held - order[w, 0]
+            low = starts[text_of[held]]
+            high = low + lengths[text_of[held]]
+            if off:  # the rarest term may stand off its place as well
+                times = 2 * off + 1
+                w, low, high, at = np.tile(w, times), np.tile(low, times), np.tile(high, times), np.concatenate([at + d for d in range(-off, off + 1)])
+            else:
+                keep = (at >= low) & (at + span <= high)
+                w, at, low, high = w[keep], at[keep], low[keep], high[keep]
+            for k in range(0 if off else 1, span):
                 j = order[w, k]
                 want = words[w, j]
-                hit = line[at + j] == want
-                for d in range(1, slack + 1):
-                    for near in (at + j - d, at + j + d):
-                        ok = (near >= 0) & (near < size)
-                        hit[ok] |= line[near[ok]] == want[ok]
-                w, at = w[hit], at[hit]
-            same = text_of[at] == text_of[at + span - 1] if len(at) else np.zeros(0, dtype=bool)
-            w, at = w[same], at[same]
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + span, -1)
+                hit = np.zeros(len(w), dtype=bool)
+                for d in range(-off, off + 1):  # within the candidate's own text
+                    near = at + j + d
+                    ok = (near >= low) & (near < high)
+                    hit[ok] |= line[near[ok]] == want[ok]
+                w, at, low, high = w[hit], at[hit], low[hit], high[hit]
+            first, beyond = np.maximum(at, low), np.minimum(at + span, high)
+            np.add.at(edges, first, 1)
+            np.add.at(edges, beyond, -1)
             n = item_starts[w + 1] - item_starts[w]
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.unique(np.column_stack([np.repeat(text_of[at], n), item_names[np.repeat(item_starts[w], n) + inner]]), axis=0))
+            pairs.append(np.unique(np.column_stack([np.repeat(text_of[first], n), item_names[np.repeat(item_starts[w], n) + inner]]), axis=0))
     return starts, lengths, np.cumsum(edges[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0)
 
 
 def search(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
     """One row per text: id, digest, n_words, hits (disjoint [start, end) word
     ranges inside any match) and items (their names). With slack 0 a match is the
-    exact phrase; otherwise each term may stand up to `slack` words off its place."""
+    exact phrase; otherwise each term may stand up to `slack` words off its place,
+    also where the window's ends reach over the text's, but less than the window
+    has words; hits are then the words at the window's place."""
     id_type = index.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("digest", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
 

@@ -76,6 +76,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches, exact ones among them: each term of a window stands at most NEAR_SLACK words off its place."""
+    found = decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), slack=decontam.NEAR_SLACK)
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.col("n_hit").alias("n_near"), F.array_join("items", ",").alias("near_items"), (F.col("n_hit") > 0).alias("near"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("group").alias("class_id"), "n_links", "n_copies")
@@ -91,6 +97,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
+    "op9_near_matches": op9_near_matches,
     "op10_ngram_join": op10_ngram_join,
 }
 

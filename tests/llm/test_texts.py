@@ -57,6 +57,46 @@ def test_proximity_allows_moved_words(spark):
     assert hits(1) == {1: True, 2: True, 3: False}
 
 
+def brute_near(docs, items, slack, size=10):
+    words = lambda t: decontam.words_of(t)
+    out = []
+    for ident, text in docs:
+        have, hit, names = words(text), set(), set()
+        for name, item in items:
+            want = words(item)
+            n = min(size, len(want))
+            off = min(slack, n - 1)
+            for i in range(len(want) - n + 1 if n else 0):
+                for at in range(-off, len(have) - n + off + 1):
+                    if all(any(0 <= at + j + d < len(have) and have[at + j + d] == want[i + j] for d in range(-off, off + 1)) for j in range(n)):
+                        hit |= set(range(max(at, 0), min(at + n, len(have))))
+                        names.add(str(name))
+        out.append((ident, len(have), len(hit), sorted(names)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("slack", [1, 2])
+def test_proximity_equals_brute_force(spark, slack):
+    docs, items = small_corpus()
+    docs = [*docs, (300, "the cat dog"), (301, "p q"), (302, "r s"), (303, "v u t")]
+    items = [*items, (20, "the cat the dog"), (21, "q r s"), (22, "t u v")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)  # one block of all texts
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["id"], r["n_words"], r["n_hit"], list(r["items"])) for r in decontam.decontaminate(frame, bench, slack=slack).collect()), key=str)
+    assert got == brute_near(docs, items, slack)
+
+
+def test_near_query_returns_swapped_words(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, item), (2, item.replace("four five", "five four")), (3, item.replace("four", "other"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = {r["doc_id"]: (r["near"], r["n_near"], r["near_items"]) for r in queries.QUERIES["op9_near_matches"](spark, str(tmp_path)).collect()}
+    assert near == {1: (True, 10, "1"), 2: (True, 10, "1"), 3: (False, 0, "")}
+    exact = {r["doc_id"]: r["contaminated"] for r in queries.QUERIES["op9_decontamination"](spark, str(tmp_path)).collect()}
+    assert exact == {1: True, 2: False, 3: False}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
