@@ -221,8 +221,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """One row per document: id, digest, n_words, n_hit, items (sorted as strings).
 
     Null and empty texts have no words and no hits; items without words match
-    nothing; an item shorter than the window is one window. Repeated rows are
-    each returned. Empty tables give no rows or no hits.
+    nothing; an item shorter than the window is one window, and one of several
+    rows is listed once. Repeated rows are each returned. Empty tables give no rows or no hits.
     """
     parts = []
     for queries in item_blocks(benchmark, window=window):
@@ -237,4 +237,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         found = found.groupBy("id", "digest").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("n"))
         found = found.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
     covered = F.expr("aggregate(array_sort(hits), named_struct('n', 0L, 'upto', 0L), (a, h) -> named_struct('n', a.n + greatest(0L, h.e - greatest(h.s, a.upto)), 'upto', greatest(a.upto, h.e)), a -> a.n)")
-    return found.select("id", "digest", "n_words", covered.alias("n_hit"), F.array_sort("items").alias("items"))
+    return found.select("id", "digest", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))

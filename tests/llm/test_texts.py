@@ -57,6 +57,18 @@ def test_proximity_allows_moved_words(spark):
     assert hits(1) == {1: True, 2: True, 3: False}
 
 
+@pytest.mark.parametrize("bound", [decontam.MAX_ITEM_CHARS, 20])
+def test_repeated_items_are_listed_once(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "MAX_ITEM_CHARS", bound)
+    docs, items = small_corpus()
+    items = [*items, items[1], (1, "a B c"), (1, "start"), items[0]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["id"], r["n_words"], r["n_hit"], list(r["items"])) for r in decontam.decontaminate(frame, bench).collect()), key=str)
+    want = [(i, n, h, sorted(set(names))) for i, n, h, names in brute_windows(docs, items)]
+    assert got == sorted(want, key=str)
+
+
 def brute_near(docs, items, slack, size=10):
     words = lambda t: decontam.words_of(t)
     out = []
