@@ -148,10 +148,11 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 1e-5) -> LineField:
+def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 1e-5, stands_for: tuple[float, float] = (1.0, 1.0)) -> LineField:
     """Maximise the conditional likelihood of the lines' labels by Adam.
 
-    Both labels weigh alike in training, the calibration restores their shares.
+    Both labels weigh alike in training, the calibration restores their shares:
+    there each text of label y counts as the `stands_for[y]` it was drawn from.
     Without documents of both labels every text scores the one label's share.
     """
     labels_ = np.asarray(labels)
@@ -180,10 +181,11 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 1e-5)
     field = LineField(parameters[:-4], parameters[-4:].reshape(2, 2))
     x = _logit(field.raw(features, size, counts))
     scale, shift = 1.0, 0.0
+    number = np.where(labels_ == 1, stands_for[1], stands_for[0])
     for _ in range(50):  # Newton steps with a pull towards the uncalibrated score
         p = 1 / (1 + np.exp(-(scale * x + shift)))
-        g = np.array([((labels_ - p) * x).sum() - 0.1 * (scale - 1), (labels_ - p).sum() - 0.1 * shift])
-        r = p * (1 - p)
+        g = np.array([(number * (labels_ - p) * x).sum() - 0.1 * (scale - 1), (number * (labels_ - p)).sum() - 0.1 * shift])
+        r = number * p * (1 - p)
         h = np.array([[(r * x * x).sum() + 0.1, (r * x).sum()], [(r * x).sum(), r.sum() + 0.1]])
         d = np.linalg.solve(h, g)
         scale, shift = scale + float(np.clip(d[0], -1, 1)), shift + float(np.clip(d[1], -1, 1))
@@ -194,11 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     """Fit on labelled documents outside the held-out fold (crc32 of the id mod 5 is 0).
 
     At most `max_training` documents of each label go to the driver, the first
-    by the key of their ids. Rows without a label or an id are not learnt from.
+    by the key of their ids; all are counted, so that the cap leaves the shares
+    of the labels in the score as they are. Rows without a label or an id are not learnt from.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.min("__y").alias("__y"))
     if held_out_fold:
         known = known.filter(~held_out(F.col("__id")))
+    totals = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands_for = tuple(max(1.0, totals.get(y, 0) / max_training) for y in (0, 1))
     picked = []
     for y in (0, 1):
         some = known.filter(F.col("__y") == y).withColumn("__key", shuffle_key(F.col("__id"))).orderBy("__key", "__id").limit(max_training)
@@ -209,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).collect()
     rows.sort(key=lambda r: str(r["__id"]))
     rows = [r for r in rows if (r["__text"] or "").strip()]
-    return fit([r["__text"] for r in rows], [r["__y"] for r in rows])
+    return fit([r["__text"] for r in rows], [r["__y"] for r in rows], stands_for=stands_for)
 
 
 def held_out(ident: Column) -> Column:

@@ -58,6 +58,14 @@ def test_scores_of_odd_rows(spark):
     assert empty.select(quality_crf.scorer(quality_crf.train(empty, labels.limit(0)))("text")).count() == 0
 
 
+def test_cap_keeps_the_shares_of_labels(spark):
+    docs = spark.createDataFrame([(i, "The same words in every text.") for i in range(700)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(700)], "doc_id long, quality int").coalesce(1)
+    for cap in (50, 1000):
+        model = quality_crf.train(docs, labels, max_training=cap, held_out_fold=False)
+        assert abs(model.score(["The same words in every text."])[0] - 6 / 7) < 0.02, cap
+
+
 def brute_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
