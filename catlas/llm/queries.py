@@ -183,7 +183,7 @@ x AS (
   UNION ALL SELECT r, t, 1, 'access', 16, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
   UNION ALL SELECT r, t, 2, 'hex', 32, regexp_extract_all(t, '[0-9a-f]{32,}'), regexp_extract_all(t, '[0-9a-f]{32,}'), string_split_regex(t, '[0-9a-f]{32,}') FROM d
   UNION ALL SELECT r, t, 3, 'github', 1, regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}'), regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}'), string_split_regex(t, 'gh[pousr]_[A-Za-z0-9]{36,}') FROM d
-  UNION ALL SELECT r, t, 4, 'private_key', 1, regexp_extract_all(t, '-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----'), string_split_regex(t, '-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----') FROM d),
+  UNION ALL SELECT r, t, 4, 'private_key', 1, regexp_extract_all(t, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,4}-----END [A-Z0-9 ]*PRIVATE KEY-----)?'), regexp_extract_all(t, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,4}-----END [A-Z0-9 ]*PRIVATE KEY-----)?'), string_split_regex(t, '-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,4}-----END [A-Z0-9 ]*PRIVATE KEY-----)?') FROM d),
 i AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM x WHERE len(m) > 0),
 f AS (
   SELECT r, rank, kind, length(array_to_string(gaps[1:k], '')) + length(array_to_string(m[1:k - 1], '')) AS s, length(m[k]) AS n

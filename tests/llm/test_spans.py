@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from catlas.llm import pii, queries, secret_scan
 
@@ -175,6 +177,49 @@ def test_extra_rules_add_spans(spark):
     assert [(text[x["start"] : x["end"]][:6], x["kind"]) for x in row["found"]] == [("ghp_a1", "github"), ("-----B", "private_key")]
 
 
+def test_private_key_is_found_whole(spark):
+    key = "-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\nMIIB+/=\n-----END EC PRIVATE KEY-----"
+    texts = [f"x {key} y", "-----BEGIN PRIVATE KEY-----\nno end", key + key, "-----BEGIN PUBLIC KEY-----"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["found"] or []] for r in secret_scan.scan_all(docs).collect()}
+    assert got == {0: [(2, 2 + len(key))], 1: [(0, 27)], 2: [(0, len(key)), (len(key), 2 * len(key))], 3: []}
+
+
+#: A piece that each rule might run on for ever from, repeated to a megabyte.
+ADVERSARIAL = {
+    "assign": ["password", "password ", "token=\"", "secret:" + " " * 50, "a.b="],
+    "access": ["AKIA", "AKIAQ-"],
+    "hex": ["0123456789abcde", "0123456789abcdef0123456789abcde "],
+    "github": ["ghp_", "ghp_a1"],
+    "private_key": [" A", "-----BEGIN ", "-----BEGIN A PRIVATE KEY-----", "-----BEGIN A PRIVATE KEY-----\n-", "- PRIVATE KEY-----"],
+}
+
+
+def test_long_adversarial_texts_are_scanned(spark):
+    rows = [(kind, (piece * (1_000_000 // len(piece)))) for kind, pieces in ADVERSARIAL.items() for piece in pieces]
+    rows += [("private_key", "-----BEGIN" + " A" * 500_000 + " PRIVATE KEY-----"), ("private_key", "-----BEGIN PRIVATE KEY-----" + "a" * 1_000_000), ("assign", "password" + " " * 1_000_000)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r["found"] or [] for r in secret_scan.scan_all(docs).collect()}
+    assert time.monotonic() - began < 90
+    whole = len(rows) - 3
+    assert [(x["start"], x["end"], x["kind"]) for x in got[whole]] == [(0, len(rows[whole][1]), "private_key")]
+    assert [(x["start"], x["end"]) for x in got[whole + 1] if x["kind"] == "private_key"] == [(0, 27)] and not got[whole + 2]
+    assert spark.range(3).count() == 3  # the session is alive
+
+
+def test_second_batch_moves_unseen_texts_only(spark, tmp_path):
+    ledger = secret_scan.Ledger(spark, str(tmp_path / "ledger"))
+    first = spark.createDataFrame([(i, f"text {i} token=abcdefgh{i}") for i in range(40)] + [(None, None)], "doc_id long, text string")
+    assert ledger.scan(first, "1")
+    both = first.unionByName(spark.createDataFrame([(1, "changed AKIA" + "Q" * 16), (2, "changed AKIA" + "Q" * 16), (2, None)], first.schema))
+    texts = both.select(secret_scan.blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    assert [(r["text"], len(r["due"])) for r in ledger.due(texts, secret_scan.RULES).collect()] == [("changed AKIA" + "Q" * 16, len(secret_scan.RULES))]
+    assert ledger.scan(both, "2") and ledger.scanned().count() == 42 * len(secret_scan.RULES)
+    report = {(r["doc_id"], x["kind"]) for r in ledger.report(both, keep=("doc_id",)).collect() for x in r["found"] or []}
+    assert report == {(i, "assign") for i in range(40)} | {(1, "access"), (2, "access")}
+
+
 @pytest.mark.parametrize("name", ["op8_secret_scan"])
 def test_secret_query_digest(spark, name):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
