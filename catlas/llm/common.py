@@ -2,38 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+from catlas.storage import materialize, shared_dir
 
+__all__ = ["WORD", "key_bin", "materialize", "shared_dir", "shuffle_key", "sortable", "spread", "text_digest", "word_count"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share, under spark.checkpoint.dir.
-
-    Only where that setting is missing (tests, a local session) a temporary
-    folder of this machine stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/catlas-{uuid.uuid4().hex}"
+#: A word: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def spread(rows: DataFrame, n: str, at: str, chunk: int = 4096) -> DataFrame:
+    """Each row as often as its `n` says, numbered from 1 in `at`.
 
-    This cuts lineage, survives a lost executor, and gives the planner the
-    written size, so that a small table is broadcast only when its files are
-    under spark.sql.autoBroadcastJoinThreshold.
+    Counts are cut into chunks that are dealt to all tasks, so one row of any
+    count is no one task's.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    chunks = rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {chunk}"))))
+    dealt = chunks.repartition(*[F.col(c) for c in chunks.columns])
+    last = F.least(F.lit(chunk).cast("long"), F.col(n) - F.col("__chunk") * chunk)
+    each = dealt.withColumn("__one", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    return each.withColumn(at, F.col("__chunk") * chunk + F.col("__one")).drop("__chunk", "__one")
 
 
 def word_count(text: Column) -> Column:
@@ -45,9 +35,13 @@ def sortable(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), col.cast("string")))
 
 
-def shuffle_key(col: Column) -> Column:
-    """A fixed pseudo-random hexadecimal order key of a document id."""
-    return F.md5(F.coalesce(col.cast("string"), F.lit("null")).cast("binary"))
+def shuffle_key(*cols: Column) -> Column:
+    """A fixed pseudo-random hexadecimal order key of the values."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols]).cast("binary"))
+
+
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def key_bin(key: Column, bins: int) -> Column:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_bin, materialize, shuffle_key, sortable, word_count
+from .common import key_bin, materialize, shuffle_key, sortable, spread, text_digest, word_count
 
 #: Rows of all sources in one range of the order key; a task sorts one source's part of it.
 ROWS_PER_BIN = 1024
@@ -24,21 +24,24 @@ ROWS_PER_BIN = 1024
 
 @dataclass
 class Mixture:
-    """documents: __id, __src, __size, __key, one row per input row; sources:
-    __src, source_size, target, cut (last taken copy, or null)."""
+    """documents: __id, __src, __size, __key, __at, one row per input row (__at
+    numbers rows equal in id, text and source); sources: __src, source_size,
+    target, cut (last taken copy, or null) and split (the cut parts equal rows)."""
 
     documents: DataFrame
     sources: DataFrame
 
     def copies(self) -> DataFrame:
         """Each document with source_size, target and the copies taken."""
-        return self.documents.join(self.sources, "__src", "left").withColumn("copies", _copies(F.col("__key"), F.col("__id")))
+        cut = F.col("cut")
+        in_last = (F.col("__key") < cut["key"]) | ((F.col("__key") == cut["key"]) & (F.col("__at") <= cut["at"]))
+        return self.documents.join(self.sources, "__src", "left").withColumn("copies", _copies(in_last))
 
 
-def _copies(key: Column, ident: Column) -> Column:
+def _copies(in_last: Column) -> Column:
+    """The full turns a source's queue has had, and one more for rows up to the cut."""
     cut = F.col("cut")
-    in_last = (key < cut["key"]) | ((key == cut["key"]) & (ident <= cut["id"]))
-    return F.when(cut.isNull(), F.lit(0)).otherwise(cut["copy"] + F.when(in_last, 1).otherwise(0)).cast("int")
+    return F.when(cut.isNull(), F.lit(0)).otherwise(cut["copy"] + F.when(in_last, 1).otherwise(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_repeats: int) -> DataFrame:
@@ -67,39 +70,43 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     Sources in code point order, null last, take `weights` in turn; together they
     get `share` of all words, none more than `max_repeats` times its own. Null
-    and empty texts have size 0 and take no words. Rows with one id share one
-    place in the order and one decision. An empty table gives empty frames. A
+    and empty texts have size 0 and take no words. Rows of one id and different
+    texts have places of their own; rows equal in id, text and source follow each
+    other, and the cut may part them. An empty table gives empty frames. A
     source without words has target 0. Only DataFrame functions are used.
     """
-    documents = materialize(
-        docs.select(F.col(id_col).alias("__id"), sortable(F.col(source_col)).alias("__src"), word_count(F.col(text_col)).alias("__size"), shuffle_key(F.col(id_col)).alias("__key")),
-        "mix-documents",
+    slim = docs.select(
+        F.col(id_col).alias("__id"), sortable(F.col(source_col)).alias("__src"), word_count(F.col(text_col)).alias("__size"), shuffle_key(F.col(id_col), text_digest(F.col(text_col))).alias("__key")
     )
-    rows = documents.count()
-    bins = max(1, math.ceil(rows / ROWS_PER_BIN))
-    placed = documents.withColumn("__bin", key_bin(F.col("__key"), bins))
+    # Equal rows are one class whatever their number, so none of what follows meets them in one task.
+    classes = materialize(slim.groupBy("__src", "__key", "__id", "__size").agg(F.count(F.lit(1)).alias("__n")), "mix-classes")
+    total_rows, total_classes = classes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1))).first()
+    bins = max(1, math.ceil(min(total_classes / ROWS_PER_BIN, 4 * math.sqrt(total_classes))))  # few enough to add up per source
+    placed = classes.withColumn("__words", F.col("__size") * F.col("__n")).withColumn("__bin", key_bin(F.col("__key"), bins))
 
-    sizes = placed.groupBy("__src", "__bin").agg(F.sum("__size").alias("words"))
+    sizes = placed.groupBy("__src", "__bin").agg(F.sum("__words").alias("words"))
     in_source = Window.partitionBy("__src").orderBy("__bin")
     offsets = materialize(
         sizes.withColumn("before", F.sum("words").over(in_source) - F.col("words")).join(
-            targets(documents.groupBy("__src").agg(F.sum("__size").alias("source_size")), weights, share, max_repeats), "__src"
+            targets(classes.groupBy("__src").agg(F.sum(F.col("__size") * F.col("__n")).alias("source_size")), weights, share, max_repeats), "__src"
         ),
         "mix-offsets",
     )
 
-    in_bin = Window.partitionBy("__src", "__bin").orderBy("__key", "__id")
-    sent = F.col("before") + F.sum("__size").over(in_bin)
+    in_bin = Window.partitionBy("__src", "__bin").orderBy("__key", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    queued = placed.join(offsets, ["__src", "__bin"]).withColumn("__before", F.col("before") + F.coalesce(F.sum("__words").over(in_bin), F.lit(0)))
+    queued = queued.select("__id", "__src", "__size", "__key", "__n", "__before", "source_size", "target")
+    documents = materialize(spread(queued, "__n", "__at"), "mix-documents")
+    sent = F.col("__before") + F.col("__at") * F.col("__size")
     queue = (
-        placed.join(offsets.filter("target > 0"), ["__src", "__bin"])
-        .withColumn("sent", sent)
+        documents.filter("target > 0 and __size > 0")  # a row without words moves no clock
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-        .withColumn("finish", (F.col("sent") + F.col("copy") * F.col("source_size")) / F.col("target"))
+        .withColumn("finish", (sent + F.col("copy") * F.col("source_size")) / F.col("target"))
     )
     # The global order: ranges of the finish time, then rows within the range where the budget runs out.
-    ranges = max(1, math.isqrt(rows * max_repeats))
+    ranges = max(1, math.isqrt(total_rows * max_repeats))
     queue = materialize(
-        queue.withColumn("range", F.floor(F.col("finish") * ranges).cast("long")).select("__src", "__key", "__id", "__size", "copy", "finish", "range"),
+        queue.withColumn("range", F.floor(F.col("finish") * ranges).cast("long")).select("__src", "__key", "__at", "__n", "__size", "copy", "finish", "range"),
         "mix-queue",
     )
     total = offsets.select("__src", "target").distinct().agg(F.floor(F.sum("target") + F.lit(1e-6)).cast("long").alias("n")).first()["n"] or 0
@@ -108,20 +115,36 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     taken = queue
     if last:
         at, room = last[0]["range"], total - (last[0]["upto"] - last[0]["words"])
-        edge = queue.filter(F.col("range") == at).withColumn("upto", F.sum("__size").over(Window.orderBy("finish", "__src", "__key", "__id", "copy")))
-        columns = ["__src", "copy", "__key", "__id"]
+        edge = queue.filter(F.col("range") == at).withColumn("upto", F.sum("__size").over(Window.orderBy("finish", "__src", "copy", "__key", "__at")))
+        columns = ["__src", "copy", "__key", "__at", "__n"]
         taken = queue.filter(F.col("range") < at).select(columns).unionByName(edge.filter(F.col("upto") <= room).select(columns))
-    cuts = taken.groupBy("__src").agg(F.max(F.struct("copy", F.col("__key").alias("key"), F.col("__id").alias("id"))).alias("cut"))
+    cuts = taken.groupBy("__src").agg(F.max(F.struct("copy", F.col("__key").alias("key"), F.col("__at").alias("at"), F.col("__n").alias("n"))).alias("cut"))
     sources = offsets.select("__src", "source_size", "target").distinct().join(cuts, "__src", "left")
-    return Mixture(documents, materialize(sources, "mix-sources"))
+    sources = sources.withColumn("split", F.coalesce(F.col("cut")["at"] < F.col("cut")["n"], F.lit(False)))
+    return Mixture(documents.select("__id", "__src", "__size", "__key", "__at"), materialize(sources, "mix-sources"))
 
 
-def apply(mixture: Mixture, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def apply(mixture: Mixture, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents: every row of `docs` as often as it is taken.
 
-    `docs` keeps its columns; it is joined with one row per source only.
+    `docs` keeps its columns; it is joined with one row per source only. Where a
+    source's cut parts rows equal in id, text and source, the first of them in
+    the order of their whole rows' digests are taken once more.
     """
     columns = docs.columns
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), sortable(F.col(source_col)).alias("__src")).join(mixture.sources, "__src")
-    copies = joined.withColumn("__n", _copies(shuffle_key(F.col(f"__row.`{id_col}`")), F.col(f"__row.`{id_col}`"))).filter("__n > 0")
-    return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")
+    key = shuffle_key(F.col(f"`{id_col}`"), text_digest(F.col(f"`{text_col}`"))).alias("__key")
+    joined = docs.select(row, key, sortable(F.col(f"`{source_col}`")).alias("__src")).join(mixture.sources, "__src")
+    cut = F.col("cut")
+    parted = F.col("split") & (F.col("__key") == cut["key"])
+    counted = joined.filter(~F.coalesce(parted, F.lit(False))).select("__row", _copies(F.col("__key") <= cut["key"]).alias("__n"))
+    if mixture.sources.filter("split").limit(1).count():
+        same = joined.filter(parted).withColumn("__digest", F.md5(F.to_json("__row").cast("binary")))
+        each = same.groupBy("__src", "__digest").agg(F.first("__row").alias("__row"), F.first("cut").alias("cut"), F.count(F.lit(1)).alias("__rows"))
+        upto = F.sum("__rows").over(Window.partitionBy("__src").orderBy("__digest"))
+        more = F.greatest(F.lit(0), F.least(F.col("__rows"), cut["at"] - (upto - F.col("__rows"))))
+        edge = each.withColumn("__more", more).select("__row", (cut["copy"] * F.col("__rows") + F.col("__more")).cast("long").alias("__n"))
+        edge = spread(materialize(edge.filter("__n > 0"), "mix-edge"), "__n", "__at").select("__row", F.lit(1).cast("long").alias("__n"))
+        counted = counted.unionByName(edge)
+    copies = counted.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return copies.select(*[F.col(f"__row.`{c}`").alias(c) for c in columns])

@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixture = mixing.mix(_read(spark, sf_dir, "documents"))
-    return mixture.copies().select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"))
+    return mixture.copies().select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).cast("long").alias("taken"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ ORACLE_SQL = {
 WITH d AS (
   SELECT doc_id AS id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, 'null')) AS k
+         md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
 r AS (
@@ -120,19 +120,18 @@ t AS (
   SELECT src, source_size,
          CASE WHEN cap / weight <= lvl THEN cap ELSE max(CASE WHEN cap / weight > lvl THEN lvl END) OVER () * weight END AS target
   FROM l),
+e AS (SELECT *, row_number() OVER (PARTITION BY src, k) AS j FROM d),
 q AS (
-  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.src ORDER BY k, id) AS sent
-  FROM d JOIN t USING (src)),
+  SELECT e.*, source_size, target, sum(size) OVER (PARTITION BY e.src ORDER BY k, j ROWS UNBOUNDED PRECEDING) AS sent
+  FROM e JOIN t USING (src)),
 c AS (
   SELECT q.*, copy, (sent + copy * source_size)::DOUBLE / target AS finish
   FROM q CROSS JOIN (VALUES (0), (1)) AS v(copy) WHERE target > 0),
-u AS (SELECT *, sum(size) OVER (ORDER BY finish, src, k, id, copy) AS upto FROM c),
-n AS (
-  SELECT id, k, src, size, count(*) AS copies FROM u
-  WHERE upto <= (SELECT floor(sum(target) + 1e-6) FROM t) GROUP BY id, k, src, size)
+u AS (SELECT *, sum(size) OVER (ORDER BY finish, src, copy, k, j ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+n AS (SELECT src, k, j, count(*) AS copies FROM u WHERE upto <= (SELECT floor(sum(target) + 1e-6) FROM t) GROUP BY src, k, j)
 SELECT q.id AS doc_id, q.size AS size, q.source_size AS source_size, q.target AS target,
        (coalesce(n.copies, 0) * q.size)::BIGINT AS taken
-FROM q LEFT JOIN n ON q.id IS NOT DISTINCT FROM n.id AND q.src = n.src AND q.size = n.size
+FROM q LEFT JOIN n USING (src, k, j)
 """,
     "op9_decontamination": r"""
 WITH d AS (
