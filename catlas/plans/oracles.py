@@ -5,7 +5,7 @@ from __future__ import annotations
 from catlas.plans.queries import _CELLS, _NAMES
 from catlas.plans.workload import with_views
 
-# RE2 spellings of the patterns in functions/redaction.py and functions/text.py.
+# RE2 spellings of the patterns in functions/redaction.py and functions/text.py.
 _WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _EQ, _VAL = r"(\s*=\s*)", r"""(?:''[^''\n]*''|"[^"\n]*"|[^\s,;''")]+)"""
 _REDACT = (
@@ -90,7 +90,7 @@ _STAMPED = """WITH s AS (
   SELECT o_orderkey AS pos, o_orderpriority AS tree, o_orderstatus AS connection, 'db' || o_custkey AS database, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS built, o_orderdate AS seen_at
   FROM orders WHERE o_orderkey % 5 <> 0)"""
 
-_TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 ORACLE_SQL = {
     "manifest_parse": with_views(

@@ -31,7 +31,7 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).manifest().select("key", "kind", "rows", "triggers").filter(~F.col("key").isin("main.embeddings"))
+    return Tables(spark, sf_dir).manifest().select("key", "kind", "rows", "triggers")
 
 
 def sqlserver_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

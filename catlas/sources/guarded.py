@@ -69,14 +69,16 @@ class Connection:
         out = {"url": self.url(), "queryTimeout": str(STATEMENT_SECONDS), "numPartitions": "1"}
         if self.engine == "postgres":
             out["sessionInitStatement"] = f"SET default_transaction_read_only = on; SET statement_timeout = '{STATEMENT_SECONDS}s'; SET work_mem = '{WORK_MEM}'; SET max_parallel_workers_per_gather = 0"
+        else:  # Spark reads a statement as a subquery, which takes no OPTION; what a session can cap is capped here
+            out["sessionInitStatement"] = f"SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED; SET DEADLOCK_PRIORITY LOW; SET LOCK_TIMEOUT {DIAL_TIMEOUT * 1000}; SET QUERY_GOVERNOR_COST_LIMIT {STATEMENT_SECONDS}"
         if self.auth != "kerberos":
             out |= {"user": self.username, "password": secret}
         return out
 
 
 def assert_read(statement: str) -> str:
-    """The statement, if it opens with SELECT or WITH and holds no writing word outside quotes."""
-    bare = re.sub(r"'[^']*'|\"[^\"]*\"|--[^\n]*", " ", statement)
+    """The statement, if it opens with SELECT or WITH and holds no writing word outside quotes, brackets and comments."""
+    bare = re.sub(r"'[^']*'|\"[^\"]*\"|\[(?:[^\]]|\]\])*\]|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.DOTALL)
     if not re.match(r"(?i)\s*(select|with)\b", bare) or _WRITES.search(bare):
         raise Refused("only a read may be sent to a database")
     return statement

@@ -144,8 +144,10 @@ def test_stream_of_manifests(spark, tmp_path):
 
 
 def test_guarded_reads():
-    guarded.assert_read("WITH a AS (SELECT 1) SELECT 'drop' FROM a")
-    for bad in ("DELETE FROM a", "SELECT 1; DROP TABLE a", "SELECT * INTO b FROM a", "EXEC p"):
+    guarded.assert_read("WITH a AS (SELECT 1) SELECT 'drop' FROM a /* call */")
+    guarded.assert_read("SELECT TOP (5) [Call], [Create Date], [a]]; drop] FROM [dbo].[Update]")
+    guarded.assert_read(guarded.sample_sql("sqlserver", "dbo", "Insert Into", ["Delete", "Exec]x"], 5, 20))
+    for bad in ("DELETE FROM a", "SELECT 1; DROP TABLE a", "SELECT * INTO b FROM a", "EXEC p", "SELECT [a] FROM b; DELETE FROM [c]", "SELECT [a]] FROM b] FROM c; DROP TABLE d", "SELECT 1 /* ' */; DROP TABLE a --'"):
         with pytest.raises(guarded.Refused):
             guarded.assert_read(bad)
     from catlas.sources import postgres, sqlserver
