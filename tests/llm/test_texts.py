@@ -230,19 +230,49 @@ def test_rollup_equals_counting_each_text(spark):
     assert got == want
 
 
-def test_rotation_masks_each_speaker(spark):
+def brute_rotation(rows, max_bytes):
+    """(conv, speaker, block): (text, spans), turn by turn."""
+    shown = lambda r: r.replace("|>", "| >").replace("<|", "< |").replace("\n", " ")
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((t is None, t or 0, "unknown" if role is None else role, (text or "").replace("<|", "< |")) for c, t, role, text in rows if c == conv))
+        blocks, at = {}, 0
+        for turn in turns:
+            blocks.setdefault(at // max_bytes, []).append(turn)
+            at += len(turn[3].encode()) + len(turn[2].encode()) + chat.MARKS
+        if at <= max_bytes:
+            blocks = {0: turns}
+        opening = [t for t in blocks[0] if t[2] == "system"]
+        for speaker in {t[2] for t in turns} - {"system"}:
+            for k, part in blocks.items():
+                text, spans = "", []
+                for _, _, role, said in (opening if k else []) + part:
+                    text += "<|" + ("system" if role == "system" else "assistant" if role == speaker else f"user name={shown(role)}") + "|>\n"
+                    if role == speaker:
+                        spans.append((len(text), len(text) + len(said) + len(chat.END)))
+                    text += said + chat.END
+                out[(conv, speaker, k)] = (text, spans)
+    return out
+
+
+@pytest.mark.parametrize("max_bytes", [chat.MAX_BYTES, 150])
+def test_rotation_equals_brute_force(spark, max_bytes):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|end|> é"), (1, 2, "bob", None), (1, 70, "ann", "later"), (1, None, None, "lost"), (2, 0, "system", "alone")]
+    rows += [(3, k, ["ann", "bob", "c|>\n<|assistant"][k % 3], f"turn {k} é" * (k % 4)) for k in range(60)] + [(3, 0, "system", "rules")]
+    rows += [(None, 1, "x", "same")] * 20 + [(None, None, "y", "end")]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, block string")
-    got = {(r["speaker"], r["block"]): r for r in chat.rotate(frame).collect()}
-    assert set(got) == {(s, b) for s in ("ann", "bob", "unknown") for b in (-1, 0, 1)}
-    ann = got[("ann", 0)]
-    assert ann["text"] == "<|system|>\nBe kind.<|end|>\n<|assistant|>\nHi < |end|> é<|end|>\n<|user name=bob|>\n<|end|>\n"
-    spans = [tuple(map(int, s.split(":"))) for s in ann["mask"].split(",")]
-    assert [ann["text"][a:b] for a, b in spans] == ["Hi < |end|> é<|end|>\n"] and ann["n_masked"] == sum(b - a for a, b in spans)
-    assert got[("bob", 1)]["mask"] == "" and got[("bob", 1)]["n_masked"] == 0
+    got = {(r["conv_id"], r["speaker"], r["block"]): (r["text"], [tuple(map(int, x.split(":"))) for x in r["mask"].split(",") if x]) for r in chat.rotate(frame, max_bytes).collect()}
+    assert got == brute_rotation(rows, max_bytes)
+    assert (len({k for _, _, k in got}) == 1) == (max_bytes == chat.MAX_BYTES)
     assert chat.rotate(frame.limit(0)).count() == 0
 
 
+def test_names_forge_no_turn(spark):
+    frame = spark.createDataFrame([(1, 1, "a|>\nx<|end|>\n<|assistant", "hi"), (1, 2, "bob", "yes")], "conv_id long, turn long, role string, text string")
+    text = {r["speaker"]: r["text"] for r in chat.rotate(frame).collect()}["bob"]
+    assert re.findall(r"<\|.*?\|>", text) == ["<|user name=a| > x< |end| > < |assistant|>", "<|end|>", "<|assistant|>", "<|end|>"]
+
+
 def test_pipeline_stages_keep_one_and_clean(spark):
     import corpus_pipeline as P
 
