@@ -2,22 +2,27 @@
 
 The index is split by document: one row holds the posting lists of one block of
 training texts (about 4 MB), so building, storing and searching it never shuffles
-a posting. Test windows start from their corpus-wide rarest term; each candidate
-position is then intersected with the offset-adjusted lists of the other terms,
-again from the rarest. A slack above 0 gives proximity matches.
+a posting. It holds every term of the texts, whatever the benchmark, so one
+written index answers any number of searches. Test windows start from their
+corpus-wide rarest term; each candidate position is then intersected with the
+offset-adjusted lists of the other terms, again from the rarest. A slack above 0
+gives proximity matches.
+
+Terms are 64-bit hashes of words. Two words of one hash would be taken for each
+other: with a vocabulary of a thousand million words and a million test terms
+the chance that any two are is about 5 in 100,000.
 
-Only terms that some test item holds are stored: no search can ask for others.
 Test items are taken to the driver in blocks of at most `MAX_ITEM_CHARS`
-characters, whatever their number; each block has its own index and search.
+characters, whatever their number; each block is one search of the same index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,26 +46,39 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
+class _Terms(dict):
+    """Signed 64-bit hashes of words, kept for up to a million words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word)
+        self[word] = value = value - (1 << 64) if value >> 63 else value
+        return value
+
+
 class Queries:
-    """The distinct windows of a block of test items and their vocabulary."""
+    """The distinct windows of a block of test items; windows hold places in `vocabulary`, the sorted terms."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
-        self.vocabulary: dict[bytes, int] = {}
+        terms = _Terms()
         self.names: list[str] = []
         found: dict[tuple[int, ...], set[int]] = {}
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
+            ids = [terms[w] for w in words_of(text)]
             if not ids:
                 continue
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
                 found.setdefault(tuple(ids[i : i + size]), set()).add(len(self.names))
             self.names.append(name)
+        self.vocabulary = np.array(sorted({t for w in found for t in w}), dtype=np.int64)
         self.groups = []
         for size in sorted({len(w) for w in found}):
             some = [(w, sorted(n)) for w, n in found.items() if len(w) == size]
             starts = np.cumsum([0, *(len(n) for _, n in some)])
-            self.groups.append((np.array([w for w, _ in some], dtype=np.int32), starts, np.concatenate([n for _, n in some]).astype(np.int64)))
+            words = np.searchsorted(self.vocabulary, np.array([w for w, _ in some], dtype=np.int64)).astype(np.int32)
+            self.groups.append((words, starts, np.concatenate([n for _, n in some]).astype(np.int64)))
 
     def plan(self, frequency: np.ndarray) -> None:
         """Order each window's terms by corpus frequency, and windows by their rarest term."""
@@ -73,33 +91,31 @@ class Queries:
         self.ready = ready
 
 
-def build_index(docs: DataFrame, queries: Queries, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per block: ids, digests and word counts of its texts, and its
-    posting lists (term t's positions are postings[offsets[t]:offsets[t + 1]],
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One written row per block: ids, digests and word counts of its texts, and its
+    posting lists of all terms (term t's positions are postings[offsets[t]:offsets[t + 1]],
     counted through the block with one free position after each text)."""
-    vocabulary = queries.vocabulary
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("ids", T.ArrayType(id_type)), T.StructField("digests", T.ArrayType(T.BinaryType())), *[T.StructField(n, T.BinaryType()) for n in ("n_words", "terms", "offsets", "postings")]])
 
-    def block(ids: list, digests: list, texts: list[list[int]]) -> dict:
+    def block(ids: list, digests: list, texts: list[np.ndarray]) -> dict:
         lengths = np.array([len(x) for x in texts], dtype=np.int32)
-        flat = np.concatenate([np.asarray([*x, -1], dtype=np.int32) for x in texts])
-        at = np.flatnonzero(flat >= 0)
-        by_term = np.argsort(flat[at], kind="stable")
-        postings = at[by_term].astype(np.int32)
-        terms, first = np.unique(flat[postings], return_index=True)
-        offsets = np.append(first, len(postings)).astype(np.int32)
-        return {"ids": ids, "digests": digests, "n_words": lengths.tobytes(), "terms": terms.astype(np.int32).tobytes(), "offsets": offsets.tobytes(), "postings": postings.tobytes()}
+        flat = np.concatenate(texts)
+        at = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), lengths)  # one free position after each text
+        terms, which = np.unique(flat, return_inverse=True)
+        postings = at[np.argsort(which.astype(np.int32), kind="stable")].astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(terms)))]).astype(np.int32)
+        return {"ids": ids, "digests": digests, "n_words": lengths.tobytes(), "terms": terms.astype(np.int64).tobytes(), "offsets": offsets.tobytes(), "postings": postings.tobytes()}
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = vocabulary.get
+        get = _Terms().__getitem__
         ids, digests, texts, held = [], [], [], 0
         for batch in batches:
             for ident, digest, text in zip(batch["id"], batch["digest"], batch["text"], strict=True):
-                found = words_of(text)
                 ids.append(None if pd.isna(ident) else ident)
                 digests.append(digest)
-                texts.append(list(map(get, found, repeat(-1))))
+                found = words_of(text)
+                texts.append(np.fromiter(map(get, found), dtype=np.int64, count=len(found)))
                 held += len(text or "") + 64
                 if held >= BLOCK_BYTES:
                     yield pd.DataFrame([block(ids, digests, texts)])
@@ -112,18 +128,27 @@ def build_index(docs: DataFrame, queries: Queries, id_col: str = "doc_id", text_
     return materialize(slim.mapInPandas(build, schema), "decontam-index")
 
 
-def frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
+def _places(terms: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted `terms` of those that the vocabulary holds, their places there)."""
+    at = np.searchsorted(vocabulary, terms)
+    held = np.flatnonzero(at < len(vocabulary))
+    held = held[vocabulary[at[held]] == terms[held]]
+    return held, at[held]
+
+
+def frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Postings of each term in the whole corpus; one number per term of the test block comes back."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(n_terms, dtype=np.int64)
+        total = np.zeros(len(vocabulary), dtype=np.int64)
         for batch in batches:
             for terms, offsets in zip(batch["terms"], batch["offsets"], strict=True):
-                total[np.frombuffer(terms, dtype=np.int32)] += np.diff(np.frombuffer(offsets, dtype=np.int32))
+                held, at = _places(np.frombuffer(terms, dtype=np.int64), vocabulary)
+                total[at] += np.diff(np.frombuffer(offsets, dtype=np.int32))[held]
         some = np.flatnonzero(total)
         yield pd.DataFrame({"term": some, "n": total[some]})
 
-    out = np.zeros(n_terms, dtype=np.int64)
+    out = np.zeros(len(vocabulary), dtype=np.int64)
     for row in index.select("terms", "offsets").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[row["term"]] = row["n"]
     return out
@@ -134,9 +159,13 @@ def _matches(row, queries: Queries, slack: int) -> tuple[np.ndarray, np.ndarray,
     lengths = np.frombuffer(row.n_words, dtype=np.int32).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     size = int((lengths + 1).sum())
-    terms, offsets, postings = (np.frombuffer(x, dtype=np.int32) for x in (row.terms, row.offsets, row.postings))
+    offsets, postings = (np.frombuffer(x, dtype=np.int32) for x in (row.offsets, row.postings))
+    held, terms = _places(np.frombuffer(row.terms, dtype=np.int64), queries.vocabulary)
+    first_at, number = offsets[held], np.diff(offsets)[held]
+    # Only the lists that this search asks for are laid out.
+    wanted = np.repeat(first_at - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
     line = np.full(size, -1, dtype=np.int32)
-    line[postings] = np.repeat(terms, np.diff(offsets))
+    line[postings[wanted]] = np.repeat(terms, number)
     text_of = np.repeat(np.arange(len(lengths)), lengths + 1)
     edges = np.zeros(size + 1, dtype=np.int64)
     pairs = [np.zeros((0, 2), dtype=np.int64)]
@@ -148,15 +177,15 @@ def _matches(row, queries: Queries, slack: int) -> tuple[np.ndarray, np.ndarray,
         there[there] = terms[slot[there]] == anchors[there]
         some, slot = by_anchor[there], slot[there]
         # Windows in slices, so that candidates stay few at a time however frequent a term is.
-        counts = (offsets[slot + 1] - offsets[slot]).astype(np.int64)
+        counts = number[slot].astype(np.int64)
         slices = np.split(np.arange(len(some)), np.flatnonzero(np.diff(np.cumsum(counts) // 2_000_000)) + 1) if len(some) else []
         for s in slices:
             w = np.repeat(some[s], counts[s])
             inner = np.arange(len(w)) - np.repeat(np.cumsum(counts[s]) - counts[s], counts[s])
-            held = postings[np.repeat(offsets[slot[s]], counts[s]) + inner].astype(np.int64)
-            at = held - order[w, 0]
-            low = starts[text_of[held]]
-            high = low + lengths[text_of[held]]
+            place = postings[np.repeat(first_at[slot[s]], counts[s]) + inner].astype(np.int64)
+            at = place - order[w, 0]
+            low = starts[text_of[place]]
+            high = low + lengths[text_of[place]]
             if off:  # the rarest term may stand off its place as well
                 times = 2 * off + 1
                 w, low, high, at = np.tile(w, times), np.tile(low, times), np.tile(high, times), np.concatenate([at + d for d in range(-off, off + 1)])
@@ -224,10 +253,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     nothing; an item shorter than the window is one window, and one of several
     rows is listed once. Repeated rows are each returned. Empty tables give no rows or no hits.
     """
+    index = build_index(docs, id_col, text_col)
     parts = []
     for queries in item_blocks(benchmark, window=window):
-        index = build_index(docs, queries, id_col, text_col)
-        queries.plan(frequencies(index, len(queries.vocabulary)))
+        queries.plan(frequencies(index, queries.vocabulary))
         parts.append(search(index, queries, slack))
     found = parts[0]
     if len(parts) > 1:
