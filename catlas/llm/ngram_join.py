@@ -1,13 +1,19 @@
 """Near-duplicate documents: an n-gram Jaccard self-join by MinHash banding.
 
 1. Equal texts become one class; each class gets one MinHash signature.
-2. Classes that share a band's hash are chained into candidate clusters.
-3. Each cluster is cut into blocks of bounded size and every pair of blocks is
-   verified in one task on full n-gram sets. A task returns one row per class
-   (its number of links and a root), never its pairs.
+2. Classes are shuffled on their bands' hashes. Inside a bucket whole signatures
+   are compared, and those that agree in LIKELY of their hashes or more are tied
+   in a tree; a large bucket is cut into blocks, and pairs of blocks are tasks.
+   Buckets that hold texts of little in common thus tie nothing.
+3. Tied classes are chained into candidate clusters. Each cluster is cut into
+   blocks of bounded bytes and rows and every pair of blocks is verified in one
+   task on full n-gram sets. A task returns one row per class (its number of
+   links and a root), never its pairs.
 4. Verified links are chained into groups of near duplicates.
 
-Clusters, links and groups stay in Spark; connected components come from
+Texts at the threshold of 0.8 agree in 58 of 72 hashes on average, with a
+deviation of 3.4; LIKELY asks for 40, which less than one pair in a million
+misses. Clusters, links and groups stay in Spark; connected components come from
 alternating star operations, each written to the shared folder.
 """
 
@@ -27,8 +33,14 @@ from .common import materialize
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-#: Bytes of text of one block; a verifying task holds two.
-BLOCK_BYTES = 3_000_000
+#: Bytes and rows of text of one block; a verifying task holds two and a square of their rows.
+BLOCK_BYTES, BLOCK_ROWS = 3_000_000, 1000
+#: Share of a signature's hashes in which two texts must agree to be verified.
+LIKELY = 0.55
+#: Rows that a Python task hands on at one time.
+OUT_ROWS = 10_000
+#: Signatures in one block of a bucket.
+BUCKET_ROWS = 4000
 #: Bytes of text whose signatures are computed at one time.
 CHUNK_BYTES = 2_000_000
 #: Parts into which the rows of one key are dealt before a join with a row per key.
@@ -89,44 +101,109 @@ def ngrams(texts: list[str], cache: _Words, n: int = N) -> tuple[np.ndarray, np.
     return _mixed(value[keep]), kept.astype(np.int64)
 
 
-def signatures(texts: list[str], bands: int, rows: int, cache: _Words) -> list[list[int] | None]:
-    """Band hashes of each text; none for a text without words."""
+def signatures(texts: list[str], bands: int, rows: int, cache: _Words) -> tuple[list[list[int] | None], list[bytes | None]]:
+    """(band hashes, the signature in 32 bits a hash) of each text; none for a text without words."""
     grams, counts = ngrams(texts, cache)
     some = np.flatnonzero(counts)
-    out: list[list[int] | None] = [None] * len(texts)
+    hashed: list[list[int] | None] = [None] * len(texts)
+    whole: list[bytes | None] = [None] * len(texts)
     if not len(some):
-        return out
+        return hashed, whole
     starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
     seeds = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     result = np.zeros((bands, len(some)), dtype=np.uint64)
+    every = np.zeros((len(some), bands * rows), dtype=np.uint32)
     for b in range(bands):
         joined = np.zeros(len(some), dtype=np.uint64)
         for r in range(rows):
             seed = seeds[b * rows + r]
             least = np.minimum.reduceat((grams ^ seed) * (seed | np.uint64(1)), starts)
+            every[:, b * rows + r] = _mixed(least) >> np.uint64(32)
             joined = _mixed(joined * np.uint64(0x9E3779B97F4A7C15) + least)
         result[b] = joined
-    for i, column in zip(some, result.T.view(np.int64).tolist(), strict=True):
-        out[i] = column
-    return out
+    for i, column, row in zip(some, result.T.view(np.int64).tolist(), every, strict=True):
+        hashed[i], whole[i] = column, row.tobytes()
+    return hashed, whole
 
 
 def _signature_frame(bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Words()
         for batch in batches:
-            texts, out = batch["text"].tolist(), []
+            texts, hashed, whole = batch["text"].tolist(), [], []
             at = held = 0
             for i, t in enumerate(texts):
                 held += len(t) + 1
                 if held >= CHUNK_BYTES or i == len(texts) - 1:
-                    out += signatures(texts[at : i + 1], bands, rows, cache)
+                    some = signatures(texts[at : i + 1], bands, rows, cache)
+                    hashed, whole = hashed + some[0], whole + some[1]
                     at, held = i + 1, 0
-            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "n_bytes": batch["n_bytes"], "bands": out})
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "n_bytes": batch["n_bytes"], "bands": hashed, "signature": whole})
 
     return run
 
 
+def tied(signs: np.ndarray, blocks: np.ndarray, across: bool, likely: float = LIKELY) -> list[tuple[int, int]]:
+    """Edges of a forest over signatures whose trees are the components of agreement in `likely` of the hashes.
+
+    across: only agreement between rows of different blocks ties. Each row is
+    compared until it is tied, so rows that all agree cost one pass.
+    """
+    least = int(np.ceil(likely * signs.shape[1]))
+    rest, edges = np.arange(len(signs)), []
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            new = []
+            for f in front:
+                if not len(rest):
+                    break
+                near = np.concatenate([(signs[part] == signs[f]).sum(axis=1) >= least for part in np.array_split(rest, len(rest) // 20_000 + 1)])
+                if across:
+                    near &= blocks[rest] != blocks[f]
+                edges += [(int(f), int(k)) for k in rest[near]]
+                new += rest[near].tolist()
+                rest = rest[~near]
+            front = new
+    return edges
+
+
+def _groups(batches: Iterator[pd.DataFrame], key: list[str], values: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, its rows' values) of neighbouring rows of one key, across batches; keys of a single row are left out."""
+    rows, current = [], None
+    for batch in batches:
+        for row in zip(*[batch[c] for c in (*key, *values)], strict=True):
+            if row[: len(key)] != current:
+                if len(rows) > 1:
+                    yield current, rows
+                rows, current = [], row[: len(key)]
+            rows.append(row[len(key) :])
+    if len(rows) > 1:
+        yield current, rows
+
+
+def _tie_frame():
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = [], []
+        for (_, i, j), rows in _groups(batches, ["bucket", "i", "j"], ["h", "block", "signature"]):
+            signs = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32).reshape(len(rows), -1)
+            for x, y in tied(signs, np.array([r[1] for r in rows]), i != j):
+                a.append(rows[x][0])
+                b.append(rows[y][0])
+            if len(a) >= OUT_ROWS:
+                yield pd.DataFrame({"a": a, "b": b})
+                a, b = [], []
+        yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (with block of blocks) once for each pair of blocks (i, j) that theirs is in."""
+    each = rows.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return each.withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
+
+
 def _salted(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on `key`, whose rows in `left` may be very many for one value, with one row per key in `right`.
 
@@ -206,24 +283,18 @@ def verify(texts: list[str], blocks: np.ndarray, across: bool, threshold: float,
 
 
 def _verify_frame(threshold: float):
-    def flush(rows: list[tuple], across: bool, cache: _Words) -> pd.DataFrame:
-        rows.sort(key=lambda r: bytes(r[0]))
-        links, root = verify([r[2] for r in rows], np.array([r[1] for r in rows]), across, threshold, cache)
-        some = np.flatnonzero(links)
-        return pd.DataFrame({"h": [rows[k][0] for k in some], "links": links[some], "root": [rows[root[k]][0] for k in some]})
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, rows, key = _Words(), [], None
-        for batch in batches:
-            for cluster, i, j, h, block, text in zip(batch["cluster"], batch["i"], batch["j"], batch["h"], batch["block"], batch["text"], strict=True):
-                if (cluster, i, j) != key:
-                    if len(rows) > 1:
-                        yield flush(rows, key[1] != key[2], cache)
-                    rows, key = [], (cluster, i, j)
-                if not rows or rows[-1][0] != h:  # a repeated row (one id, one text) comes again; its class counts once
-                    rows.append((h, block, text))
-        if len(rows) > 1:
-            yield flush(rows, key[1] != key[2], cache)
+        cache, out = _Words(), []
+        for (_, i, j), given in _groups(batches, ["cluster", "i", "j"], ["h", "block", "text"]):
+            # A repeated row (one id, one text) comes again; its class counts once.
+            rows = [r for k, r in enumerate(given) if not k or given[k - 1][0] != r[0]]
+            if len(rows) > 1:
+                links, root = verify([r[2] for r in rows], np.array([r[1] for r in rows]), i != j, threshold, cache)
+                out += [(rows[k][0], int(links[k]), rows[root[k]][0]) for k in np.flatnonzero(links)]
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=["h", "links", "root"])
+                out = []
+        yield pd.DataFrame(out, columns=["h", "links", "root"])
 
     return run
 
@@ -244,29 +315,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     id_type = docs.schema[id_col].dataType.simpleString()
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     signed = materialize(
-        slim.select("id", "h", "text", n_bytes).mapInPandas(_signature_frame(bands, rows), f"id {id_type}, h binary, n_bytes long, bands array<long>"),
+        slim.select("id", "h", "text", n_bytes).mapInPandas(_signature_frame(bands, rows), f"id {id_type}, h binary, n_bytes long, bands array<long>, signature binary"),
         "signatures",
     )
-    classes = materialize(signed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")), "classes")
-
-    # Band hashes: buckets of two or more classes, each class tied to its bucket's least.
-    banded = classes.select("h", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).filter("n > 1")
-    edges = _salted(banded, shared, "bucket").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    classes = materialize(signed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
+
+    # Band hashes: buckets of two or more classes, in which like signatures are tied.
+    banded = classes.select("h", "signature", F.posexplode("bands").alias("band", "value")).select("h", "signature", F.xxhash64("band", "value").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int").alias("blocks"))
+    shared = materialize(shared, "buckets")
+    in_buckets = _salted(banded, shared, "bucket").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    compared = _pairs_of_blocks(in_buckets).select("bucket", "i", "j", "h", "block", "signature")
+    compared = compared.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "h")
+    edges = compared.mapInPandas(_tie_frame(), "a binary, b binary")
     clusters = materialize(connected(edges), "clusters").withColumnRenamed("root", "cluster").withColumnRenamed("node", "h")
 
     members = materialize(clusters.join(classes.select("h", "rep", "n_bytes"), "h"), "members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n_bytes") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_bytes") / F.lit(BLOCK_BYTES)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS))).cast("int").alias("blocks"))
     placed = materialize(_salted(members, sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")), "placed")
     same_id = F.col("s.id").eqNullSafe(F.col("p.rep"))
     # One plan at every size: texts move once, and nothing depends on a broadcast that a larger corpus outgrows.
     texts = slim.alias("s").join(placed.hint("merge").alias("p"), (F.col("s.h") == F.col("p.h")) & same_id).select("p.cluster", "p.blocks", "p.block", "p.h", "s.text")
-    tasks = (
-        texts.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .withColumn("i", F.least("block", "x"))
-        .withColumn("j", F.greatest("block", "x"))
-        .select(F.hex("cluster").alias("cluster"), "i", "j", "h", "block", "text")
-    )
+    tasks = _pairs_of_blocks(texts).select(F.hex("cluster").alias("cluster"), "i", "j", "h", "block", "text")
     tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "h")
     found = materialize(tasks.mapInPandas(_verify_frame(threshold), "h binary, links long, root binary"), "links")
 

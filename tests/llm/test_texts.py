@@ -159,9 +159,11 @@ def near_corpus():
     return [*docs, (500, None), (501, ""), (502, " "), (503, "one"), (504, docs[0][1]), (505, docs[0][1] + "\n")]
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK_BYTES, 1500])
-def test_groups_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("size, rows", [(ngram_join.BLOCK_BYTES, ngram_join.BLOCK_ROWS), (1500, 3)])
+def test_groups_equal_brute_force(spark, monkeypatch, size, rows):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", size)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", rows)
     docs = near_corpus()
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, h string")
     got = sorted((r["id"], r["group"], r["n_links"], r["n_copies"]) for r in ngram_join.near_duplicates(frame).collect())
@@ -187,12 +189,48 @@ def test_signatures_estimate_similarity():
     words = [str(x) for x in rng.integers(0, 10**6, 400)]
     a, b = " ".join(words), " ".join([*words[:370], *["z"] * 30])
     cache = ngram_join._Words()
-    one = ngram_join.signatures([a, b], 400, 1, cache)
+    one, whole = ngram_join.signatures([a, b], 400, 1, cache)
     same = np.mean([x == y for x, y in zip(*one, strict=True)])
+    assert np.mean(np.frombuffer(whole[0], np.uint32) == np.frombuffer(whole[1], np.uint32)) == same
     true = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
     assert abs(same - true) < 0.08
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_ties_are_the_components_of_likeness(blocks):
+    rng = np.random.default_rng(2)
+    signs = rng.integers(0, 3, (90, 24), dtype=np.uint32)
+    for k in range(1, 90):
+        if k % 4:
+            signs[k] = np.where(rng.random(24) < 0.8, signs[k - 1], signs[k])
+    block = np.arange(90) % blocks
+    like = ((signs[:, None] == signs[None]).sum(axis=2) >= np.ceil(0.55 * 24)) & ((block[:, None] != block[None]) | (blocks == 1))
+    root = list(range(90))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in combinations(range(90), 2):
+        if like[a, b]:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    edges = ngram_join.tied(signs, block, blocks > 1)
+    mine = list(range(90))
+    for a, b in edges:
+        assert like[a, b]
+        x, y = (next(r for r in [mine[k]]) for k in (a, b))
+        mine = [min(x, y) if m in (x, y) else m for m in mine]
+    assert len(edges) <= 89 and mine == [top(k) for k in range(90)]
+
+
+def test_buckets_of_unlike_texts_chain_nothing(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = [(k, " ".join(words[k * 12 : k * 12 + 60])) for k in range(28)]  # each shares most words with the next, none 0.8 of its 5-grams
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["n_links"] == 0 and r["group"] == r["id"] for r in got)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = {r["node"]: r["root"] for r in ngram_join.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
