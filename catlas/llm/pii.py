@@ -4,9 +4,10 @@ Base spans (email, ip, card, phone) seed the method. Every seed and every other
 identifier-like word stands in lexical patterns: the two words before it, and the
 word before with the word after. Identifier-like are words with a digit or an @,
 runs of digit groups, and addresses that spell their at or dots. Patterns and
-instances form a bipartite graph whose edges are counted over the whole corpus;
-Spark scores both sides in turns, and what is identifier-like in patterns of
-high confidence becomes new spans.
+instances form a bipartite graph whose edges are counted over the whole corpus.
+Spark scores both sides in rounds: patterns that enough seeds support accept their
+other instances, which support further patterns in the next round. What is
+identifier-like in patterns of high confidence becomes new spans.
 
 One pass over whole texts writes spans and occurrences; everything after that
 works on those slim rows.
@@ -14,6 +15,7 @@ works on those slim rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; a pattern's least confidence and least number of different seeds.
+#: Rounds of scoring; a pattern's least confidence and least number of different accepted instances.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
+#: Characters above which a word or value stands in the graph by its digest.
+LONG = 40
 #: Pulls the confidence of patterns with few instances down.
 SMOOTHING = 1.0
 
@@ -207,6 +211,12 @@ def _addresses(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
     return out
 
 
+def named(value: str) -> str:
+    """A lower-cased word or value, whole; a long one by its digest, so that no two fall together."""
+    value = value.lower()
+    return value if len(value) <= LONG else "#" + hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and what is identifier-like with their patterns; rank is -1 for those that are no seed.
 
@@ -235,7 +245,7 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             if e - s >= LEAST and (s, e) not in known and free(s, e):
                 found.append((s, -1, e))
     out = []
-    word = lambda k: text[words[k][0] : words[k][1]].lower()[:64] if 0 <= k < len(words) else "^"
+    word = lambda k: named(text[words[k][0] : words[k][1]]) if 0 <= k < len(words) else "^"
 
     def patterns(s: int, e: int) -> tuple[str, str]:
         i, j = int(np.searchsorted(ends, s, side="right")), int(np.searchsorted(starts, e))
@@ -248,7 +258,7 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         held = patterns(*wide[k]) if inside else ()
         for pattern in patterns(s, e):
             if pattern not in held:
-                out.append({"start": s, "end": e, "rank": rank, "value": text[s:e].lower()[:256], "pattern": pattern})
+                out.append({"start": s, "end": e, "rank": rank, "value": named(text[s:e]), "pattern": pattern})
     return out
 
 
@@ -276,29 +286,34 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def score_patterns(extracted: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Patterns of high confidence with the kind their instances mostly have: pattern, kind_rank, confidence.
 
-    A seed's score is 1, any other instance's starts at 0. In each round a
-    pattern's confidence is the mean score of its different instances, smoothed,
-    and an instance's score is one minus the chance that all its patterns err,
-    for its best kind. Only patterns with `support` different seeds take part.
+    A seed is accepted for its kind with score 1. In each round a pattern takes
+    part if `support` different accepted instances of one kind stand in it; its
+    confidence is the sum of the scores of its accepted instances over the number of all its different
+    instances, smoothed. Patterns of `confidence` or more score their instances:
+    one minus the chance that all those patterns err, for the best kind. An
+    instance of that score or more is accepted, and supports patterns in the
+    next round, so patterns without `support` seeds of their own are reached.
     """
     each = extracted.select(F.explode("seen").alias("o")).select("o.pattern", "o.value", "o.rank")
-    edges = materialize(each.distinct(), "pii-edges")
-    seeds = edges.filter("rank >= 0").select("value").distinct().withColumn("seed", F.lit(1.0))
-    counts = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"), *[F.countDistinct(F.when(F.col("rank") == k, F.col("value"))).alias(f"s{k}") for k in range(len(KINDS))])
-    most = F.greatest(*[F.col(f"s{k}") for k in range(len(KINDS))])
-    kind = F.coalesce(*[F.when(F.col(f"s{k}") == most, F.lit(k)) for k in range(len(KINDS))])
-    able = materialize(counts.filter(most >= support).select("pattern", "n", kind.alias("kind_rank")), "pii-able")
-    graph = materialize(edges.select("pattern", "value").distinct().join(able, "pattern"), "pii-graph")
-    scores = seeds.select("value", F.col("seed").alias("score"))
+    edges = materialize(each.groupBy("pattern", "value").agg(F.max("rank").alias("rank")), "pii-edges")
+    accepted = edges.filter("rank >= 0").groupBy("value").agg(F.max("rank").alias("kind_rank")).withColumn("score", F.lit(1.0))
+    seeds = accepted = materialize(accepted, "pii-seeds")
+    # Patterns of too few different instances can't be supported in any round.
+    able = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
+    graph = materialize(edges.select("pattern", "value").join(able, "pattern"), "pii-graph")
     patterns = None
-    for _ in range(rounds):
-        scored = graph.join(scores, "value", "left")
-        patterns = materialize(scored.groupBy("pattern", "n", "kind_rank").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.first("n") + SMOOTHING)).alias("confidence")), "pii-patterns")
-        fails = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
-        found = graph.join(patterns.select("pattern", "confidence"), "pattern").groupBy("value", "kind_rank").agg((1 - F.exp(fails)).alias("score"))
-        best = found.groupBy("value").agg(F.max("score").alias("score"))
-        scores = materialize(best.join(seeds, "value", "left").select("value", F.coalesce("seed", "score").alias("score")), "pii-scores")
-    return patterns.filter(F.col("confidence") >= confidence).select("pattern", "kind_rank", "confidence")
+    for k in range(rounds):
+        held = graph.join(accepted, "value").groupBy("pattern", "n", "kind_rank").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("support"))
+        most = held.groupBy("pattern", "n").agg(F.max_by(F.struct("kind_rank", "support"), F.struct("sum", -F.col("kind_rank"))).alias("m"), F.sum("sum").alias("sum"))
+        rated = most.filter(F.col("m.support") >= support).select("pattern", F.col("m.kind_rank").alias("kind_rank"), (F.col("sum") / (F.col("n") + SMOOTHING)).alias("confidence"))
+        patterns = materialize(rated.filter(F.col("confidence") >= confidence), "pii-patterns")
+        if k + 1 < rounds:
+            fails = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
+            found = graph.join(patterns, "pattern").groupBy("value", "kind_rank").agg((1 - F.exp(fails)).alias("score"))
+            best = found.groupBy("value").agg(F.max_by(F.struct("kind_rank", "score"), F.struct("score", -F.col("kind_rank"))).alias("b")).select("value", "b.*")
+            new = best.filter(F.col("score") >= confidence).join(seeds, "value", "left_anti")
+            accepted = materialize(seeds.unionByName(new), "pii-accepted")
+    return patterns
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -311,7 +326,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     empty table gives no rows.
     """
     extracted = extract(docs, id_col, text_col)
-    patterns = materialize(score_patterns(extracted, rounds, confidence, support), "pii-accepted")
+    patterns = score_patterns(extracted, rounds, confidence, support)
     new = extracted.select("row", F.explode("seen").alias("o")).filter("o.rank < 0").select("row", "o.pattern", "o.start", "o.end").join(patterns, "pattern")
     once = new.groupBy("row", "start", "end").agg(F.max_by("kind_rank", F.struct("confidence", -F.col("kind_rank"))).alias("rank"))
     in_row = Window.partitionBy("row").orderBy("start", "end")

@@ -59,6 +59,57 @@ def test_context_finds_unseen_identifiers(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_found_instances_support_further_patterns(spark):
+    """Members known from one phrase alone carry the next phrase, which no base span ever stands in."""
+    one = [(k, t) for k, t in enumerate([f"Please send everything to: user{i}@host.example.com and go on" for i in range(100)] + [f"Please send everything to: member{i}[at]inner{i} and go on" for i in range(16)])]
+    two = [(200 + i, f"Our reachable colleague is member{i}[at]inner{i} these days") for i in range(16)]
+    last = [(300, "Our reachable colleague is hidden77[at]secret8 these days"), (301, "The unreachable colleague of room4711 these nights")]
+    docs = spark.createDataFrame(one + two + last, "doc_id long, text string")
+    added = lambda rounds: {r["id"]: len(r["added"]) for r in pii.find(docs, rounds=rounds).collect()}
+    once, thrice = added(1), added(3)
+    assert once[300] == 0 and thrice[300] == 1 and thrice[301] == once[301] == 0
+    assert all(once[k] == 1 for k in range(100, 116)) and all(thrice[200 + i] == 1 for i in range(16))
+
+
+def test_long_words_and_values_stay_apart():
+    one, two = "a" * 300 + "1", "a" * 300 + "2"
+    assert pii.named(one) != pii.named(two) and pii.named("ABC") == "abc"
+    seen = [pii.occurrences(f"{w} x: id4711 {w}", []) for w in (one, two)]
+    patterns = [{(o["value"], o["pattern"]) for o in s} for s in seen]
+    assert not {p for v, p in patterns[0] if v == "id4711"} & {p for v, p in patterns[1] if v == "id4711"}
+    assert {v for v, _ in patterns[0]} & {v for v, _ in patterns[1]} == {"id4711"}
+
+
+def planted(seed):
+    """(rows, spans to find): prose with seeds and with identifiers that no base pattern knows, and clean look-alikes."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(3, 8)))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    phrases = ["mail me at:", "reach them under", "the contact is", "write today to", "call my desk:"]
+    rows, want = [], set()
+    for i in range(1500):
+        lead = " ".join(word() for _ in range(rng.randrange(5, 30)))
+        kind = rng.random()
+        if kind < 0.45:
+            what = f"{word()}.{word()}@{word()}.org" if rng.random() < 0.7 else f"+49 {number(3)} {number(7)}"
+        elif kind < 0.5:
+            what = rng.choice([f"{word()}[at]{word()}{number(1)}", f"0{number(3)} {number(3)} {number(4)}", f"{word()} (at) {word()} (dot) org"])
+        else:
+            rows.append((i, f"{lead} in room{number(3)} on day {number(5)} {word()}"))
+            continue
+        text = f"{lead} {rng.choice(phrases)} "
+        if kind >= 0.45:
+            want.add((i, len(text), len(text) + len(what)))
+        rows.append((i, f"{text}{what} please {word()}"))
+    return rows, want
+
+
+def test_planted_identifiers_are_found(spark):
+    rows, want = planted(3)
+    got = {(r["id"], x["start"], x["end"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r["added"]}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 HIDDEN = {
     "(user77[at]hidden9)": "user77[at]hidden9",
     "<user77[at]hidden9>": "user77[at]hidden9",
