@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import chat, decontam, mixing, ngram_join, pii, quality_crf, quality_forest, secret_scan, sharding, token_rollup
 
 
+#: Where this machine keeps public vocabularies (see its README.md); the operator takes any path.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -18,7 +22,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rollup.count_all(_read(spark, sf_dir, "documents"))
+    return token_rollup.follow(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), token_rollup.tokenizers_at(TOKENIZERS))
+
+
+def op3_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with words alone, which SQL can count."""
+    return token_rollup.follow(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), {"words-1": token_rollup.words})
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +100,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_crf": op2_quality_crf,
     "op3_token_counts": op3_token_counts,
+    "op3_word_counts": op3_word_counts,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_personal_data": op6_personal_data,
@@ -102,6 +112,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_word_counts": r"""
+SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS docs, coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))), 0)::BIGINT AS tokens
+FROM documents GROUP BY source, lang
+""",
     "op1_mixing": r"""
 WITH d AS (
   SELECT doc_id AS id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,

@@ -116,6 +116,27 @@ def test_rules_keep_clean_documents(spark):
     assert not any(r["v"]["kept"] for r in rows if r["v"]["base_failed"])
 
 
+def test_rules_of_repeated_and_odd_rows(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    texts = ["\n".join(" ".join(word() for _ in range(9)).capitalize() + "." for _ in range(rng.randrange(7, 15))) for _ in range(200)]
+    text = texts.__getitem__
+    rows = [(i, text(i)) for i in range(200)] + [(500 + i, "#$%& " * 20 + " ".join(f"|<>| {j}!? A" for j in range(40 + i))) for i in range(20)]
+    rows += [(3, text(3)), (None, text(3)), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in rows], "doc_id long, text string, __y string, anomaly double")
+    labels = spark.createDataFrame([(i, int(i < 500)) for i, _ in rows if i is not None] + [(3, 1), (None, 0), (4, 7)], "doc_id long, quality int")
+    judge = quality_forest.judge(quality_forest.train(docs, labels))
+    got = docs.select("doc_id", "text", judge("text").alias("v")).collect()
+    assert len(got) == len(rows)
+    verdicts = {}
+    for r in got:
+        verdicts.setdefault(r["text"], set()).add((r["v"]["kept"], r["v"]["anomaly"]))
+    assert all(len(v) == 1 for v in verdicts.values())
+    bad = [r["v"]["kept"] for r in got if (r["doc_id"] or 0) >= 500 and not r["v"]["base_failed"]]
+    assert not any(bad) and sum(r["v"]["kept"] for r in got) >= 190
+    assert not any(r["v"]["kept"] for r in got if not r["text"])
+
+
 def test_rules_without_labels(spark):
     docs = spark.createDataFrame([(1, " ".join(map(str, range(60)))), (2, None), (3, "")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")

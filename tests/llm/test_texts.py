@@ -115,7 +115,8 @@ def test_empty_tables(spark):
     assert [(r["n_words"], r["n_hit"]) for r in decontam.decontaminate(docs, bench).collect()] == [(2, 0)]
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
-    assert token_rollup.count_all(docs.selectExpr("text", "'s' source", "'l' lang").limit(0)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert token_rollup.follow(docs.selectExpr("doc_id", "text", "'s' source", "'l' lang").limit(0), labels, {"words-1": token_rollup.words}).count() == 0
 
 
 def grams(text):
@@ -240,15 +241,24 @@ def test_components_of_chains_and_stars(spark):
 def test_rollup_follows_changes(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, tokens long"
     frame = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], schema)
-    tokenizers = token_rollup.default_tokenizers()
+    tokenizers = token_rollup.tokenizers_at(queries.TOKENIZERS)
     rollup = token_rollup.Rollup(spark, str(tmp_path / "rollup"))
     one = frame([(1, "a b c", "en", "s"), (2, "d", "en", "s"), (3, None, None, None)])
-    assert rollup.commit("1", token_rollup.changes(inserted=one, tokenizers=tokenizers))
-    assert not rollup.commit("1", token_rollup.changes(inserted=one, tokenizers=tokenizers))
-    two = token_rollup.changes(deleted=frame([(2, "d", "en", "s")]), revised=(frame([(1, "a b c", "en", "s")]), frame([(1, "a b c d e", "fr", "s")])), tokenizers=tokenizers)
+    assert rollup.commit("1", token_rollup.changes(tokenizers, inserted=one))
+    assert not rollup.commit("1", token_rollup.changes(tokenizers, inserted=one))
+    two = token_rollup.changes(tokenizers, deleted=frame([(2, "d", "en", "s")]), revised=(frame([(1, "a b c", "en", "s")]), frame([(1, "a b c d e", "fr", "s")])))
     assert rollup.commit("2", two)
     totals = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect() if r["tokenizer"] == "words-1"}
     assert totals == {("s", "fr"): (1, 5), (None, None): (1, 0)}
+    rollup.compact()
+    assert rollup.batches() == ["1", "2"] and not rollup.commit("2", two)
+    (tmp_path / "rollup" / "batches" / "3" / "deltas").mkdir(parents=True)  # a batch that never committed
+    (tmp_path / "rollup" / "sums" / "000000001" / "deltas").mkdir(parents=True)  # nor this sum
+    assert rollup.commit("3", token_rollup.changes(tokenizers, inserted=frame([(9, "x y", "fr", "s")])))
+    rollup.compact()
+    rollup.compact()
+    totals = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect() if r["tokenizer"] == "words-1"}
+    assert totals == {("s", "fr"): (2, 7), (None, None): (1, 0)} and rollup.batches() == ["1", "2", "3"]
 
 
 def test_rollup_equals_counting_each_text(spark):
@@ -256,7 +266,7 @@ def test_rollup_equals_counting_each_text(spark):
 
     import tiktoken
 
-    with open(f"{token_rollup.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+    with open(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding("t", pat_str=token_rollup.PIECES, mergeable_ranks=ranks, special_tokens={})
     want = {}
