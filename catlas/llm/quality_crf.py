@@ -6,8 +6,8 @@ labels. Training lines take their document's label. A document's score is the
 length-weighted mean of its lines' forward-backward marginals, put through a
 logistic calibration fitted on the training documents.
 
-Training uses at most MAX_TRAINING labelled documents, the first by a fixed
-pseudo-random key; scoring is one pass over every whole text.
+Training uses at most MAX_TRAINING labelled documents of a label and
+MAX_TRAINING_BYTES of their texts, the first by a fixed pseudo-random key; scoring is one pass over every whole text.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_key
+from .common import materialize, shuffle_key
 
 #: The most labelled documents of either label that a model is fitted on.
 MAX_TRAINING = 2000
+#: Bytes of their texts, half for each label; the first document of a label is taken whatever its size.
+MAX_TRAINING_BYTES = 64 << 20
 #: Bytes of text whose features are held at one time.
 CHUNK_BYTES = 2_000_000
 
@@ -192,18 +194,21 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 1e-5,
     return LineField(field.weights, field.trans, max(scale, 0.1), shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", held_out_fold: bool = True) -> LineField:
+def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", held_out_fold: bool = True, max_bytes: int = MAX_TRAINING_BYTES) -> LineField:
     """Fit on labelled documents outside the held-out fold (crc32 of the id mod 5 is 0).
 
-    At most `max_training` documents of each label go to the driver, the first
-    by the key of their ids; all are counted, so that the cap leaves the shares
-    of the labels in the score as they are. Rows without a label or an id are not learnt from.
+    At most `max_training` documents of each label, and half of `max_bytes` of
+    their texts, go to the driver, the first by the key of their ids; all are
+    counted, so that the bounds leave the shares of the labels in the score as
+    they are. Rows without a label or an id are not learnt from; of repeated ids
+    the least text counts, of repeated labels the least. Empty tables and blank
+    texts teach nothing: without documents of both labels every text has one
+    score. Other columns of either table are never read, whatever their names.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.min("__y").alias("__y"))
     if held_out_fold:
         known = known.filter(~held_out(F.col("__id")))
     totals = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    stands_for = tuple(max(1.0, totals.get(y, 0) / max_training) for y in (0, 1))
     picked = []
     for y in (0, 1):
         some = known.filter(F.col("__y") == y).withColumn("__key", shuffle_key(F.col("__id"))).orderBy("__key", "__id").limit(max_training)
@@ -211,8 +216,22 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     if not picked:
         return fit([], [])
     wanted = docs.sparkSession.createDataFrame(picked, known.schema)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text")).collect()
-    rows.sort(key=lambda r: str(r["__id"]))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    texts = materialize(texts, "training-texts")  # at most max_training rows of each label
+    place = {i: k for k, (i, _) in enumerate(picked)}
+    sizes = sorted(texts.select("__id", "__y", F.octet_length("__text").alias("n")).collect(), key=lambda r: place[r["__id"]])
+    taken, cut = {0: [], 1: []}, {y: totals.get(y, 0) > max_training for y in (0, 1)}
+    held = {0: 0, 1: 0}
+    for r in sizes:
+        held[r["__y"]] += r["n"] or 0
+        if taken[r["__y"]] and held[r["__y"]] > max_bytes // 2:
+            cut[r["__y"]] = True
+        else:
+            taken[r["__y"]].append(r["__id"])
+    # A text of a label that is cut short stands for more of them than itself.
+    stands_for = tuple(max(1.0, totals.get(y, 0) / len(taken[y])) if cut[y] and taken[y] else 1.0 for y in (0, 1))
+    rows = texts if not any(cut.values()) else texts.filter(F.col("__id").isin(*taken[0], *taken[1]))
+    rows = sorted(rows.collect(), key=lambda r: str(r["__id"]))
     rows = [r for r in rows if (r["__text"] or "").strip()]
     return fit([r["__text"] for r in rows], [r["__y"] for r in rows], stands_for=stands_for)
 
@@ -222,7 +241,7 @@ def held_out(ident: Column) -> Column:
 
 
 def scorer(model: LineField):
-    """A column function that scores whole texts; null counts as empty."""
+    """A column function that scores whole texts, whatever their length; null counts as empty and scores 0. Equal texts score alike."""
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

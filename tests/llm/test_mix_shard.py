@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,8 +60,19 @@ def test_mixture_of_nothing(spark):
     assert [r["target"] for r in mixing.mix(blank).copies().collect()] == [0.0, 0.0]
 
 
-def brute_mix(rows, weights=(3, 1, 2), share=1.5, most=2):
-    """Words each source takes, by one sorted list of all copies of all rows."""
+def brute_mix(rows):
+    """source: (target, words taken)."""
+    target, taken = _brute(rows)
+    return {s: (t, sum(n * len(re.findall(WORD, x or "")) for (_, x, y), n in taken.items() if y == s)) for s, t in target.items()}
+
+
+def brute_copies(rows):
+    """(id, text, source): copies taken of rows with words."""
+    return _brute(rows)[1]
+
+
+def _brute(rows, weights=(3, 1, 2), share=1.5, most=2):
+    """By one sorted list of all copies of all rows."""
     order = lambda s: (s is None, s or "")
     size = lambda t: len(re.findall(WORD, t or ""))
     sources = sorted({s for *_, s in rows}, key=order)
@@ -81,14 +93,14 @@ def brute_mix(rows, weights=(3, 1, 2), share=1.5, most=2):
         sent = 0
         for r in sorted((r for r in rows if r[3] == s), key=key):
             sent += size(r[1])
-            copies += [((sent + c * own[s]) / target[s], order(s), c, sent, size(r[1])) for c in range(most) if target[s] and size(r[1])]
-    taken, room = {s: 0 for s in sources}, math.floor(sum(target.values()) + 1e-6)
-    for _, s, _, _, n in sorted(copies):
+            copies += [((sent + c * own[s]) / target[s], order(s), c, sent, size(r[1]), r) for c in range(most) if target[s] and size(r[1])]
+    taken, room = Counter(), math.floor(sum(target.values()) + 1e-6)
+    for *_, n, r in sorted(copies, key=lambda x: x[:4]):
         room -= n
         if room < 0:
             break
-        taken[s[1] if not s[0] else None] += n
-    return {s: (target[s], taken[s]) for s in sources}
+        taken[(r[0], r[1], r[3])] += 1
+    return target, taken
 
 
 def hot_rows():

@@ -66,6 +66,14 @@ def test_cap_keeps_the_shares_of_labels(spark):
         assert abs(model.score(["The same words in every text."])[0] - 6 / 7) < 0.02, cap
 
 
+def test_bytes_of_training_are_bounded(spark):
+    docs = spark.createDataFrame([(i, ("Plain words in a line.\n" if i % 3 else "### $$$ !!!\n") * (1 + i % 5) * (4000 if i == 5 else 1)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    model = quality_crf.train(docs, labels, held_out_fold=False, max_bytes=6000)
+    good, bad = model.score(["Plain words in a line.\n", "### $$$ !!!\n"])
+    assert good > 0.9 and bad < 0.2
+
+
 def brute_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

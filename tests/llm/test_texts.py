@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catlas.llm import chat, decontam, ngram_join, queries, token_rollup
 
@@ -338,6 +339,90 @@ def test_pipeline_stages_keep_one_and_clean(spark):
     assert P.keep_one_of_each(spark, docs.limit(0), "").count() == 0
 
 
+def test_pipeline_stages_take_any_columns_and_none(spark):
+    import corpus_pipeline as P
+
+    names = ["__id", "__h", "a.b", "row", "id", "h", "score", "__score", "__row", "__src", "cut", "__n", "shard", "key", "size", "lo", "k", "n", "crc"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(70))
+    rows = [(k, text(k), "en", "ab"[k % 2], 1, *("z" * len(names))) for k in range(8)] + [(1, text(1) + " x", None, None, None, *("z" * len(names)))]
+    rows += [(None, None, None, None, None, *[None] * len(names)), (9, text(5), "en", "a", 1, *("y" * len(names))), (5, text(5), "en", "a", 1, *("a" * len(names)))]
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(1, text(3)[30:200])], "item_id long, text string")
+    one = P.keep_one_of_each(spark, docs, "")
+    assert one.columns == docs.columns and one.count() == 9
+    assert [r["a.b"] for r in one.filter("doc_id = 5").collect()] in (["z"], ["a"])
+    kept = P.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 1
+    mixed = P.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns and {r["a.b"] for r in mixed.collect()} >= {"z"}
+    assert P.put_in_shards(spark, mixed, "").count() == mixed.count()
+    for stage in (P.keep_one_of_each, P.mix_sources, P.put_in_shards):
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert P.without_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages against plain loops; only the field's scores come from the model itself."""
+    import os
+    import zlib
+    from collections import Counter
+
+    import corpus_pipeline as P
+    from catlas.llm import quality_crf
+    from tests.llm.test_mix_shard import brute_copies
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8)))
+    good = [" ".join(word() for _ in range(rng.randrange(20, 90))).capitalize() + "." for _ in range(90)]
+    rows = [(i, t, "en", "abc"[i % 3]) for i, t in enumerate(good)]
+    rows += [(100 + i, good[i] if i % 2 else good[i].replace(" ", " x ", 1), "fr", "abc"[i % 2]) for i in range(30)]
+    rows += [(200 + i, "### $$$ !!! " * rng.randrange(5, 30), "en", "a") for i in range(20)] + [(300, None, None, None), (301, "", "en", "b"), (7, good[7], "en", "b")]
+    leak = " ".join(good[40].split()[3:18])
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.lit(1).cast("long"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 200), 0) for i, *_ in rows if i < 300], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = P.run(spark, str(tmp_path)).collect()
+
+    model = quality_crf.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), held_out_fold=False)
+    kept = [r for r, s in zip(rows, model.score([t or "" for _, t, *_ in rows]), strict=True) if s >= P.LEAST_QUALITY]
+    assert {i for i, *_ in kept} == {i for i, t, *_ in rows if t and "#" not in t}
+    group = {(i, t): g for (i, t), (_, g, _, _) in zip(sorted((i, t) for i, t, *_ in kept), sorted_groups(kept), strict=True)}
+    one = {}
+    for r in kept:
+        if group[(r[0], r[1])] == r[0]:
+            one.setdefault((r[0], r[1]), []).append(r)
+    assert len(one) < len(kept) and sum(len(x) for x in one.values()) == len(one) + 1  # document 7 came twice
+    hit = {i for i, _, n, _ in brute_windows([k for k in one], [(1, leak)]) if n}
+    assert hit == {40}
+    for choice in one[(7, good[7])]:  # either of its rows may stay
+        left = [choice if k == (7, good[7]) else x[0] for k, x in one.items() if k[0] not in hit]
+        want = Counter()
+        for (i, t, _), n in brute_copies(left).items():
+            want[(i, len(t.encode()) + 8, zlib.crc32(t.encode()))] += n
+        if Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want:
+            break
+    else:
+        raise AssertionError("no choice of the repeated row gives the pipeline's rows")
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r)
+    sizes = [sum(r["size"] for r in part) for part in by.values()]
+    assert sorted(by) == list(range(P.SHARDS)) and max(sizes) - min(sizes) <= 5 * max(r["size"] for r in got)
+    assert all(sorted(r["slot"] for r in part) == list(range(len(part))) for part in by.values())
+    assert len(os.listdir(tmp_path)) == 3
+
+
+def sorted_groups(rows):
+    """brute_groups in the order of (id, text)."""
+    texts = sorted((i, t) for i, t, *_ in rows)
+    found = {}
+    for i, g, n, c in brute_groups(texts):
+        found.setdefault(i, []).append((i, g, n, c))
+    return [found[i].pop() for i, _ in texts]
+
+
 def test_pipeline_runs_on_test_tables(spark):
     import corpus_pipeline as P
 
