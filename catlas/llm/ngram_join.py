@@ -13,7 +13,7 @@
 
 Texts at the threshold of 0.8 agree in 58 of 72 hashes on average, with a
 deviation of 3.4; LIKELY asks for 40, which less than one pair in a million
-misses. Clusters, links and groups stay in Spark; connected components come from
+misses. A byte of each hash is kept, so unlike hashes agree once in 256 times. Clusters, links and groups stay in Spark; connected components come from
 alternating star operations, each written to the shared folder.
 """
 
@@ -102,7 +102,7 @@ def ngrams(texts: list[str], cache: _Words, n: int = N) -> tuple[np.ndarray, np.
 
 
 def signatures(texts: list[str], bands: int, rows: int, cache: _Words) -> tuple[list[list[int] | None], list[bytes | None]]:
-    """(band hashes, the signature in 32 bits a hash) of each text; none for a text without words."""
+    """(band hashes, the signature in 8 bits a hash) of each text; none for a text without words."""
     grams, counts = ngrams(texts, cache)
     some = np.flatnonzero(counts)
     hashed: list[list[int] | None] = [None] * len(texts)
@@ -112,13 +112,13 @@ def signatures(texts: list[str], bands: int, rows: int, cache: _Words) -> tuple[
     starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
     seeds = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     result = np.zeros((bands, len(some)), dtype=np.uint64)
-    every = np.zeros((len(some), bands * rows), dtype=np.uint32)
+    every = np.zeros((len(some), bands * rows), dtype=np.uint8)
     for b in range(bands):
         joined = np.zeros(len(some), dtype=np.uint64)
         for r in range(rows):
             seed = seeds[b * rows + r]
             least = np.minimum.reduceat((grams ^ seed) * (seed | np.uint64(1)), starts)
-            every[:, b * rows + r] = _mixed(least) >> np.uint64(32)
+            every[:, b * rows + r] = _mixed(least) >> np.uint64(56)
             joined = _mixed(joined * np.uint64(0x9E3779B97F4A7C15) + least)
         result[b] = joined
     for i, column, row in zip(some, result.T.view(np.int64).tolist(), every, strict=True):
@@ -186,7 +186,7 @@ def _tie_frame():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
         for (_, i, j), rows in _groups(batches, ["bucket", "i", "j"], ["h", "block", "signature"]):
-            signs = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32).reshape(len(rows), -1)
+            signs = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
             for x, y in tied(signs, np.array([r[1] for r in rows]), i != j):
                 a.append(rows[x][0])
                 b.append(rows[y][0])
@@ -204,13 +204,15 @@ def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
     return each.withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
 
 
-def _salted(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def _salted(left: DataFrame, right: DataFrame, key: str, how: str = "inner", merge: bool = False) -> DataFrame:
     """Join on `key`, whose rows in `left` may be very many for one value, with one row per key in `right`.
 
     The salt deals a value's rows to SALTS tasks, and since both sides are then
-    shuffled for the join alone, Spark can split what is still skewed.
+    shuffled for the join alone, Spark can split what is still skewed. `merge`
+    asks for a sorted join at every size, whatever fits into a broadcast.
     """
     salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = salted.hint("merge") if merge else salted
     return left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
 
 
@@ -321,10 +323,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = materialize(signed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
 
     # Band hashes: buckets of two or more classes, in which like signatures are tied.
-    banded = classes.select("h", "signature", F.posexplode("bands").alias("band", "value")).select("h", "signature", F.xxhash64("band", "value").alias("bucket"))
+    banded = classes.select("h", F.posexplode("bands").alias("band", "value")).select("h", F.xxhash64("band", "value").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int").alias("blocks"))
-    shared = materialize(shared, "buckets")
-    in_buckets = _salted(banded, shared, "bucket").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    in_buckets = _salted(banded, materialize(shared, "buckets"), "bucket", merge=True).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    # Signatures move to members of such buckets only.
+    in_buckets = in_buckets.join(classes.select("h", "signature").hint("merge"), "h")
     compared = _pairs_of_blocks(in_buckets).select("bucket", "i", "j", "h", "block", "signature")
     compared = compared.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "h")
     edges = compared.mapInPandas(_tie_frame(), "a binary, b binary")
