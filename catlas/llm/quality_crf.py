@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
     """Fit on labelled documents outside the held-out fold (crc32 of the id mod 5 is 0).
 
     At most `max_training` documents of each label, and half of `max_bytes` of
-    their texts, go to the driver, the first by the key of their ids; all are
+    their texts, go to one task, the first by the key of their ids; all are
     counted, so that the bounds leave the shares of the labels in the score as
     they are. Rows without a label or an id are not learnt from; of repeated ids
     the least text counts, of repeated labels the least. Empty tables and blank
@@ -230,10 +230,20 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING,
             taken[r["__y"]].append(r["__id"])
     # A text of a label that is cut short stands for more of them than itself.
     stands_for = tuple(max(1.0, totals.get(y, 0) / len(taken[y])) if cut[y] and taken[y] else 1.0 for y in (0, 1))
-    rows = texts if not any(cut.values()) else texts.filter(F.col("__id").isin(*taken[0], *taken[1]))
-    rows = sorted(rows.collect(), key=lambda r: str(r["__id"]))
-    rows = [r for r in rows if (r["__text"] or "").strip()]
-    return fit([r["__text"] for r in rows], [r["__y"] for r in rows], stands_for=stands_for)
+    if any(cut.values()):
+        texts = texts.filter(F.col("__id").isin(*taken[0], *taken[1]))
+
+    def fit_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for batch in batches for r in zip(batch["__id"], batch["__text"], batch["__y"], strict=True) if (r[1] or "").strip()]
+        rows.sort(key=lambda r: str(r[0]))
+        model = fit([r[1] for r in rows], [int(r[2]) for r in rows], stands_for=stands_for)
+        yield pd.DataFrame([{"weights": model.weights.tolist(), "trans": model.trans.ravel().tolist(), "scale": model.scale, "shift": model.shift}])
+
+    # One task holds the bounded sample; only the model comes to the driver.
+    model = texts.coalesce(1).mapInPandas(fit_in_task, "weights array<double>, trans array<double>, scale double, shift double").first()
+    if model is None:  # labels, but none of a document here
+        return fit([], [])
+    return LineField(np.array(model["weights"]), np.array(model["trans"]).reshape(2, 2), model["scale"], model["shift"])
 
 
 def held_out(ident: Column) -> Column:
