@@ -14,12 +14,13 @@ from pathlib import Path
 from typing import Any
 
 from catlas.app import cache, config, doctor, output
-from catlas.operators import planning
+from catlas.operators import health, planning
 from catlas.plans import build as B
 from catlas.sources import guarded, postgres, sqlserver
 from catlas.sources.tables import Tables
 
 VERSION = "0.1.0"
+PROBE = 'Answer with the JSON object {"objects": []} and nothing else.'
 
 
 def session():
@@ -68,6 +69,7 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--samples", type=int, default=-1)
     index.add_argument("--out", default="index")
     index.add_argument("--backend", default="")
+    index.add_argument("--store", default="", help="folder of stored structures that driver and executors share")
     index.add_argument("--dry-run", action="store_true")
     sub.add_parser("doctor", help="check a connection").add_argument("connection", nargs="?", default="")
     for kind, fields in (("connection", ("engine", "host", "port", "database", "auth", "username")), ("backend", ("provider", "model", "base-url")), ("profile", ("connection", "backend", "output-format"))):
@@ -76,6 +78,8 @@ def parser() -> argparse.ArgumentParser:
         add.add_argument("name")
         for f in fields:
             add.add_argument(f"--{f}", default="")
+        if kind != "profile":
+            add.add_argument("--no-verify", action="store_true", help="store it without trying it")
         for act in ("show", "remove", *(("switch",) if kind == "profile" else ())):
             acts.add_parser(act).add_argument("name")
         acts.add_parser("list")
@@ -99,10 +103,22 @@ def _record(args: argparse.Namespace, kind: str) -> dict[str, Any]:
     return out
 
 
+def verify(kind: str, name: str, record: dict[str, Any]) -> None:
+    """Raise unless a connection answers a guarded read, or a backend one small question with JSON."""
+    if kind == "backend":
+        json.loads(describer(record)(PROBE)["reply"])
+        return
+    _, error = doctor.run(name, record, open_source, dict(os.environ))
+    if error and not isinstance(error, health.Unhealthy):  # a busy server is there all the same
+        raise error
+
+
 def entries(args: argparse.Namespace, c: config.Config, format_: str) -> str:
     kind = args.command
     if args.act == "add":
         c.add(kind, args.name, _record(args, kind))
+        if kind != "profile" and not args.no_verify:
+            verify(kind, args.name, c.get(kind, args.name))
         c.save()
     elif args.act == "remove":
         c.remove(kind, args.name, args.force)
@@ -137,7 +153,7 @@ def report(s: B.Summary, o: B.Options) -> list[tuple[str, Any]]:
         return [*head, ("dry-run", True), ("refetch", s.refetch), ("untouched", s.untouched), ("dropped", len(s.dropped)), ("reasons", reasons), ("describe", pending)]
     redacted = ", ".join(f"{k} {s.redactions[k]}" for k in sorted(s.redactions)) or "none"
     return [
-        *head, ("dropped", len(s.dropped)), ("reasons", reasons), ("described", s.described), ("unchanged", s.unchanged), ("sampled", s.sampled), ("column files", s.column_files),
+        *head, ("dropped", len(s.dropped)), ("reasons", reasons), ("read", s.read), ("from the store", s.reused), ("described", s.described), ("unchanged", s.unchanged), ("sampled", s.sampled), ("column files", s.column_files),
         ("body files", s.body_files), ("missing", len(s.missing)), ("failed batches", len(s.failed)), ("redactions", redacted), *sorted(s.usage.items()),
     ]
 
@@ -149,7 +165,7 @@ def index(args: argparse.Namespace, c: config.Config, format_: str) -> tuple[str
     database = args.db or record.get("database", "") or "main"
     backend = c.get("backend", args.backend or profile.get("backend", "")) if not args.dry_run else None
     secret = "" if record["auth"] in config.SECRETLESS else config.secret("connection", name)
-    o = B.Options(name, database, record["engine"], args.out, args.match, args.limit, args.samples, args.force, args.dry_run, now=datetime.now(timezone.utc))
+    o = B.Options(name, database, record["engine"], args.out, args.match, args.limit, args.samples, args.force, args.dry_run, store=args.store, now=datetime.now(timezone.utc))
     spent: dict[str, float] = {}
     ask = cache.cached(cache.retried(cache.metered(describer(backend), spent)), Path(args.config).parent / ".catlas-answers") if backend else lambda prompt: {}
     summary = B.build(session(), open_source({**record, "database": database}, secret), ask, o)

@@ -5,19 +5,21 @@ from __future__ import annotations
 import json
 import logging
 import os
+import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 from typing import Protocol
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catlas.functions import redaction
 from catlas.functions.fingerprints import SAMPLE_ROWS, fingerprint
-from catlas.operators import catalogs, describing, health, planning, sampling, structure
+from catlas.operators import catalogs, describing, fetching, health, planning, sampling, structure
 from catlas.schemas import MODULES, STATE
 
 log = logging.getLogger("catlas")
@@ -58,6 +60,7 @@ class Options:
     force: bool = False
     dry_run: bool = False
     workers: int = 4
+    store: str = ""
     now: datetime | None = None
 
 
@@ -66,6 +69,8 @@ class Summary:
     objects: int = 0
     refetch: int = 0
     untouched: int = 0
+    read: int = 0
+    reused: int = 0
     reasons: dict[str, int] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
     described: int = 0
@@ -117,13 +122,57 @@ def write_whole(path: Path, text: str) -> None:
     part.replace(path)
 
 
-def entries_of(source: Source, selected: DataFrame) -> DataFrame:
-    """Selected objects with structure, its definition redacted, counts of what went, and fingerprint."""
-    definitions = source.modules(selected.filter(F.col("kind").isin(*MODULES)))
-    folded = structure.structures(selected, source.columns(), source.indexes(), source.foreign_keys(), source.parameters(), definitions, source.targets())
-    clean = folded.withColumn("redacted", redaction.redact(F.col("structure.definition"))).withColumn("structure", F.col("structure").withField("definition", F.col("redacted.text")))
+def store_path(spark: SparkSession, options: Options) -> str:
+    """Where a database's structures are kept: a folder that driver and executors share.
+
+    options.store if it is given; else a hidden folder of the tree in a local
+    session, and one under spark.checkpoint.dir on a cluster.
+    """
+    base = options.store
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = os.path.join(os.path.abspath(options.out), ".structures")
+    elif not base:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            raise ValueError("name a store, or set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{base.rstrip('/')}/structures"
+    return f"{base}/{quote(options.connection, safe='')}/{quote(options.database, safe='')}"
+
+
+def file_name(key: str) -> str:
+    """A key as one path segment: separators, control characters and the escape itself as %XX."""
+    return re.sub(r"[/\\%\x00-\x1f]", lambda m: f"%{ord(m[0]):02X}", key)
+
+
+def pull(source: Source, missing: DataFrame) -> DataFrame:
+    """Objects read from the database: their structure, its definition redacted, and counts of what went.
+
+    Catalog rows of other objects go before anything is folded.
+    """
+    keys = missing.select("key")
+    near = lambda rows: rows.join(keys, "key", "left_semi")
+    definitions = source.modules(missing.filter(F.col("kind").isin(*MODULES)))
+    folded = structure.structures(missing, near(source.columns()), near(source.indexes()), near(source.foreign_keys()), near(source.parameters()), definitions, near(source.targets()))
+    clean = folded.withColumn("redacted", redaction.redact(F.col("structure.definition")))
+    return clean.withColumn("structure", F.col("structure").withField("definition", F.col("redacted.text"))).withColumn("counts", F.col("redacted.counts")).drop("redacted")
+
+
+def fetch(spark: SparkSession, source: Source, selected: DataFrame, plan: DataFrame, store: fetching.Store, summary: Summary) -> DataFrame:
+    """Selected objects with structure, counts of redactions and fingerprint.
+
+    Only what the plan fetches, or the store lacks under its present signal, is
+    read from the database; nothing is asked of it where there is no such object.
+    """
+    missing = fetching.origins(selected, plan, store.read()).filter("origin = 'database'").drop("origin").cache()
+    summary.read = missing.count()
+    summary.reused = summary.objects - summary.read
+    log.info("fetch: %d from the database, %d from the store", summary.read, summary.reused)
+    if summary.read:
+        health.require(source.health(), "the structure")
+        store.add(pull(source, missing))
+    missing.unpersist()
     print_ = fingerprint(F.col("kind"), F.col("structure"), F.col("triggers"), F.col("rows"))
-    return clean.withColumn("counts", F.col("redacted.counts")).drop("redacted").withColumn("fingerprint", print_)
+    return selected.join(store.read().drop("signal"), "key").withColumn("fingerprint", print_)
 
 
 def take_samples(source: Source, todo: DataFrame, options: Options) -> dict[str, str]:
@@ -204,8 +253,8 @@ def build(spark: SparkSession, source: Source, describer: Callable[[str], dict],
     if options.dry_run:
         return summary
 
-    health.require(source.health(), "the structure")
-    entries = entries_of(source, selected).cache()
+    store = fetching.Store(spark, store_path(spark, options))
+    entries = fetch(spark, source, selected, plan, store, summary).cache()
     for r in entries.select(F.explode("counts").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect():
         summary.redactions[r["c"]] = r["n"]
     split = planning.describe_plan(entries.select("key", "kind", "fingerprint"), known)
@@ -231,6 +280,7 @@ def build(spark: SparkSession, source: Source, describer: Callable[[str], dict],
     roster = catalogs.upsert_roster(catalogs.parse_roster(read_lines(spark, root / catalogs.ROSTER_FILE)), row)
     write_whole(root / catalogs.ROSTER_FILE, _tsv(list(catalogs.ROSTER), [r["line"] for r in roster.select(catalogs.line(F.col("cells")).alias("line")).collect()]))
     write_whole(root / catalogs.GUIDE_FILE, GUIDE)
+    store.compact(objects)
     for df in (objects, plan, entries, todo, items, sentences, final):
         df.unpersist()
     return summary
@@ -255,16 +305,16 @@ def _write(spark: SparkSession, home: Path, old: DataFrame, entries: DataFrame,
     shown = entries.filter(c("kind").isin("table", "view") & (F.size("structure.columns") > 0))
     text = catalogs.column_file(c("kind"), c("key"), c("fingerprint"), c("rows"), c("kb"), c("triggers"), c("description"), c("structure"))
     for r in shown.select("key", text.alias("text")).toLocalIterator():
-        write_whole(home / "columns" / f"{r['key']}.tsv", r["text"])
+        write_whole(home / "columns" / f"{file_name(r['key'])}.tsv", r["text"])
         summary.column_files += 1
     bodies = entries.filter(c("kind").isin(*MODULES) & c("structure.definition").rlike(r"\S"))
     text = catalogs.body_file(c("key"), c("fingerprint"), c("modified"), c("description"), c("structure.definition"))
     for r in bodies.select("key", text.alias("text")).toLocalIterator():
-        write_whole(home / "bodies" / f"{r['key']}.sql", r["text"])
+        write_whole(home / "bodies" / f"{file_name(r['key'])}.sql", r["text"])
         summary.body_files += 1
     for key in summary.dropped:
-        (home / "columns" / f"{key}.tsv").unlink(missing_ok=True)
-        (home / "bodies" / f"{key}.sql").unlink(missing_ok=True)
+        (home / "columns" / f"{file_name(key)}.tsv").unlink(missing_ok=True)
+        (home / "bodies" / f"{file_name(key)}.sql").unlink(missing_ok=True)
 
 
 def outcome(summary: Summary, dry_run: bool = False) -> None:

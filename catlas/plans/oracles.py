@@ -128,6 +128,13 @@ FROM f LEFT JOIN k USING (key)""",
         "state",
     ),
     "cache_hits": with_views(" SELECT o.key, o.modified, coalesce(o.modified <> '' AND o.modified = s.modified, false) AS hit FROM objects o LEFT JOIN state s USING (key)", "objects", "state"),
+    "fetch_stage": with_views(
+        _PLAN + """, held AS (SELECT key, CASE WHEN pk % 5 = 0 THEN '2025-11-30' ELSE modified END AS signal FROM state WHERE pk % 3 <> 1)
+SELECT o.key, o.kind, CASE WHEN p.action = 'reuse' AND o.modified <> '' AND o.modified = h.signal THEN 'store' ELSE 'database' END AS origin
+FROM objects o JOIN plan p USING (key) LEFT JOIN held h USING (key)""",
+        "objects",
+        "state",
+    ),
     "key_batches": with_views(" SELECT key, ((row_number() OVER (ORDER BY key) - 1) // 40)::BIGINT AS batch FROM objects", "objects"),
     "plan_summary": with_views(_PLAN + " SELECT count(*) FILTER (action = 'fetch') AS fetch, count(*) FILTER (action = 'reuse') AS reuse, count(*) FILTER (action = 'dropped') AS dropped, count(*) FILTER (reason = 'new') AS new FROM plan", "objects", "state"),
     "module_fingerprints": with_views(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catlas.functions import fingerprints, redaction
 from catlas.functions import text as T
-from catlas.operators import catalogs, describing, health, planning, reading, sampling, structure
+from catlas.operators import catalogs, describing, fetching, health, planning, reading, sampling, structure
 from catlas.plans.workload import view
 from catlas.sources import postgres, sqlserver
 from catlas.sources.tables import Tables
@@ -123,6 +123,14 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.cache_hits(view(spark, sf_dir, "objects").select("key", "modified"), cache)
 
 
+def fetch_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a build takes each object's structure from, the store lacking some objects and holding others under an old signal."""
+    objects, state = view(spark, sf_dir, "objects"), view(spark, sf_dir, "state")
+    signal = F.when(F.col("pk") % 5 == 0, F.lit("2025-11-30")).otherwise(F.col("modified")).alias("signal")
+    stored = state.filter("pk % 3 <> 1").select("key", signal)
+    return fetching.origins(objects, planning.fetch_plan(objects, state), stored).select("key", "kind", "origin")
+
+
 def key_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.key_batches(view(spark, sf_dir, "objects").select("key"))
 
@@ -307,7 +315,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         manifest_parse, local_manifest, sqlserver_manifest, overloads, structure_fold, index_fold, split_types, widths, fetch_plan, dropped, reason_counts,
-        narrow, describe_plan, cache_hits, key_batches, plan_summary, module_fingerprints, table_fingerprints, redacted_bodies, redaction_totals,
+        narrow, describe_plan, cache_hits, fetch_stage, key_batches, plan_summary, module_fingerprints, table_fingerprints, redacted_bodies, redaction_totals,
         personal_columns, sample_projection, sample_order, sample_rows, cost_batches, resolve_answers, missing_answers, descriptions, prompts, catalog_rows,
         parse_state, catalog_merge, size_texts, column_files, body_files, roster, mentions, writers, oldest_build, tree_ages, health_verdicts,
     )

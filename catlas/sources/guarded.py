@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Seconds to log in and to dial, and each engine's caps on what a session may use.
 LOGIN_TIMEOUT, DIAL_TIMEOUT = 30, 15
 STATEMENT_SECONDS, WORK_MEM = 120, "16MB"
+MODULES_AT_ONCE, OPEN_CONNECTIONS = 40, 4
 PORTS = {"sqlserver": 1433, "postgres": 5432}
 _WRITES = re.compile(r"(?i)\b(insert|update|delete|merge|create|alter|drop|truncate|grant|revoke|exec|execute|call|into)\b")
 
@@ -122,12 +123,23 @@ def explain(message: str) -> ConnectError:
     return ConnectError(message)
 
 
-def reader(spark: SparkSession, connection: Connection, secret: str) -> Callable[[str], DataFrame]:
-    """A function from a SELECT to a frame of text cells, null as empty."""
+def reader(spark: SparkSession, connection: Connection, secret: str) -> Callable[..., DataFrame]:
+    """A function from a SELECT to a frame of text cells, null as empty.
 
-    def read(statement: str) -> DataFrame:
+    With conditions it sends the SELECT once for each of them, over a few
+    connections at a time.
+    """
+
+    def read(statement: str, conditions: Sequence[str] = ()) -> DataFrame:
         try:
-            out = spark.read.format("jdbc").options(**connection.options(secret)).option("query", assert_read(statement)).load()
+            options = connection.options(secret)
+            if conditions:
+                for c in conditions:
+                    assert_read(f"SELECT 1 WHERE {c}")
+                url = options.pop("url")
+                each = spark.read.jdbc(url, f"({assert_read(statement)}) picked", predicates=list(conditions), properties=options)
+                return texts(each).coalesce(OPEN_CONNECTIONS)
+            out = spark.read.format("jdbc").options(**options).option("query", assert_read(statement)).load()
             return texts(out)
         except Refused:
             raise
@@ -137,6 +149,22 @@ def reader(spark: SparkSession, connection: Connection, secret: str) -> Callable
     return read
 
 
+def definitions(read: Callable[..., DataFrame], statement: str, named: DataFrame) -> DataFrame:
+    """(key, definition) of the objects `named` (id, key), by a statement that gives id and definition.
+
+    Their ids go to the server, some to a statement, so that it renders no
+    other definition; without any no statement is sent. The driver holds an id
+    and a key per object that is read again.
+    """
+    rows = [(str(int(r["id"])), r["key"]) for r in named.select("id", "key").collect()]
+    asked = named.sparkSession.createDataFrame(rows, "id string, key string")
+    if not rows:
+        return asked.select("key", F.lit("").alias("definition"))
+    ids = sorted({i for i, _ in rows}, key=int)
+    conditions = [f"id IN ({', '.join(ids[at : at + MODULES_AT_ONCE])})" for at in range(0, len(ids), MODULES_AT_ONCE)]
+    return read(statement, conditions).join(asked, "id").select("key", "definition")
+
+
 def texts(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
 

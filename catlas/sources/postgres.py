@@ -64,7 +64,7 @@ def parse_manifest(cells: DataFrame) -> DataFrame:
 
 
 class Postgres:
-    def __init__(self, read: Callable[[str], DataFrame]) -> None:
+    def __init__(self, read: Callable[..., DataFrame]) -> None:
         self.read = read
 
     def _relations(self) -> DataFrame:
@@ -131,9 +131,9 @@ class Postgres:
 
     def modules(self, keys: DataFrame) -> DataFrame:
         """Definitions (key, definition), at most 50,000 characters, of the given keys."""
-        views = self._relations().select("id", key().alias("key")).join(self.read(VIEW_BODIES), "id")
-        routines = self._routines().select("id", key().alias("key")).join(self.read(ROUTINE_BODIES), "id")
-        return views.unionByName(routines).select("key", "definition").join(keys.select("key"), "key", "left_semi")
+        asked = lambda named: named.select("id", key().alias("key")).join(keys.select("key"), "key", "left_semi")
+        views = guarded.definitions(self.read, VIEW_BODIES, asked(self._relations().filter(F.col("code").isin("v", "m"))))
+        return views.unionByName(guarded.definitions(self.read, ROUTINE_BODIES, asked(self._routines())))
 
     def health(self) -> DataFrame:
         row = self.read(HEALTH)

@@ -47,7 +47,7 @@ def parse_manifest(cells: DataFrame) -> DataFrame:
 
 
 class SqlServer:
-    def __init__(self, read: Callable[[str], DataFrame]) -> None:
+    def __init__(self, read: Callable[..., DataFrame]) -> None:
         self.read = read
 
     def _objects(self) -> DataFrame:
@@ -91,7 +91,9 @@ class SqlServer:
         return self.read(SYNONYMS).join(self._objects().select("id", "key"), "id").select("key", "target")
 
     def modules(self, keys: DataFrame) -> DataFrame:
-        return self.read(BODIES).join(self._objects().select("id", "key"), "id").select("key", "definition").join(keys.select("key"), "key", "left_semi")
+        """Definitions (key, definition), at most 50,000 characters, of the given keys."""
+        named = self._objects().select("id", "key").join(keys.select("key"), "key", "left_semi")
+        return guarded.definitions(self.read, BODIES, named)
 
     def health(self) -> DataFrame:
         row = self.read(HEALTH)

@@ -62,3 +62,10 @@ def clearing(spark: SparkSession) -> Iterator[list[str]]:
 
 def last_made() -> str:
     return _made[-1]
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder in order; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catlas.app import cache, cli, config, doctor, output
-from catlas.operators import health
+from catlas.operators import fetching, health
 from catlas.plans import build as B
 from catlas.schemas import OBJECT
 from catlas.sources import guarded
@@ -89,6 +89,67 @@ def test_build_twice(spark, tmp_path):
     assert (home / "tables.tsv").read_text() == before
 
 
+def test_only_what_moved_is_read(spark, tmp_path):
+    store = tmp_path / "store"
+    B.build(spark, Fake(spark), teller([]), options(tmp_path, store=str(store)))
+    home = tmp_path / "tree" / "stage" / "core"
+    before = {p.name: p.read_text() for p in home.rglob("*.*") if p.is_file()}
+    quiet = Fake(spark)
+    for part in ("columns", "indexes", "foreign_keys", "parameters", "targets", "modules"):
+        setattr(quiet, part, lambda *_, part=part: pytest.fail(f"asked for {part}"))
+    s = B.build(spark, quiet, teller([]), options(tmp_path, store=str(store)))
+    assert (s.read, s.reused, s.redactions) == (0, 5, {"password": 1})
+    assert {p.name: p.read_text() for p in home.rglob("*.*") if p.is_file()} == before
+    moved, asked = Fake(spark), []
+    manifest, modules = moved.manifest, moved.modules
+    moved.manifest = lambda: manifest().withColumn("modified", F.when(F.col("name") == "OrderGet", "2025-01-01").otherwise(F.col("modified")))
+    moved.modules = lambda keys: asked.extend(r["key"] for r in keys.collect()) or modules(keys)
+    s = B.build(spark, moved, teller([]), options(tmp_path, store=str(store)))
+    assert (s.read, s.reused, asked) == (1, 4, ["dbo.OrderGet"])
+    kept = fetching.Store(spark, str(store / "stage" / "core"))
+    (store / "stage" / "core" / "pull-00000009").mkdir()  # left by a build that broke off
+    assert {r["key"]: r["signal"] for r in kept.read().collect()}["dbo.OrderGet"] == "2025-01-01"
+    rows = sorted(kept.read().drop("counts").collect())
+    assert not kept.compact(moved.manifest()) and kept.compact(moved.manifest().filter("name <> 'OrderAlias'"), at=2)
+    assert sorted(kept.read().drop("counts").collect()) == [r for r in rows if r["key"] != "dbo.OrderAlias"]
+    assert [p.name for p in (store / "stage" / "core").iterdir()] == ["pull-00000010"]
+
+
+def test_absent_signals_are_always_read(spark, tmp_path):
+    B.build(spark, Fake(spark, ""), teller([]), options(tmp_path))
+    s = B.build(spark, Fake(spark, ""), teller([]), options(tmp_path))
+    assert (s.read, s.reused) == (5, 0)
+
+
+def test_odd_keys_stay_in_the_tree():
+    assert B.file_name("dbo.Order Lines") == "dbo.Order Lines" and B.file_name("a.../../b%\\") == "a...%2F..%2Fb%25%5C"
+
+
+def test_definitions_over_jdbc(spark, tmp_path):
+    """A real driver: only the asked ids are sent for, some to a statement."""
+
+    class Derby:
+        def options(self, secret):
+            return {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+    url = Derby().options("")["url"]
+    spark.createDataFrame([(i, f"body {i}") for i in range(100)], "ID long, DEFINITION string").write.jdbc(url, "bodies", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    read, sent = guarded.reader(spark, Derby(), ""), []
+    named = spark.createDataFrame([(str(i), f"k{i}") for i in range(0, 99, 2)], "id string, key string")
+
+    def noted(statement, conditions=()):
+        sent.extend(conditions)
+        return read(statement, conditions)
+
+    statement = "SELECT id, definition FROM bodies"
+    got = guarded.definitions(noted, statement, named)
+    assert {r["key"]: r["definition"] for r in got.collect()} == {f"k{i}": f"body {i}" for i in range(0, 99, 2)}
+    assert [c.count(",") + 1 for c in sent] == [40, 10] and "98" in sent[1]
+    assert guarded.definitions(noted, statement, named.limit(0)).collect() == [] and len(sent) == 2
+    with pytest.raises(guarded.Refused):
+        read(statement, ["id IN (1); DROP TABLE bodies"])
+
+
 def test_dropped_narrowed_and_dry(spark, tmp_path):
     calls = []
     B.build(spark, Fake(spark), teller(calls), options(tmp_path))
@@ -239,6 +300,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("connection", "add", "data", "--engine", "spark", "--host", "/root/testdata/sf0.001", "--database", "main") == 0
     assert run("connection", "add", "bad", "--engine", "spark") == output.VALIDATION
     assert run("connection", "show", "none") == output.NOT_FOUND
+    assert run("connection", "add", "gone", "--engine", "spark", "--host", str(tmp_path / "none")) != 0 and run("connection", "show", "gone") == output.NOT_FOUND
+    assert run("connection", "add", "gone", "--engine", "spark", "--host", str(tmp_path / "none"), "--no-verify") == 0
+    echo = tmp_path / "echo.sh"
+    echo.write_text("#!/bin/sh\necho '{\"objects\": []}'\n")
+    echo.chmod(0o755)
+    assert run("backend", "add", "told", "--provider", "command", "--model", str(echo)) == 0
+    assert run("backend", "add", "mute", "--provider", "command", "--model", str(tmp_path / "none")) != 0 and run("backend", "show", "mute") == output.NOT_FOUND
     assert run("config", "set", "output", "json") == 0
     capsys.readouterr()
     assert run("index", "data", "--dry-run", "--out", str(tmp_path / "tree")) == 0

@@ -168,6 +168,11 @@ def text(spark, rows, names):
     return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names.split()))
 
 
+def _picked(df, conditions):
+    """What a server sends: the rows of any of the conditions, or all without one."""
+    return df.filter(" OR ".join(f"({c})" for c in conditions)) if conditions else df
+
+
 def test_postgres_structures(spark):
     frames = {
         postgres.NAMESPACES: text(spark, [("1", "app"), ("2", "pg_catalog"), ("3", "pg_temp_1")], "id schema"),
@@ -182,7 +187,7 @@ def test_postgres_structures(spark):
         postgres.ROUTINE_BODIES: text(spark, [("20", "BEGIN END"), ("21", "other")], "id definition"),
         postgres.HEALTH: text(spark, [("primary", "3")], "state waiting"),
     }
-    source = postgres.Postgres(frames.__getitem__)
+    source = postgres.Postgres(lambda statement, conditions=(): _picked(frames[statement], conditions))
     manifest = source.manifest()
     assert [(r["key"], r["kind"], r["rows"], r["kb"], r["triggers"]) for r in manifest.collect()] == [("app.customers", "table", 0, 8, 0), ("app.order_get", "function", 0, 0, 0), ("app.order_list", "view", 0, 0, 0), ("app.orders", "table", 1100, 16, 2)]
     modules = source.modules(manifest.filter("kind <> 'table'"))
@@ -211,7 +216,7 @@ def test_sqlserver_structures(spark):
         sqlserver.BODIES: text(spark, [("11", "SELECT 1")], "id definition"),
         sqlserver.HEALTH: text(spark, [("64", "memory is available", "0", "0")], "available state waiting low"),
     }
-    source = sqlserver.SqlServer(frames.__getitem__)
+    source = sqlserver.SqlServer(lambda statement, conditions=(): _picked(frames[statement], conditions))
     manifest = source.manifest()
     assert [(r["key"], r["kind"], r["rows"], r["kb"], r["triggers"], r["modified"]) for r in manifest.collect()] == [("app.Customers", "table", 0, 0, 0, D), ("app.Ledger", "synonym", 0, 0, 0, D), ("app.OrderGet", "procedure", 0, 0, 0, D), ("app.Orders", "table", 11, 24, 1, D)]
     folded = {r["key"]: r["structure"] for r in structure.structures(manifest, source.columns(), source.indexes(), source.foreign_keys(), source.parameters(), source.modules(manifest), source.targets()).collect()}
