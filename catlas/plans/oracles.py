@@ -164,6 +164,16 @@ SELECT doc_id::VARCHAR AS key, batch FROM b""",
     "resolve_answers": with_views(_RESOLVED + " SELECT batch, key, sentence FROM resolved", "objects"),
     "missing_answers": with_views(_RESOLVED + " SELECT key FROM asked WHERE key NOT IN (SELECT key FROM resolved)", "objects"),
     "descriptions": with_views(_RESOLVED + " SELECT o.key, coalesce(r.sentence, s.description, '') AS description FROM objects o LEFT JOIN resolved r USING (key) LEFT JOIN state s USING (key)", "objects", "state"),
+    "prompts": with_views(
+        _ENTRIES + """, told AS (
+  SELECT key, string_agg('  ' || name || ' ' || type || length || CASE WHEN nullable THEN '' ELSE ' not null' END, chr(10) ORDER BY ord) AS told FROM columns GROUP BY key)
+SELECT e.key, concat_ws(chr(10), 'Table ' || e.key || ' in the test database.', e.rows || ' rows.', '', 'Columns:', coalesce(t.told, '  (none recorded)'),
+  chr(10) || 'Primary key: ' || e.pk_shown, '',
+  'Say in one sentence what the table holds and what one row of it is. For a lookup of codes, say that. Don''t list its columns.', 'Begin with a verb, in the present tense.') AS prompt
+FROM entries e LEFT JOIN told t USING (key)""",
+        "objects",
+        "columns",
+    ),
     "catalog_rows": with_views(_ENTRIES + f" SELECT key, kind, array_to_string([key, rows::VARCHAR, {_SIZE}, triggers::VARCHAR, n::VARCHAR, modified, fingerprint, description], chr(9)) AS line FROM entries", "objects", "columns"),
     "parse_state": with_views(_OLD + " SELECT key, 'table' AS kind, modified, fingerprint, description, rows FROM olds", "state"),
     "catalog_merge": with_views(

@@ -35,3 +35,15 @@ def test_query_equals_sql(spark, duck, name):
     assert columns == sorted(want.columns)
     places = [want.columns.index(c) for c in columns]
     assert sorted(tuple(rounded(r[c]) for c in columns) for r in rows) == sorted(tuple(rounded(r[i]) for i in places) for r in want.fetchall())
+
+
+ORDERED = {"dropped": ["key"], "narrow": ["schema", "name"], "sqlserver_manifest": ["schema", "name"], "local_manifest": ["key"], "catalog_merge": ["kind", "key"]}
+
+
+@pytest.mark.parametrize("name", list(ORDERED))
+def test_rows_come_in_order(spark, name):
+    """Bytewise, as the code points of the keys."""
+    df = QUERIES[name](spark, DATA)
+    kept = [c for c in ORDERED[name] if c in df.columns]
+    got = [tuple(r[c].encode() for c in kept) for r in df.collect()]
+    assert kept and got and got == sorted(got)
