@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catlas.functions.fingerprints import sample_depth
+from catlas.operators.numbering import numbered
 from catlas.schemas import DESCRIBABLE, same_signal
 
 #: Reasons to fetch, in the order they are asked.
@@ -73,8 +74,5 @@ def cache_hits(selected: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def key_batches(keys: DataFrame, size: int = 40) -> DataFrame:
-    """Keys in batches of a fixed size, in key order; the numbering task holds keys only."""
-    place = F.row_number().over(Window.orderBy("key")) - 1
-    return keys.select("key", F.floor(place / size).cast("long").alias("batch"))
-
-
+    """Keys in batches of a fixed size, in key order, numbered range by range."""
+    return numbered(keys.select("key"), "key").select("key", F.floor((F.col("place") - 1) / size).cast("long").alias("batch"))
