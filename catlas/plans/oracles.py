@@ -109,6 +109,17 @@ FROM o LEFT JOIN p USING (id) WHERE kind IS NOT NULL""",
     "overloads": """
 WITH r AS (SELECT DISTINCT lower(n_name) || '.f' || (s_suppkey % 2) AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey > 1)
 SELECT key, ord::BIGINT AS ord, name, type, output FROM r CROSS JOIN (VALUES (0, '(returns)', 'integer', false), (1, '$1', 'text', false), (2, '$2', 'integer', true)) v(ord, name, type, output)""",
+    "postgres_columns": """
+WITH r AS (SELECT s_suppkey AS id, lower(n_name) || '.t' || s_suppkey AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey > 0 AND s_suppkey % 4 <> 2)
+SELECT key, (l_orderkey * 10 + l_linenumber)::BIGINT AS ord, 'c' || l_linenumber AS name, CASE l_linenumber WHEN 4 THEN 'character varying' ELSE 'integer' END AS type, CASE l_linenumber WHEN 4 THEN '(20)' ELSE '' END AS length,
+  l_returnflag = 'N' AS nullable, l_linenumber = 2 OR (l_linenumber = 3 AND l_orderkey % 2 = 0) AS identity, l_linestatus = 'F' AS computed
+FROM lineitem JOIN r ON l_suppkey = r.id""",
+    "sqlserver_columns": """
+SELECT n_name || '.' || s_name AS key, (l_orderkey * 10 + l_linenumber)::BIGINT AS ord, 'c' || l_linenumber AS name,
+  CASE l_linenumber WHEN 1 THEN 'varchar' WHEN 2 THEN 'nvarchar' WHEN 3 THEN 'decimal' ELSE 'int' END AS type,
+  CASE WHEN l_linenumber = 3 THEN '(12,3)' WHEN l_linenumber > 3 THEN '' WHEN l_returnflag = 'R' THEN '(max)' WHEN l_linenumber = 1 THEN '(2)' ELSE '(2)' END AS length,
+  l_returnflag = 'N' AS nullable, l_linenumber = 1 AS identity, l_linestatus = 'F' AS computed
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey <> 3""",
     "structure_fold": with_views(" SELECT key, count(*)::BIGINT AS n, string_agg(name || ' ' || type || length, ',' ORDER BY ord) AS names FROM columns GROUP BY key", "columns"),
     "index_fold": with_views(_ENTRIES + " SELECT key, coalesce(pk_cols, '') AS pk, coalesce(ix_short, '') AS indexes FROM parts", "objects", "columns"),
     "split_types": """SELECT * FROM (VALUES ('integer', 'integer', ''), ('character varying(50)', 'character varying', '(50)'), ('numeric(18,2)', 'numeric', '(18,2)'),

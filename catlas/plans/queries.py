@@ -56,6 +56,29 @@ def overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.parameters().select("key", F.col("ord").cast("long").alias("ord"), "name", "type", "output")
 
 
+def postgres_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    frames = {
+        postgres.NAMESPACES: text(read("nation").selectExpr("n_nationkey as id", "case n_nationkey when 0 then 'pg_catalog' else lower(n_name) end as schema")),
+        postgres.RELATIONS: text(read("supplier").selectExpr("s_suppkey as id", "s_nationkey as space", "concat('t', s_suppkey) as name", "substring('rvip', s_suppkey % 4 + 1, 1) as code", "'0' as tuples", "'0' as kb")),
+        postgres.ATTRIBUTES: text(read("lineitem").selectExpr("l_suppkey as relation", "l_orderkey * 10 + l_linenumber as num", "concat('c', l_linenumber) as name", "if(l_linenumber = 4, 'character varying(20)', 'integer') as rendered", "if(l_returnflag = 'N', 0, 1) as required", "if(l_linenumber = 2, 'd', '') as identity", "if(l_linestatus = 'F', 's', '') as generated")),
+        postgres.DEFAULTS: text(read("lineitem").filter("l_linenumber = 3").selectExpr("l_suppkey as relation", "l_orderkey * 10 + l_linenumber as num", "if(l_orderkey % 2 = 0, concat('nextval(', l_suppkey, ')'), '0') as expression").distinct()),
+    }
+    return postgres.Postgres(frames.__getitem__).columns()
+
+
+def sqlserver_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    frames = {
+        sqlserver.SCHEMAS: text(read("nation").selectExpr("n_nationkey as space", "case when n_nationkey = 3 then 'cdc' else n_name end as schema")),
+        sqlserver.OBJECTS: text(read("supplier").selectExpr("s_suppkey as id", "s_nationkey as space", "s_name as name", "'U' as code", "'' as modified")),
+        sqlserver.COLUMNS: text(read("lineitem").selectExpr("l_suppkey as id", "l_orderkey * 10 + l_linenumber as num", "concat('c', l_linenumber) as name", "case l_linenumber when 1 then 'varchar' when 2 then 'nvarchar' when 3 then 'decimal' else 'int' end as type", "if(l_returnflag = 'R', -1, 2 * l_linenumber) as size", "12 as precision", "l_linenumber as scale", "if(l_returnflag = 'N', 1, 0) as nullable", "if(l_linenumber = 1, 1, 0) as identity", "if(l_linestatus = 'F', 1, 0) as computed")),
+    }
+    return sqlserver.SqlServer(frames.__getitem__).columns()
+
+
 # --- Structure -----------------------------------------------------------------------------
 
 
@@ -314,7 +337,7 @@ def health_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_parse, local_manifest, sqlserver_manifest, overloads, structure_fold, index_fold, split_types, widths, fetch_plan, dropped, reason_counts,
+        manifest_parse, local_manifest, sqlserver_manifest, overloads, postgres_columns, sqlserver_columns, structure_fold, index_fold, split_types, widths, fetch_plan, dropped, reason_counts,
         narrow, describe_plan, cache_hits, fetch_stage, key_batches, plan_summary, module_fingerprints, table_fingerprints, redacted_bodies, redaction_totals,
         personal_columns, sample_projection, sample_order, sample_rows, cost_batches, resolve_answers, missing_answers, descriptions, prompts, catalog_rows,
         parse_state, catalog_merge, size_texts, column_files, body_files, roster, mentions, writers, oldest_build, tree_ages, health_verdicts,
