@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,10 @@ def read_catalog(spark: SparkSession, tree: Path, connection: str, database: str
 
 
 def read_bodies(spark: SparkSession, tree: Path, connection: str, database: str) -> DataFrame:
-    """(key, text) of every body file."""
+    """(key, text) of every body file; its name is the key as `build.file_name` has it."""
     folder = tree / connection / database / "bodies"
     files = sorted(folder.glob("*.sql")) if folder.is_dir() else []
-    return spark.createDataFrame([(f.name[:-4], f.read_text(encoding="utf-8")) for f in files], "key string, text string")
+    return spark.createDataFrame([(unquote(f.name[:-4]), f.read_text(encoding="utf-8")) for f in files], "key string, text string")
 
 
 def inspect(spark: SparkSession, trees: list[tuple[str, Path, bool]], now: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 import re
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,7 @@ def test_absent_signals_are_always_read(spark, tmp_path):
 
 def test_odd_keys_stay_in_the_tree():
     assert B.file_name("dbo.Order Lines") == "dbo.Order Lines" and B.file_name("a.../../b%\\") == "a...%2F..%2Fb%25%5C"
+    assert all(unquote(B.file_name(k)) == k for k in ("dbo.Order Lines", "a.%2F", "a./\\\n%"))
 
 
 def test_definitions_over_jdbc(spark, tmp_path):
