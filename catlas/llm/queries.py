@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, ngram_join, pii, quality_crf, quality_forest, secret_scan, sharding, token_rollup
+from . import chat, click_windows, decontam, fill_middle, language_net, mixing, ngram_join, pii, quality_crf, quality_forest, secret_scan, sharding, token_rollup
 
 
 #: Where this machine keeps public vocabularies (see its README.md); the operator takes any path.
 TOKENIZERS = "/opt/tokenizers"
+#: Batches that copies of clicks come in.
+BATCHES = 10
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,6 +98,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("group").alias("class_id"), "n_links", "n_copies")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = language_net.held_out(F.col("doc_id"))
+    predict = language_net.predictor(language_net.train(docs, ~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), predict("text").alias("v")).select("doc_id", "held_out", "v.lang_pred", "v.score")
+
+
+def op12_click_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return click_windows.deduplicate(click_windows.copies(_read(spark, sf_dir, "clicks"), BATCHES), BATCHES)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(_read(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_crf": op2_quality_crf,
@@ -109,6 +129,9 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op9_near_matches": op9_near_matches,
     "op10_ngram_join": op10_ngram_join,
+    "op11_language": op11_language,
+    "op12_click_windows": op12_click_windows,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -208,5 +231,56 @@ a AS (
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (r)
+""",
+    "op12_click_windows": r"""
+WITH RECURSIVE
+tab AS (  -- crc32's table, from its polynomial
+  SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)),
+j AS (
+  SELECT k.*, unnest(range(0, greatest(coalesce(click_id % 3, 0), 0) + 1)) AS j, floor(epoch_us(arrived_at) / 3600000000)::BIGINT AS arrived
+  FROM clicks AS k WHERE arrived_at IS NOT NULL),
+c AS (
+  SELECT j.*, xor(list_reduce(list_transform(string_split(coalesce(click_id::VARCHAR, '') || ':' || j, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1]), 4294967295::BIGINT), 4294967295) AS c
+  FROM j, tab),
+l AS (SELECT *, arrived + 6 * j * (c % 10) AS hour, arrived + 6 * j * (c % 10) + (c // 10) % 200 AS l FROM c),
+b AS (
+  SELECT click_id, hour, ((l - min(l) OVER ()) * 10) // (max(l) OVER () - min(l) OVER () + 1) AS batch,
+         sha256(concat(client_id::VARCHAR, '|', kind, '|', floor(100 * value + 0.5)::BIGINT::VARCHAR, '|', epoch_us(ts)::VARCHAR, '|', props, '|', c % 3)) AS hash
+  FROM l),
+m AS (SELECT k AS batch, (SELECT max(hour) FROM b WHERE b.batch < k) AS m FROM range(0, 11) AS r(k)),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY click_id ORDER BY b.batch, hour, hash) AS n
+  FROM b JOIN m USING (batch) WHERE m IS NULL OR hour >= m - 24),
+w AS (
+  SELECT click_id, n, batch, hour, hash, hour AS start_hour, n AS opener, batch AS since FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.click_id, o.n, o.batch, o.hour, o.hash, CASE WHEN same THEN start_hour ELSE o.hour END, CASE WHEN same THEN opener ELSE o.n END, CASE WHEN same THEN since ELSE o.batch END
+  FROM (SELECT w.*, x.mx FROM w LEFT JOIN (SELECT batch, m AS mx FROM m) AS x USING (batch)) AS w
+  JOIN (SELECT o.*, m FROM o JOIN m USING (batch)) AS o ON o.click_id IS NOT DISTINCT FROM w.click_id AND o.n = w.n + 1,
+       LATERAL (SELECT o.hour <= start_hour + 48 AND (o.batch = w.batch OR start_hour + 48 >= o.m - 24) AS same) AS s),
+g AS (
+  SELECT click_id, opener, min(start_hour) AS start_hour, arg_min(hash, n) AS hash, count(*) - 1 AS n_repeats, max(batch) AS last, max(n) AS last_n FROM w GROUP BY click_id, opener),
+f AS (
+  SELECT click_id, opener, count(*) AS n_conflicts, sum(xor(list_reduce(list_transform(string_split(w.hash, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1]), 4294967295::BIGINT), 4294967295)) AS crc
+  FROM w JOIN g USING (click_id, opener), tab WHERE w.hash <> g.hash GROUP BY click_id, opener)
+SELECT g.click_id, g.start_hour,
+       least(coalesce((SELECT min(m.batch - 1) FROM m WHERE m.batch > g.last AND g.start_hour + 48 < m.m - 24), 9), coalesce(o.batch, 9))::BIGINT AS closed_batch,
+       g.n_repeats::BIGINT AS n_repeats, coalesce(f.n_conflicts, 0)::BIGINT AS n_conflicts, coalesce(f.crc, 0)::BIGINT AS conflict_crc, g.hash
+FROM g LEFT JOIN f ON f.click_id IS NOT DISTINCT FROM g.click_id AND f.opener = g.opener
+LEFT JOIN o ON o.click_id IS NOT DISTINCT FROM g.click_id AND o.n = g.last_n + 1
+""",
+    "op13_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4, len(u) AS n FROM d),
+p AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM x),
+c AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM p)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
 """,
 }
