@@ -19,6 +19,8 @@ from catlas.plans import build as B
 from catlas.sources import guarded, postgres, sqlserver
 from catlas.sources.tables import Tables
 
+log = logging.getLogger("catlas")
+
 VERSION = "0.1.0"
 PROBE = 'Answer with the JSON object {"objects": []} and nothing else.'
 
@@ -34,7 +36,7 @@ def open_source(record: dict[str, Any], secret: str) -> B.Source:
     if record["engine"] == "spark":
         return Tables(session(), record["host"])
     auth = "kerberos" if record["auth"] == "kerberos" else "password"
-    made = guarded.Connection(record["engine"], record["host"], record.get("database", ""), int(record.get("port", 0)), auth, record.get("username", ""), bool(record.get("trust_certificate")), record.get("params", {}))
+    made = guarded.Connection(record["engine"], record["host"], record.get("database", ""), int(record.get("port", 0)), auth, record.get("username", ""), bool(record.get("trust_certificate")), record.get("params", {}), record.get("driver", ""))
     read = guarded.reader(session(), made, secret)
     return postgres.Postgres(read) if record["engine"] == "postgres" else sqlserver.SqlServer(read)
 
@@ -72,7 +74,7 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--store", default="", help="folder of stored structures that driver and executors share")
     index.add_argument("--dry-run", action="store_true")
     sub.add_parser("doctor", help="check a connection").add_argument("connection", nargs="?", default="")
-    for kind, fields in (("connection", ("engine", "host", "port", "database", "auth", "username")), ("backend", ("provider", "model", "base-url")), ("profile", ("connection", "backend", "output-format"))):
+    for kind, fields in (("connection", ("engine", "host", "port", "database", "auth", "username", "driver")), ("backend", ("provider", "model", "base-url")), ("profile", ("connection", "backend", "output-format"))):
         acts = sub.add_parser(kind).add_subparsers(dest="act", required=True)
         add = acts.add_parser("add")
         add.add_argument("name")
@@ -94,7 +96,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _record(args: argparse.Namespace, kind: str) -> dict[str, Any]:
-    names = {"connection": ("engine", "host", "port", "database", "auth", "username"), "backend": ("provider", "model", "base_url"), "profile": ("connection", "backend", "output_format")}[kind]
+    names = {"connection": ("engine", "host", "port", "database", "auth", "username", "driver"), "backend": ("provider", "model", "base_url"), "profile": ("connection", "backend", "output_format")}[kind]
     out = {("output" if n == "output_format" else n): getattr(args, n) for n in names if getattr(args, n)}
     if kind == "connection" and "auth" not in out and out.get("engine") in config.AUTHS:
         out["auth"] = config.AUTHS[out["engine"]][0]
@@ -104,12 +106,18 @@ def _record(args: argparse.Namespace, kind: str) -> dict[str, Any]:
 
 
 def verify(kind: str, name: str, record: dict[str, Any]) -> None:
-    """Raise unless a connection answers a guarded read, or a backend one small question with JSON."""
+    """Raise unless a connection answers a guarded read, or a backend one small question with JSON.
+
+    A server that can't be reached just now is warned of and may be stored; one that
+    refuses the login, the database or the certificate has decided.
+    """
     if kind == "backend":
         json.loads(describer(record)(PROBE)["reply"])
         return
     _, error = doctor.run(name, record, open_source, dict(os.environ))
-    if error and not isinstance(error, health.Unhealthy):  # a busy server is there all the same
+    if isinstance(error, guarded.ConnectError) and error.kind == "unavailable":
+        log.warning("%s was not reached: %s", name, error)
+    elif error and not isinstance(error, health.Unhealthy):  # a busy server is there all the same
         raise error
 
 

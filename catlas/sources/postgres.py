@@ -28,8 +28,8 @@ RELATIONS = """SELECT oid::bigint AS id, relnamespace::bigint AS space, relname
 TRIGGERS = "SELECT tgrelid::bigint AS relation FROM pg_catalog.pg_trigger WHERE NOT tgisinternal"
 ROUTINES = """SELECT oid::bigint AS id, pronamespace::bigint AS space, proname AS name, prokind::text AS code,
  pg_catalog.format_type(prorettype, NULL) AS returned,
- (SELECT string_agg(pg_catalog.format_type(t, NULL), E'\\x1f' ORDER BY o) FROM unnest(COALESCE(proallargtypes, proargtypes::oid[])) WITH ORDINALITY AS a(t, o)) AS types,
- array_to_string(proargnames, E'\\x1f') AS names, array_to_string(proargmodes, E'\\x1f') AS modes
+ (SELECT string_agg(pg_catalog.format_type(t, NULL), chr(31) ORDER BY o) FROM unnest(COALESCE(proallargtypes, proargtypes::oid[])) WITH ORDINALITY AS a(t, o)) AS types,
+ array_to_string(proargnames, chr(31)) AS names, array_to_string(proargmodes, chr(31)) AS modes
  FROM pg_catalog.pg_proc WHERE prokind IN ('f', 'p')"""
 ATTRIBUTES = """SELECT attrelid::bigint AS relation, attnum AS num, attname AS name, pg_catalog.format_type(atttypid, atttypmod) AS rendered,
  attnotnull::int AS required, attidentity AS identity, attgenerated AS generated
