@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -28,7 +29,7 @@ def _sum(payload: object) -> str:
 
 def write(path: Path, key: str, signal: str, payload: object) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(path.name + ".part")
+    part = path.with_name(f"{path.name}.{uuid.uuid4().hex}.part")  # a task that is run twice at a time has its own
     part.touch(mode=0o600)
     part.write_text(json.dumps({"key": key, "signal": signal, "sum": _sum(payload), "payload": payload}), encoding="utf-8")
     part.replace(path)
@@ -45,16 +46,29 @@ def read(path: Path, key: str, signal: str) -> object | None:
     return None
 
 
+def _place(folder: Path, prompt: str) -> tuple[Path, str]:
+    key = hashlib.sha256(prompt.encode()).hexdigest()
+    return folder / file_name(key), key
+
+
+def kept_answer(folder: Path, prompt: str) -> dict | None:
+    path, key = _place(folder, prompt)
+    return read(path, key, key)
+
+
+def keep_answer(folder: Path, prompt: str, answer: dict) -> None:
+    path, key = _place(folder, prompt)
+    write(path, key, key, answer)
+
+
 def cached(describer: Callable[[str], dict], folder: str | Path) -> Callable[[str], dict]:
     """Answers given before cost nothing: their usage counts as 0."""
 
     def call(prompt: str) -> dict:
-        key = hashlib.sha256(prompt.encode()).hexdigest()
-        path = Path(folder) / file_name(key)
-        if (held := read(path, key, key)) is not None:
+        if (held := kept_answer(Path(folder), prompt)) is not None:
             return {n: v if n == "reply" else 0 for n, v in held.items()}
         answer = describer(prompt)
-        write(path, key, key, answer)
+        keep_answer(Path(folder), prompt, answer)
         return answer
 
     return call

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catlas.app.cache import keep_answer, kept_answer
 from catlas.functions.text import PROMPT_BODY_CHARS, RETURNS, trim
+from catlas.operators.numbering import numbered
+from catlas.storage import materialize
 
 # Bytes and objects of one batch.
 BATCH_BYTES, BATCH_OBJECTS = 40_000, 12
+#: Rows whose batches are numbered together.
+CHUNK = 4096
+MAPS, ENTRIES = "at bigint, exits array<bigint>, counts array<bigint>", "at bigint, entry bigint, first bigint"
 REPLY = "objects array<struct<name:string,sentence:string>>"
 NO_BODY = "(no body: compiled or encrypted)"
 CUT = "\n-- cut here"
@@ -62,26 +70,97 @@ def prompt(kind: Column, key: Column, database: Column, rows: Column, structure:
     )
 
 
-def batches(items: DataFrame, max_bytes: int = BATCH_BYTES, max_objects: int = BATCH_OBJECTS) -> DataFrame:
-    """(ord, key, cost) with `batch`: filled in order until the next item would pass a bound; an item beyond it stands alone.
+def next_starts(costs: list[int], own: int, max_bytes: int, max_objects: int) -> list[int]:
+    """For each of the first `own` items, where the batch that begins with it is followed by the next."""
+    out = []
+    for i in range(own):
+        j, spent = i + 1, costs[i]
+        while j < len(costs) and j - i < max_objects and spent + costs[j] <= max_bytes:
+            spent, j = spent + costs[j], j + 1
+        out.append(j)
+    return out
 
-    The sum starts anew with each batch, so the rule is sequential: one task
-    streams the slim rows in order and holds one batch's sums.
-    """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, spent, held = 0, 0, 0
-        for part in parts:
-            numbers = []
-            for cost in part["cost"]:
-                if held and (spent + cost > max_bytes or held >= max_objects):
-                    batch, spent, held = batch + 1, 0, 0
-                spent, held = spent + cost, held + 1
-                numbers.append(batch)
-            yield part.assign(batch=numbers)
+def batches(items: DataFrame, max_bytes: int = BATCH_BYTES, max_objects: int = BATCH_OBJECTS, chunk: int = CHUNK) -> DataFrame:
+    """(ord, key, cost) with `batch`: filled in order until the next item would pass a bound; an item beyond it stands alone.
 
-    slim = items.select("ord", "key", "cost").repartition(1).sortWithinPartitions("ord")
-    return slim.mapInPandas(run, f"{slim.schema.simpleString()[7:-1]},batch:bigint".replace(":", " "))
+    The sum starts anew with each batch, so where one begins depends on all before
+    it. But a batch holds `max_objects` at most: whatever the items before a chunk
+    of `chunk` are, the first batch that begins in it begins at one of its first
+    `max_objects` places. Each chunk tells for each of these where it would be left
+    and after how many batches; these maps are composed in order, and with the
+    place known every chunk numbers its own rows. A null cost counts as 0.
+    """
+    slim = items.select("ord", "key", F.coalesce("cost", F.lit(0)).cast("long").alias("cost"))
+    placed = numbered(slim, "ord", "key").withColumn("place", F.col("place") - 1)
+    at, offset = F.floor(F.col("place") / chunk).alias("at"), (F.col("place") % chunk).alias("offset")
+    own = placed.select("ord", "key", "cost", at, offset)
+    # Each chunk also sees the costs of the next one's first items.
+    halo = own.filter((F.col("offset") < max_objects) & (F.col("at") > 0)).withColumns({"at": F.col("at") - 1, "offset": F.col("offset") + chunk})
+    seen = own.unionByName(halo)
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("offset")
+        n = int((pdf["offset"] < chunk).sum())
+        follow = next_starts(pdf["cost"].tolist(), n, max_bytes, max_objects)
+        exits, counts = list(range(n + max_objects)), [0] * (n + max_objects)
+        for i in reversed(range(n)):
+            exits[i], counts[i] = exits[follow[i]], counts[follow[i]] + 1
+        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "exits": [[x - n for x in exits[:max_objects]]], "counts": [counts[:max_objects]]})
+
+    maps = materialize(seen.groupBy("at").applyInPandas(leave, MAPS), "batch-maps")
+    entered = materialize(entries(maps, chunk), "batch-entries")
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("offset")
+        n = int((pdf["offset"] < chunk).sum())
+        follow = next_starts(pdf["cost"].tolist(), n, max_bytes, max_objects)
+        start, batch = int(pdf["entry"].iloc[0]), int(pdf["first"].iloc[0])
+        numbers = [batch - 1] * min(start, n)  # these belong to the batch that began before the chunk
+        while start < n:
+            numbers += [batch] * (min(follow[start], n) - start)
+            start, batch = follow[start], batch + 1
+        return pdf.head(n).assign(batch=numbers)[["ord", "key", "cost", "batch"]]
+
+    schema = f"{slim.schema.simpleString()[7:-1]},batch:bigint".replace(":", " ")
+    return seen.join(entered, "at").groupBy("at").applyInPandas(number, schema)
+
+
+def entries(maps: DataFrame, fan: int) -> DataFrame:
+    """(at, entry, first): where each chunk is entered, and the number of the first batch that begins there.
+
+    `maps` has for each chunk and each place of entry the place in the next chunk
+    and the batches begun. More than `fan` of them are composed in groups of `fan`
+    first, whose maps are taken alike; only the last `fan` come to the driver.
+    """
+    spark = maps.sparkSession
+    if maps.limit(fan + 1).count() <= fan:
+        place, first, out = 0, 0, []
+        for r in sorted(maps.collect(), key=lambda r: r["at"]):
+            out.append((r["at"], place, first))
+            place, first = r["exits"][place], first + r["counts"][place]
+        return spark.createDataFrame(out, ENTRIES)
+    grouped = maps.withColumn("up", F.floor(F.col("at") / fan))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        places = list(range(len(pdf["exits"].iloc[0])))
+        begun = [0] * len(places)
+        for exits, counts in zip(pdf["exits"], pdf["counts"], strict=True):
+            begun = [n + counts[p] for n, p in zip(begun, places, strict=True)]
+            places = [exits[p] for p in places]
+        return pd.DataFrame({"at": [pdf["up"].iloc[0]], "exits": [places], "counts": [begun]})
+
+    def unroll(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        place, first, out = int(pdf["entry"].iloc[0]), int(pdf["first"].iloc[0]), []
+        for at, exits, counts in zip(pdf["at"], pdf["exits"], pdf["counts"], strict=True):
+            out.append((at, place, first))
+            place, first = exits[place], first + counts[place]
+        return pd.DataFrame(out, columns=["at", "entry", "first"])
+
+    upper = entries(materialize(grouped.groupBy("up").applyInPandas(compose, MAPS), "batch-maps"), fan)
+    return grouped.join(upper.withColumnRenamed("at", "up"), "up").groupBy("up").applyInPandas(unroll, ENTRIES)
 
 
 def batch_prompts(items: DataFrame) -> DataFrame:
@@ -93,6 +172,36 @@ def batch_prompts(items: DataFrame) -> DataFrame:
     return grouped.select("batch", F.size("items").alias("n"), F.concat_ws("\n\n", intro, F.array_join(F.transform("items", block), "\n\n")).alias("prompt"))
 
 
+def ask(prompts: DataFrame, describer: Callable[[str], dict], folder: str, workers: int) -> DataFrame:
+    """batch, reply, error, usage of prompts (batch, prompt), asked by `workers` tasks; the frame is written, asked once.
+
+    `describer` goes to the executors. Each answer is kept in `folder`, which all of
+    them share, by its prompt's digest before the task goes on, so that a task that
+    is tried again, or the next build, pays for no prompt twice; an answer from the
+    folder has no usage. A prompt that fails has an error and no reply.
+    """
+
+    def tell(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for batch, prompt in zip(part["batch"], part["prompt"], strict=True):
+                reply, error, usage = None, None, {}
+                try:
+                    answer = kept_answer(Path(folder), prompt)
+                    if answer is None:
+                        answer = describer(prompt)
+                        json.loads(answer["reply"])
+                        keep_answer(Path(folder), prompt, answer)
+                        usage = {k: float(v) for k, v in answer.items() if k != "reply"}
+                    reply = answer["reply"]
+                except Exception as failed:
+                    error = str(failed)
+                yield pd.DataFrame({"batch": [batch], "reply": [reply], "error": [error], "usage": [list(usage.items())]}).astype({"reply": object, "error": object})
+
+    asked = prompts.select("batch", "prompt").repartitionByRange(max(1, workers), "batch")
+    told = asked.mapInPandas(tell, "batch bigint, reply string, error string, usage array<struct<name:string,n:double>>")
+    return materialize(told, "answers")
+
+
 def answers(replies: DataFrame) -> DataFrame:
     """batch, name, sentence from replies (batch, reply); a reply that isn't of the schema is an error."""
     parsed = F.from_json("reply", REPLY, {"mode": "FAILFAST"})

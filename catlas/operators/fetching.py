@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catlas.operators import planning
@@ -10,7 +10,7 @@ from catlas.schemas import STRUCTURE
 from catlas.storage import listed, remove
 
 #: What the store holds; `counts` tells what was redacted from the definition.
-STORED = f"pull bigint, key string, signal string, structure {STRUCTURE}, counts map<string,int>"
+STORED = f"pull bigint, key string, signal string, structure {STRUCTURE}, counts map<string,int>, sum string"
 #: So many pulls are merged into one.
 COMPACT_AT = 16
 
@@ -27,11 +27,20 @@ def origins(selected: DataFrame, plan: DataFrame, stored: DataFrame) -> DataFram
     return asked.withColumn("origin", F.when(served, F.lit("store")).otherwise(F.lit("database"))).drop("hit", "reused")
 
 
+def checksum() -> Column:
+    """Of an entry's canonical form: its key, signal, structure, and counts by name, so that none can pass for another."""
+    counts = F.array_sort(F.map_entries("counts"))
+    form = F.to_json(F.struct("key", "signal", "structure", counts.alias("counts")), {"ignoreNullFields": "false"})
+    return F.sha2(form.cast("binary"), 256)
+
+
 class Store:
     """Structures and redacted definitions by key: one Parquet folder per build that read any.
 
     The latest pull of a key counts. A folder without its success mark, left by
-    a build that broke off, is neither read nor written again.
+    a build that broke off, is neither read nor written again. An entry proves
+    itself by its checksum; one that doesn't, and whatever a damaged or missing
+    file held, is as if it had never been kept, so a build reads it anew.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -48,14 +57,16 @@ class Store:
     def read(self) -> DataFrame:
         """key, signal, structure, counts: one row per key."""
         whole = [self._folder(n) for n, done in self._pulls().items() if done]
-        rows = self.spark.read.schema(STORED).parquet(*whole) if whole else self.spark.createDataFrame([], STORED)
+        reader = self.spark.read.schema(STORED).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        rows = reader.parquet(*whole) if whole else self.spark.createDataFrame([], STORED)
+        rows = rows.filter(F.col("key").isNotNull() & (F.col("sum") == checksum()))
         latest = F.max_by(F.struct("signal", "structure", "counts"), "pull")
         return rows.groupBy("key").agg(latest.alias("s")).select("key", "s.*")
 
     def add(self, entries: DataFrame) -> None:
         """Keep `entries` (key, modified, structure, counts)."""
         n = max(self._pulls(), default=0) + 1
-        rows = entries.select(F.lit(n).cast("bigint").alias("pull"), "key", F.col("modified").alias("signal"), "structure", "counts")
+        rows = entries.select(F.lit(n).cast("bigint").alias("pull"), "key", F.col("modified").alias("signal"), "structure", "counts").withColumn("sum", checksum())
         rows.write.parquet(self._folder(n))
 
     def compact(self, objects: DataFrame, at: int = COMPACT_AT) -> bool:

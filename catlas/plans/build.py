@@ -5,22 +5,28 @@ from __future__ import annotations
 import json
 import logging
 import os
-import re
+import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
+from threading import Condition
 from typing import Protocol
 from urllib.parse import quote
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catlas.functions import redaction
 from catlas.functions.fingerprints import SAMPLE_ROWS, fingerprint
 from catlas.operators import catalogs, describing, fetching, health, planning, sampling, structure
+from catlas.operators.numbering import numbered
 from catlas.schemas import MODULES, STATE
+from catlas.sources import tree
+from catlas.sources.guarded import OPEN_CONNECTIONS
 
 log = logging.getLogger("catlas")
 
@@ -61,6 +67,7 @@ class Options:
     dry_run: bool = False
     workers: int = 4
     store: str = ""
+    answers: str = ""
     now: datetime | None = None
 
 
@@ -85,6 +92,12 @@ class Summary:
     usage: dict[str, float] = field(default_factory=dict)
 
 
+#: Seconds between the beginnings of two samples, so that they begin in order.
+PACE = 0.02
+#: Lines of a catalog that one task joins.
+LINES = 10_000
+
+
 class Incomplete(RuntimeError):
     """Some object has no sentence, or a batch failed."""
 
@@ -136,12 +149,16 @@ def store_path(spark: SparkSession, options: Options) -> str:
         if not base:
             raise ValueError("name a store, or set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"{base.rstrip('/')}/structures"
-    return f"{base}/{quote(options.connection, safe='')}/{quote(options.database, safe='')}"
+    names = (quote(n, safe="").replace(".", "%2E") if set(n) == {"."} else quote(n, safe="") for n in (options.connection, options.database))
+    return "/".join([base, *names])
+
 
+file_name = tree.segment
 
-def file_name(key: str) -> str:
-    """A key as one path segment: separators, control characters and the escape itself as %XX."""
-    return re.sub(r"[/\\%\x00-\x1f]", lambda m: f"%{ord(m[0]):02X}", key)
+
+def home_of(options: Options) -> Path:
+    """A database's folder, below options.out whatever its name and its connection's are."""
+    return Path(options.out) / tree.segment(options.connection) / tree.segment(options.database)
 
 
 def pull(source: Source, missing: DataFrame) -> DataFrame:
@@ -178,15 +195,21 @@ def fetch(spark: SparkSession, source: Source, selected: DataFrame, plan: DataFr
 def take_samples(source: Source, todo: DataFrame, options: Options) -> dict[str, str]:
     """key: rendered sample, of as many tables as asked for, those that fit whole first.
 
-    One small read per table, since their columns differ. A failed read skips its
-    table unless the source turned unhealthy.
+    One small read per table, since their columns differ, OPEN_CONNECTIONS of them at
+    a time, begun in that order. A failed read skips its table unless the source
+    turned unhealthy: then no further one begins and those under way are cancelled.
     """
     if options.samples == 0:
         return {}
+    spark = todo.sparkSession
     plans = sampling.project(todo.select("key", "kind", "rows", F.col("structure.columns").alias("columns")))
     ordered = sampling.order(plans, max(options.samples, 0)).orderBy("place").collect()
-    out = []
-    for p in ordered:
+    out: list[tuple | None] = [None] * len(ordered)
+    left, stopped, tag = iter(range(len(ordered))), [], f"samples-{uuid.uuid4().hex}"
+    turn, asking = Condition(), []
+
+    def take(k: int) -> None:
+        p = ordered[k]
         shown = f"{p['rows']} rows, whole table" if p["complete"] else f"{SAMPLE_ROWS} of {p['rows']} rows"
         log.info("sample: %d/%d %s (%s)", p["place"], p["of"], p["key"], shown)
         try:
@@ -194,22 +217,68 @@ def take_samples(source: Source, todo: DataFrame, options: Options) -> dict[str,
         except health.Unhealthy:
             raise
         except Exception as error:
-            health.require(source.health(), "sampling")
+            if stopped:  # cancelled
+                return
+            asking.append(k)  # none begins before the source has answered
+            with turn:
+                try:
+                    health.require(source.health(), "sampling")
+                except BaseException as sick:
+                    stopped.append(sick)
+                    raise
+                finally:
+                    asking.remove(k)
+                    turn.notify_all()
             log.warning("sample: skipped %s: %s", p["key"], error)
-            continue
-        out.append((p["key"], p["readable"], values, [tuple(w) for w in p["withheld"]]))
-    frame = todo.sparkSession.createDataFrame(out, "key string, columns array<string>, rows array<array<string>>, withheld array<struct<column:string,reason:string>>")
+            return
+        out[k] = (p["key"], p["readable"], values, [tuple(w) for w in p["withheld"]])
+
+    def work() -> None:
+        spark.addTag(tag)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "samples")  # side by side where the scheduler is FAIR
+        while not stopped:
+            with turn:
+                turn.wait_for(lambda: not asking)
+                k = next(left, None) if not stopped else None
+                time.sleep(PACE if k else 0)
+            if k is None:
+                return
+            try:
+                take(k)
+            except BaseException as error:
+                stopped.append(error)
+                spark.interruptTag(tag)
+
+    threads = [InheritableThread(target=work, session=spark) for _ in range(min(OPEN_CONNECTIONS, len(ordered)))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if stopped:
+        raise stopped[0]
+    frame = spark.createDataFrame([r for r in out if r], "key string, columns array<string>, rows array<array<string>>, withheld array<struct<column:string,reason:string>>")
     return {r["key"]: r["sample"] for r in frame.select("key", sampling.render(F.col("columns"), F.col("rows"), F.col("withheld")).alias("sample")).collect()}
 
 
-def describe(spark: SparkSession, items: DataFrame, describer: Callable[[str], dict], workers: int) -> tuple[DataFrame, list[str], dict[str, float]]:
+def describe(spark: SparkSession, items: DataFrame, describer: Callable[[str], dict], workers: int, answers: str = "") -> tuple[DataFrame, list[str], dict[str, float]]:
     """(sentences, failures, usage): each batch is one call, `workers` at a time, merged in batch order.
 
     `describer` takes a prompt and returns {"reply": JSON text, ...numbers of usage}.
+    With `answers`, a folder that driver and executors share, it is called by tasks
+    and each answer kept there; the driver sees failures and sums alone. Without
+    one it is called on the driver, which then holds the prompts.
     """
     batched = items.join(describing.batches(items).select("key", "batch"), "key")
     asked = batched.select("batch", "key")
-    prompts = describing.batch_prompts(batched).orderBy("batch").collect()
+    prompts = describing.batch_prompts(batched)
+    if answers:
+        told = describing.ask(prompts, describer, answers, workers)
+        failed = [r["error"] for r in told.filter("reply is null").orderBy("batch").select("error").collect()]
+        each = told.select(F.explode("usage").alias("u")).groupBy("u.name").agg(F.sum("u.n").alias("n"))
+        usage = {r["name"]: r["n"] for r in each.collect()}
+        replies = told.filter("reply is not null").select("batch", "reply")
+        return describing.resolve(describing.answers(replies), asked).select("key", "sentence"), failed, usage
+    prompts = prompts.orderBy("batch").collect()
 
     def call(row) -> tuple[int, dict | None, str]:
         try:
@@ -237,7 +306,7 @@ def build(spark: SparkSession, source: Source, describer: Callable[[str], dict],
     summary = Summary()
     root = Path(options.out)
     writable(options.out)
-    home = root / options.connection / options.database
+    home = home_of(options)
     health.require(source.health(), "the manifest")
     objects = source.manifest().cache()
     old, state = read_tree(spark, home)
@@ -267,7 +336,7 @@ def build(spark: SparkSession, source: Source, describer: Callable[[str], dict],
     question = describing.prompt(F.col("kind"), F.col("key"), F.lit(options.database), F.col("rows"), F.col("structure"), F.coalesce("sample", F.lit("")))
     prompts = todo.join(shown, "key", "left").select(F.col("key").alias("ord"), "key", question.alias("prompt"))
     items = prompts.withColumn("cost", F.octet_length("prompt").cast("long")).cache()
-    sentences, summary.failed, summary.usage = describe(spark, items, describer, options.workers)
+    sentences, summary.failed, summary.usage = describe(spark, items, describer, options.workers, options.answers)
     sentences = sentences.cache()
     summary.described = sentences.count()
     summary.missing = [r["key"] for r in describing.missing(items, sentences).orderBy("key").collect()]
@@ -291,30 +360,29 @@ def _tsv(header: list[str], lines: list[str]) -> str:
 
 
 def _write(spark: SparkSession, home: Path, old: DataFrame, entries: DataFrame, gone: DataFrame, summary: Summary) -> None:
-    merged = catalogs.merge(old, catalogs.catalog_rows(entries), gone).select("kind", catalogs.line(F.col("cells")).alias("line"))
-    lines: dict[str, list[str]] = {}
-    for r in merged.toLocalIterator():
-        lines.setdefault(r["kind"], []).append(r["line"])
-    for kind, name in catalogs.FILES.items():
-        if kind in lines:
-            write_whole(home / name, _tsv(catalogs.header(kind), lines[kind]))
-            summary.catalogs[kind] = len(lines[kind])
-        else:
-            (home / name).unlink(missing_ok=True)
-    c = F.col
+    """Catalogs, column files and bodies, written by tasks and put in place together; files of dropped objects go with them."""
+    c, whole = F.col, F.lit(0).cast("bigint")
+    path = lambda *parts: F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    merged = catalogs.merge(old, catalogs.catalog_rows(entries), gone).select("kind", "key", catalogs.line(c("cells")).alias("line")).cache()
+    summary.catalogs = {r["kind"]: r["n"] for r in merged.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    name = F.create_map(*[F.lit(x) for kind_name in catalogs.FILES.items() for x in kind_name])
+    lines = numbered(merged, "kind", "key").withColumn("part", F.floor(c("place") / LINES) + 2)
+    texts = lines.groupBy("kind", "part").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
+    joined = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
+    files = texts.select(F.array(name[c("kind")]).alias("path"), "part", joined.alias("text"))
+    heads = [([n], 1, _tsv(catalogs.header(kind), [])) if kind in summary.catalogs else ([n], 0, None) for kind, n in catalogs.FILES.items()]
+    files = files.unionByName(spark.createDataFrame(heads, tree.FILES))
     shown = entries.filter(c("kind").isin("table", "view") & (F.size("structure.columns") > 0))
     text = catalogs.column_file(c("kind"), c("key"), c("fingerprint"), c("rows"), c("kb"), c("triggers"), c("description"), c("structure"))
-    for r in shown.select("key", text.alias("text")).toLocalIterator():
-        write_whole(home / "columns" / f"{file_name(r['key'])}.tsv", r["text"])
-        summary.column_files += 1
+    files = files.unionByName(shown.select(path("columns", F.concat("key", F.lit(".tsv"))).alias("path"), whole.alias("part"), text.alias("text")))
     bodies = entries.filter(c("kind").isin(*MODULES) & c("structure.definition").rlike(r"\S"))
     text = catalogs.body_file(c("key"), c("fingerprint"), c("modified"), c("description"), c("structure.definition"))
-    for r in bodies.select("key", text.alias("text")).toLocalIterator():
-        write_whole(home / "bodies" / f"{file_name(r['key'])}.sql", r["text"])
-        summary.body_files += 1
-    for key in summary.dropped:
-        (home / "columns" / f"{file_name(key)}.tsv").unlink(missing_ok=True)
-        (home / "bodies" / f"{file_name(key)}.sql").unlink(missing_ok=True)
+    files = files.unionByName(bodies.select(path("bodies", F.concat("key", F.lit(".sql"))).alias("path"), whole.alias("part"), text.alias("text")))
+    for folder, ending in (("columns", ".tsv"), ("bodies", ".sql")):
+        files = files.unionByName(gone.select(path(folder, F.concat("key", F.lit(ending))).alias("path"), whole.alias("part"), F.lit(None).cast("string").alias("text")))
+    summary.column_files, summary.body_files = shown.count(), bodies.count()
+    tree.write(files, home)
+    merged.unpersist()
 
 
 def outcome(summary: Summary, dry_run: bool = False) -> None:

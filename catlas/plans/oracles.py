@@ -90,7 +90,7 @@ _STAMPED = """WITH s AS (
   SELECT o_orderkey AS pos, o_orderpriority AS tree, o_orderstatus AS connection, 'db' || o_custkey AS database, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS built, o_orderdate AS seen_at
   FROM orders WHERE o_orderkey % 5 <> 0)"""
 
-_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 ORACLE_SQL = {
     "manifest_parse": with_views(
@@ -212,6 +212,24 @@ SELECT 'stage/test', 'stage' || chr(9) || 'test' || chr(9) || 'spark' || chr(9)
     ),
     "mentions": with_views(" SELECT key FROM bodies WHERE contains(text, 'app3.obj3')", "bodies"),
     "writers": with_views(r" SELECT DISTINCT key FROM (SELECT key, unnest(string_split(text, chr(10))) AS line FROM bodies) WHERE regexp_matches(line, '(?i)(insert|update|delete|merge)[^;]{0,40}app3\.obj3')", "bodies"),
+    "all_mentions": with_views(" SELECT o.key, b.key AS body FROM objects o JOIN bodies b ON contains(b.text, o.key)", "objects", "bodies"),
+    "all_writers": with_views(
+        r""", lines AS (SELECT key AS body, unnest(string_split(text, chr(10))) AS line FROM bodies),
+said AS (SELECT DISTINCT body, line FROM lines WHERE regexp_matches(line, '(?i)insert|update|delete|merge') AND contains(line, '.'))
+SELECT DISTINCT o.key, body FROM objects o JOIN said ON contains(lower(line), lower(o.key)) WHERE regexp_matches(line, '(?i)(insert|update|delete|merge)[^;]{0,40}' || replace(o.key, '.', '\.'))""",
+        "objects",
+        "bodies",
+    ),
+    "server_health": """
+WITH r AS (
+  SELECT s_suppkey AS server, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey % 2 = 0 END AS seen, floor(s_acctbal / 100) / 4 AS gb,
+         CASE WHEN s_nationkey % 5 = 0 THEN 'memory is Low' ELSE 'memory is fine' END AS state, s_suppkey % 11 = 0 AS low, s_suppkey % 9 AS waiting FROM supplier),
+w AS (
+  SELECT server, seen IS NOT NULL AS known,
+         CASE WHEN seen IS NULL THEN 'server memory state could not be read' WHEN seen AND gb < 2 THEN 'only ' || regexp_replace(gb::VARCHAR, '\.0$', '') || ' GB of OS memory free (floor is 2 GB)'
+              WHEN seen AND contains(lower(state), 'low') THEN 'the server reports "' || state || '"' WHEN low THEN 'the server signalled physical memory low'
+              WHEN waiting > 5 THEN waiting || ' queries are queued waiting for a resource' ELSE '' END AS reason FROM r)
+SELECT server, reason = '' AS ok, known, reason FROM w""",
     "oldest_build": _STAMPED + " SELECT connection, database, built FROM s ORDER BY seen_at, pos LIMIT 1",
     "tree_ages": _STAMPED + """, f AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY seen_at, pos) AS n FROM s),
 h AS (SELECT *, date_diff('second', seen_at, TIMESTAMP '2026-03-05 09:30:00') / 3600.0 AS hours FROM f WHERE n = 1)

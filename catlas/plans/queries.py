@@ -315,6 +315,14 @@ def writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.writers(view(spark, sf_dir, "bodies"), "APP3.obj3")
 
 
+def all_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.all_mentions(view(spark, sf_dir, "bodies"), view(spark, sf_dir, "objects"))
+
+
+def all_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.all_writers(view(spark, sf_dir, "bodies"), view(spark, sf_dir, "objects"))
+
+
 def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     built = F.when(F.col("o_orderkey") % 5 == 0, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
@@ -334,12 +342,21 @@ def health_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.classify(spark.createDataFrame(rows, health.READING)).select("memory_visible", "waiting", "ok", "known", "reason")
 
 
+def server_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over readings made of the suppliers' balances, every reason among them."""
+    readings = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(
+        "s_suppkey as server", "if(s_suppkey % 7 = 0, null, s_suppkey % 2 = 0) as memory_visible", "floor(s_acctbal / 100) / 4 as available_gb",
+        "if(s_nationkey % 5 = 0, 'memory is Low', 'memory is fine') as state", "s_suppkey % 11 = 0 as memory_low", "cast(s_suppkey % 9 as int) as waiting",
+    )
+    return health.classify(readings).select("server", "ok", "known", "reason")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         manifest_parse, local_manifest, sqlserver_manifest, overloads, postgres_columns, sqlserver_columns, structure_fold, index_fold, split_types, widths, fetch_plan, dropped, reason_counts,
         narrow, describe_plan, cache_hits, fetch_stage, key_batches, plan_summary, module_fingerprints, table_fingerprints, redacted_bodies, redaction_totals,
         personal_columns, sample_projection, sample_order, sample_rows, cost_batches, resolve_answers, missing_answers, descriptions, prompts, catalog_rows,
-        parse_state, catalog_merge, size_texts, column_files, body_files, roster, mentions, writers, oldest_build, tree_ages, health_verdicts,
+        parse_state, catalog_merge, size_texts, column_files, body_files, roster, mentions, writers, all_mentions, all_writers, oldest_build, tree_ages, health_verdicts, server_health,
     )
 }
