@@ -43,6 +43,8 @@ END = 1 << 60
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A query takes one batch, so an open store has no second use; closed, it gives its local files back.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 FED = "bucket int, mark int, unknown boolean, id long, hour long, hash binary, n long, mixed boolean, crc long, batch int"
