@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import chat, click_windows, decontam, fill_middle, language_net, mixing, ngram_join, pii, quality_crf, quality_forest, secret_scan, sharding, token_rollup
 
 
-#: Where this machine keeps public vocabularies (see its README.md); the operator takes any path.
-TOKENIZERS = "/opt/tokenizers"
+#: The setting that names the folder of public vocabularies, and the folder where it is unset.
+TOKENIZERS_SETTING, TOKENIZERS = "spark.catlas.tokenizers", "/opt/tokenizers"
 #: Batches that copies of clicks come in.
 BATCHES = 10
 
@@ -23,8 +23,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.copies().select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).cast("long").alias("taken"))
 
 
+def _tokenizers(spark: SparkSession) -> dict:
+    path = spark.conf.get(TOKENIZERS_SETTING, TOKENIZERS)
+    try:
+        return token_rollup.tokenizers_at(path)
+    except OSError as error:
+        raise ValueError(f"set {TOKENIZERS_SETTING} to a folder that holds byte_bpe_50k.tiktoken: {error}") from None
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rollup.follow(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), token_rollup.tokenizers_at(TOKENIZERS))
+    return token_rollup.follow(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), _tokenizers(spark))
 
 
 def op3_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ what came after it; batches stay known by name, and stay committed once.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,6 +27,28 @@ _SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space as PIECES has it, and how much of it in a row is counted apart.
+SPACE, LONG_RUN = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000", 1000
+
+
+def runs_apart(text: str) -> Iterator[tuple[str, bool]]:
+    """(part, whether it is one piece): a text cut around long runs of white space, without moving a boundary of PIECES.
+
+    Such a run is one piece but for its last character, which goes with what
+    follows it; at the end of the text it is one whole. The pattern's look-ahead
+    remembers each character of a run, so a run of any length mustn't come near it.
+    """
+    at = 0
+    for run in re.finditer(f"[{SPACE}]{{{LONG_RUN},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
 def words(text: Column) -> Column:
     return word_count(text)
 
@@ -34,8 +57,8 @@ def byte_bpe(path: str, name: str) -> Callable[[Column], Column]:
     """A column function that counts a byte-level vocabulary's tokens of whole texts.
 
     The vocabulary file is read once, on the driver, and goes to the executors
-    as a value (a fixed file of under 1 MB). Texts with very long runs are cut
-    by the vocabulary's own pieces only.
+    as a value (a fixed file of under 1 MB). Runs of any length, of white space or
+    of anything else, are counted as the vocabulary's own pieces.
     """
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -45,8 +68,12 @@ def byte_bpe(path: str, name: str) -> Callable[[Column], Column]:
         import tiktoken
 
         coder = tiktoken.Encoding(name, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+        def tokens(text: str) -> int:
+            return sum(len(coder._encode_single_piece(p) if whole else coder.encode_ordinary(p)) for p, whole in runs_apart(text))
+
         for part in parts:
-            yield pd.Series([len(coder.encode_ordinary(t)) if t else 0 for t in part], dtype="int64")
+            yield pd.Series([tokens(t) if t else 0 for t in part], dtype="int64")
 
     return count
 
@@ -119,7 +146,12 @@ class Rollup:
 
 
 def count(docs: DataFrame, tokenizers: dict[str, Callable[[Column], Column]], sign: int = 1, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One signed row per document and tokenizer, with the columns `keep`. Null counts as empty: a document of 0 tokens. Null keys stay null."""
+    """One signed row per document and tokenizer, with the columns `keep`.
+
+    Null counts as empty: a document of 0 tokens. Null keys stay null. A text of any
+    length is counted whole, in the task that reads it; an empty table gives no
+    rows. Of `docs` only `keep`, source, lang and the text are read, whatever else it has.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(*keep, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *[f(text).alias(f"__n{i}") for i, f in enumerate(tokenizers.values())])
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(f"__n{i}").alias("tokens")) for i, name in enumerate(tokenizers)]))
@@ -149,7 +181,8 @@ def follow(docs: DataFrame, labels: DataFrame, tokenizers: dict[str, Callable[[C
     empty texts, then deleted; they come back; the repeat of a batch changes
     nothing. So the totals are those of all documents, after signed changes and a
     compaction. Each text is counted once: later batches join its written counts.
-    Repeated rows and labels, null ids and null keys are counted as they stand.
+    Repeated rows and labels, null ids and null keys are counted as they stand;
+    empty tables have no totals; columns of other names are never read.
     """
     spark = docs.sparkSession
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup")
