@@ -23,6 +23,8 @@ from .common import materialize
 MAX_BYTES = 16 << 20
 #: Rendering of one turn: head, text, end. Marks are broken up inside texts and names.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
+#: Turns whose positions are added up together.
+CHUNK = 512
 #: What a head and an end add to a turn's own bytes, about.
 MARKS = 32
 
@@ -58,6 +60,26 @@ def _blocks(turns: DataFrame, max_bytes: int) -> DataFrame:
     return led.select("conv_id", "block", F.concat(F.when(F.col("block") > 0, F.col("opening")).otherwise(none), F.col("turns")).alias("turns"))
 
 
+def _spans(sizes: Column) -> Column:
+    """Start and end of the own turns' bodies, from each turn's (own, head, body) lengths.
+
+    An array grows by being copied, so positions are added up chunk by chunk of
+    CHUNK turns: where each chunk begins first, then inside each from there.
+    """
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def step(a: Column, s: Column) -> Column:
+        begin, end = a["at"] + s["head"], a["at"] + s["head"] + s["body"]
+        span = F.struct(begin.alias("s"), end.alias("e"))
+        return F.struct(end.alias("at"), F.when(s["own"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+
+    chunks = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(CHUNK)), lambda k: F.slice(sizes, k, CHUNK))
+    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + s["head"] + s["body"]))
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(lengths, begun, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
+    return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("spans")), step)["spans"]))
+
+
 def rotate(turns: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per conversation and speaker (and block, beyond `max_bytes`): conv_id,
     speaker, block, n_turns, text, mask (sorted start:end of the assistant's texts
@@ -93,14 +115,7 @@ def rotate(turns: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
         F.transform("turns", lambda t: F.struct((t["role"] == speaker).alias("own"), F.char_length(_head(t["role"], speaker)).alias("head"), (F.char_length(t["text"]) + len(END)).alias("body"))).alias("sizes"),
         F.array_join(F.transform("turns", lambda t: F.concat(_head(t["role"], speaker), t["text"], F.lit(END))), "").alias("text"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
-
-    def step(a: Column, s: Column) -> Column:
-        begin, end = a["at"] + s["head"], a["at"] + s["head"] + s["body"]
-        span = F.struct(begin.alias("s"), end.alias("e"))
-        return F.struct(end.alias("at"), F.when(s["own"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
-
-    masked = rendered.withColumn("spans", F.aggregate("sizes", start, step)["spans"])
+    masked = rendered.withColumn("spans", _spans(F.col("sizes")))
     mask = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
     masked_length = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]).cast("long"))
     return masked.select("conv_id", "speaker", "block", "n_turns", "text", mask.alias("mask"), masked_length.alias("n_masked"))
