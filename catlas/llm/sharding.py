@@ -33,6 +33,11 @@ DIMENSIONS = ("source", "lang", "length")
 GROUP_SHARE = 0.01
 
 
+def _digits(rows: Column, each: int) -> Column:
+    """Hexadecimal digits of a key that part so many rows into about `each`."""
+    return F.greatest(F.ceil(F.log(16.0, rows / F.lit(each))), F.lit(0)).cast("int")
+
+
 def _rank(rows: DataFrame, column: str, out: str) -> DataFrame:
     """Each of `column`'s distinct values with its place among them; written, so it is broadcast only if small."""
     values = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).select(column)
@@ -57,12 +62,14 @@ def describe(docs: DataFrame, leaves: int | None, target_bytes: int | None = Non
         leaves = max(1, math.ceil(total / (target_bytes or 1 << 30)))
     group = ["size", "crc", "hash"]
     held = classes.groupBy(*group).agg(F.sum("n").alias("rows"), F.min(F.struct("src", "lng")).alias("home")).filter("rows > 1")
-    whole = held.filter(F.col("rows") * F.col("size") <= F.lit(total / leaves * GROUP_SHARE)).select(*group, "home")
+    whole = held.filter(F.col("rows") * F.col("size") <= F.lit(total / leaves * GROUP_SHARE)).select(*group, "home", _digits(F.col("rows"), ROWS_PER_PREFIX).alias("parts"))
     joined = classes.join(materialize(whole, "shard-groups"), group, "left")
     rows = spread(joined, "n", "at")
     alone = shuffle_key(F.col("id"), F.col("size"), F.col("crc"), F.col("hash"), F.col("src"), F.col("lng"), F.col("at"))
     key = F.when(F.col("home").isNull(), alone).otherwise(shuffle_key(F.col("size"), F.col("crc"), F.col("hash")))
-    rows = rows.select("id", "size", "crc", key.alias("key"), F.coalesce(F.col("home.src"), F.col("src")).alias("src"), F.coalesce(F.col("home.lng"), F.col("lng")).alias("lng"), "length")
+    # Rows of one key may be very many; where they are, their slots are counted by parts of a key of their own.
+    parted = F.when(F.col("home").isNotNull(), F.substring(alone, F.lit(1), F.col("parts"))).otherwise("")
+    rows = rows.select("id", "size", "crc", key.alias("key"), parted.alias("sub"), F.coalesce(F.col("home.src"), F.col("src")).alias("src"), F.coalesce(F.col("home.lng"), F.col("lng")).alias("lng"), "length")
     for column, rank in (("src", "source"), ("lng", "lang")):
         rows = rows.join(_rank(classes, column, rank), column).drop(column)
     return materialize(rows, "shard-rows"), leaves
@@ -112,6 +119,7 @@ def kd_tree(rows: DataFrame, leaves: int) -> tuple[DataFrame, list[DataFrame]]:
         hist = inside.groupBy("lo", "prefix", "value", "base", "axis", "left_k", "goal").agg(F.sum("size").alias("bytes"))
         at_prefix = _local(_first_over(hist, "prefix", ["value", "axis", "left_k", "goal"]))
         edge = live.join(at_prefix, "lo").filter((value == F.col("value")) & (prefix == F.col("prefix")))
+        edge = edge.groupBy("lo", "key", "value", "base", "axis", "left_k", "goal").agg(F.sum("size").alias("size"))  # one row for a key of any size
         upto = F.col("base") + F.sum("size").over(Window.partitionBy("lo").orderBy("key"))
         cut = edge.withColumn("upto", upto).filter("upto > goal").groupBy("lo", "axis", "value", "left_k").agg(F.min("key").alias("cut"))
         split = _local(cut)
@@ -134,14 +142,17 @@ def shard(docs: DataFrame, target_bytes: int | None = None, leaves: int | None =
     Give `leaves`, or `target_bytes` for as many leaves as that takes. Size is
     the text's UTF-8 bytes plus 8; null counts as empty. Slots run from 0 without
     a gap in each shard. Missing source or lang sorts last. Repeated rows keep
-    their count. Ids need not be unique or there at all. An empty table gives no rows.
+    their count. Ids need not be unique or there at all. An empty table gives no
+    rows. A text of any length is one row of its size. Only id, text, source and lang
+    are read, whatever else the table has. Rows of one text, however many and
+    short, are numbered by parts, so that none of them is a task's alone.
     """
     rows, leaves = describe(docs, leaves, target_bytes)
     placed, _ = kd_tree(rows, leaves)
     placed = placed.withColumnRenamed("lo", "shard")
     digits = max(1, min(6, math.ceil(math.log(max(2, rows.count() / ROWS_PER_PREFIX), 16))))
     placed = placed.withColumn("part", F.substring("key", 1, digits))
-    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = materialize(counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n"), "shard-counts")
-    order = Window.partitionBy("shard", "part").orderBy("key", "id", "crc", "size")
-    return placed.join(before, ["shard", "part"]).select("id", "size", "crc", F.col("shard").cast("int").alias("shard"), (F.col("before") + F.row_number().over(order) - 1).alias("slot"))
+    counts = placed.groupBy("shard", "part", "sub").agg(F.count(F.lit(1)).alias("n"))
+    before = materialize(counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part", "sub")) - F.col("n")).drop("n"), "shard-counts")
+    order = Window.partitionBy("shard", "part", "sub").orderBy("key", "id", "crc", "size")
+    return placed.join(before, ["shard", "part", "sub"]).select("id", "size", "crc", F.col("shard").cast("int").alias("shard"), (F.col("before") + F.row_number().over(order) - 1).alias("slot"))
