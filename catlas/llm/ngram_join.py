@@ -287,12 +287,9 @@ def verify(texts: list[str], blocks: np.ndarray, across: bool, threshold: float,
 def _verify_frame(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, out = _Words(), []
-        for (_, i, j), given in _groups(batches, ["cluster", "i", "j"], ["h", "block", "text"]):
-            # A repeated row (one id, one text) comes again; its class counts once.
-            rows = [r for k, r in enumerate(given) if not k or given[k - 1][0] != r[0]]
-            if len(rows) > 1:
-                links, root = verify([r[2] for r in rows], np.array([r[1] for r in rows]), i != j, threshold, cache)
-                out += [(rows[k][0], int(links[k]), rows[root[k]][0]) for k in np.flatnonzero(links)]
+        for (_, i, j), rows in _groups(batches, ["cluster", "i", "j"], ["h", "block", "text"]):
+            links, root = verify([r[2] for r in rows], np.array([r[1] for r in rows]), i != j, threshold, cache)
+            out += [(rows[k][0], int(links[k]), rows[root[k]][0]) for k in np.flatnonzero(links)]
             if len(out) >= OUT_ROWS:
                 yield pd.DataFrame(out, columns=["h", "links", "root"])
                 out = []
@@ -309,7 +306,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     Equal texts are one class whatever their number; null counts as empty, and
     blank texts match only equal ones. Null ids sort before others. Rows with
-    one id may have different texts. An empty table gives no rows.
+    one id may have different texts. An empty table gives no rows. A text of any
+    length is read whole. Only the id and the text are read, whatever else the table has.
     """
     bands, rows = bands_for(threshold, recall)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -338,7 +336,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     placed = materialize(_salted(members, sizes, "cluster").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")), "placed")
     same_id = F.col("s.id").eqNullSafe(F.col("p.rep"))
     # One plan at every size: texts move once, and nothing depends on a broadcast that a larger corpus outgrows.
-    texts = slim.alias("s").join(placed.hint("merge").alias("p"), (F.col("s.h") == F.col("p.h")) & same_id).select("p.cluster", "p.blocks", "p.block", "p.h", "s.text")
+    # Rows of one id and text, however many, are one before they move.
+    once = slim.groupBy("h", "id").agg(F.first("text").alias("text"))
+    texts = once.alias("s").join(placed.hint("merge").alias("p"), (F.col("s.h") == F.col("p.h")) & same_id).select("p.cluster", "p.blocks", "p.block", "p.h", "s.text")
     tasks = _pairs_of_blocks(texts).select(F.hex("cluster").alias("cluster"), "i", "j", "h", "block", "text")
     tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "h")
     found = materialize(tasks.mapInPandas(_verify_frame(threshold), "h binary, links long, root binary"), "links")
