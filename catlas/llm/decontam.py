@@ -252,6 +252,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Null and empty texts have no words and no hits; items without words match
     nothing; an item shorter than the window is one window, and one of several
     rows is listed once. Repeated rows are each returned. Empty tables give no rows or no hits.
+    A text of any length is indexed whole, by one task; columns but the id and the
+    text are never read, whatever their names.
     """
     index = build_index(docs, id_col, text_col)
     parts = []

@@ -323,7 +323,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     with base spans, in a pattern of high confidence; their rank is that of the
     pattern's kind. Those that overlap become one, with the rank of the longest.
     Null and empty texts have no spans; repeated rows are each returned; an
-    empty table gives no rows.
+    empty table gives no rows. A text of any length is read whole, by one task;
+    columns but the id and the text are never read, whatever their names.
     """
     extracted = extract(docs, id_col, text_col)
     patterns = score_patterns(extracted, rounds, confidence, support)
