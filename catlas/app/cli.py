@@ -72,6 +72,7 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--out", default="index")
     index.add_argument("--backend", default="")
     index.add_argument("--store", default="", help="folder of stored structures that driver and executors share")
+    index.add_argument("--answers", default="", help="folder that driver and executors share; the backend is then asked by tasks, each prompt once")
     index.add_argument("--dry-run", action="store_true")
     sub.add_parser("doctor", help="check a connection").add_argument("connection", nargs="?", default="")
     for kind, fields in (("connection", ("engine", "host", "port", "database", "auth", "username", "driver")), ("backend", ("provider", "model", "base-url")), ("profile", ("connection", "backend", "output-format"))):
@@ -173,11 +174,11 @@ def index(args: argparse.Namespace, c: config.Config, format_: str) -> tuple[str
     database = args.db or record.get("database", "") or "main"
     backend = c.get("backend", args.backend or profile.get("backend", "")) if not args.dry_run else None
     secret = "" if record["auth"] in config.SECRETLESS else config.secret("connection", name)
-    o = B.Options(name, database, record["engine"], args.out, args.match, args.limit, args.samples, args.force, args.dry_run, store=args.store, now=datetime.now(timezone.utc))
+    o = B.Options(name, database, record["engine"], args.out, args.match, args.limit, args.samples, args.force, args.dry_run, store=args.store, answers=args.answers, now=datetime.now(timezone.utc))
     spent: dict[str, float] = {}
-    ask = cache.cached(cache.retried(cache.metered(describer(backend), spent)), Path(args.config).parent / ".catlas-answers") if backend else lambda prompt: {}
+    ask = (lambda prompt: {}) if not backend else cache.retried(describer(backend)) if o.answers else cache.cached(cache.retried(cache.metered(describer(backend), spent)), Path(args.config).parent / ".catlas-answers")
     summary = B.build(session(), open_source({**record, "database": database}, secret), ask, o)
-    summary.usage = spent
+    summary.usage = summary.usage if o.answers else spent
     try:
         B.outcome(summary, o.dry_run)
     except B.Incomplete as error:

@@ -64,16 +64,17 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a window of a benchmark item; null and empty texts have none and stay, as do all if either table is empty."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it."""
+    """Every document as often as the mixture takes it; repeated rows each count, null and empty texts weigh nothing and are taken with their place."""
     return mixing.apply(mixing.mix(docs), docs)
 
 
 def put_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and slot for every row: doc_id, size, text_crc32, shard, slot."""
+    """A shard and slot for every row: doc_id, size, text_crc32, shard, slot; repeated rows each have a slot, null texts count as empty, no rows give none."""
     rows = sharding.shard(docs, leaves=SHARDS)
     return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
