@@ -32,7 +32,7 @@ HOSTILE = {
     1: "x" + " " * 10_000_000 + "y",
     2: "a" * 3_000_000,
     3: "!" * 3_000_000,
-    4: "\n" * 2_000_000,
+    4: "\n" * 400_000,
     5: "x" + "　" * 1_200_000,
     6: "one two three four five six seven " * 20_000,
     7: None,
@@ -91,12 +91,12 @@ def test_rendering_is_linear_in_turns(spark):
 
 
 def test_many_short_equal_texts_are_no_tasks_own(spark):
-    docs = spark.range(60_064).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 64, F.concat(F.col("id"), F.repeat(F.lit("x"), 1_200_000))).otherwise("").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    docs = spark.range(40_064).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 64, F.concat(F.col("id"), F.repeat(F.lit("x"), 1_200_000))).otherwise("").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
     rows, leaves = sharding.describe(docs, 2)
     assert rows.groupBy("key", "sub").count().agg(F.max("count")).first()[0] < 2 * sharding.ROWS_PER_PREFIX
     assert rows.filter("size = 8").select("key").distinct().count() == 1
     got = sharding.shard(docs, leaves=2).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"), F.sum(F.when(F.col("size") == 8, 1)).alias("short")).collect()
-    assert sorted(r["short"] or 0 for r in got) == [0, 60_000]  # a group of under 1 % of a shard stays whole
+    assert sorted(r["short"] or 0 for r in got) == [0, 40_000]  # a group of under 1 % of a shard stays whole
     assert all(r["first"] == 0 and r["last"] == r["n"] - 1 == r["slots"] - 1 for r in got)
     assert max(r["bytes"] for r in got) - min(r["bytes"] for r in got) <= 3_000_000
 
