@@ -5,8 +5,10 @@ import os
 import duckdb
 import pytest
 
-from catlas.plans.oracles import ORACLE_SQL
-from catlas.plans.queries import QUERIES
+from catlas.plans import catalog_queries, oracles, queries
+
+QUERIES = queries.QUERIES | catalog_queries.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | catalog_queries.ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 
