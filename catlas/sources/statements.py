@@ -200,12 +200,15 @@ def reader(spark: SparkSession, connection: Connection, secret: str, source: typ
     with the condition's own parameters, over OPEN_CONNECTIONS connections at a time.
     """
     spark.dataSource.register(source)
+    known: dict[str, list[str]] = {}
 
     def read(statement: str, conditions: Sequence[str] = (), parameters: Sequence[Sequence[Any]] = ()) -> DataFrame:
         each = [[f"SELECT * FROM ({statement}) picked WHERE {c}", list(p)] for c, p in zip(conditions, parameters or [()] * len(conditions), strict=True)] if conditions else [[statement, []]]
         for text, _ in each:
             assert_read(text, connection.engine)
-        names = columns_of(source.connect, connection, secret, *each[0])
+        if statement not in known:  # a statement is asked for its names once, however often it is read
+            known[statement] = columns_of(source.connect, connection, secret, *each[0])
+        names = known[statement]
         rows = spark.read.format(source.name()).option("connection", json.dumps(asdict(connection))).option("secret", secret)
         try:
             out = rows.option("statements", json.dumps(each)).option("columns", json.dumps(names)).load()

@@ -176,7 +176,7 @@ def test_a_sick_source_is_not_asked_further(spark, tmp_path):
     source = Many(spark, wait=0.1, broken=("dbo.T04",), sick_after=3)
     with pytest.raises(health.Unhealthy):
         B.take_samples(source, todo(spark, source), options(tmp_path))
-    assert 5 <= len(source.sampled) <= 8
+    assert 5 <= len(source.sampled) <= 10  # those under way when it turned sick, none after
 
 
 # Describing
