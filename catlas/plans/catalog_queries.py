@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catlas.functions import text as T
-from catlas.operators import catalogs, describing, health, planning, reading, sampling, structure
+from catlas.operators import catalogs, describing, fetching, health, planning, reading, sampling, structure
+from catlas.plans import oracles, queries
 from catlas.plans.workload import view, with_views
-from catlas.sources import postgres, sqlserver
+from catlas.sources import postgres, sqlserver, tree
+from catlas.storage import shared_dir
 
 
 class Frames:
@@ -182,11 +184,33 @@ def worst_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.tree_ages(rows, F.lit("2026-03-05 09:30:00").cast("timestamp")).select("tree", "database", "built", "age")
 
 
+def written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column and body files as tasks have written them, read back: path below the tree and digest."""
+    root = tree.local_path(shared_dir(spark))
+    path = lambda folder, ending: F.array(F.lit(folder), F.concat("key", F.lit(ending)))
+    c = F.col
+    text = catalogs.body_file(c("key"), F.lit("0123456789abcdef"), F.when(c("doc_id") % 2 == 0, F.lit("2026-01-01")), F.lit("Says\nthings."), c("text"))
+    bodies = view(spark, sf_dir, "bodies").select(path("bodies", ".sql").alias("path"), F.lit(0).cast("bigint").alias("part"), text.alias("text"))
+    columns = queries.column_files(spark, sf_dir).select(path("columns", ".tsv").alias("path"), F.lit(0).cast("bigint").alias("part"), "text")
+    tree.write(bodies.unionByName(columns), root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}")
+    return found.select(F.substring_index("path", "/", -2).alias("path"), F.md5("content").alias("file_md5"))
+
+
+def stored_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store serves after two pulls, of all tables and then of some under a new signal."""
+    kept = fetching.Store(spark, f"{shared_dir(spark)}/store")
+    entries = queries._entries(spark, sf_dir).withColumn("counts", F.create_map(F.lit("email"), (F.col("pk") % 5).cast("int"), F.lit("password"), F.lit(1)))
+    kept.add(entries)
+    kept.add(entries.filter("pk % 3 = 0").withColumn("modified", F.lit("2027-01-01")))
+    return kept.read().select("key", "signal", F.size("structure.columns").cast("long").alias("n_columns"), F.col("counts")["email"].cast("long").alias("emails"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         postgres_manifest, postgres_parameters, postgres_indexes, postgres_foreign_keys, postgres_modules, postgres_health, sqlserver_indexes, sqlserver_foreign_keys, sqlserver_parameters, sqlserver_synonyms,
-        sqlserver_modules, sqlserver_health, module_catalog_rows, batch_prompts, parsed_answers, sample_texts, module_filter, roster_counts, worst_trees,
+        sqlserver_modules, sqlserver_health, module_catalog_rows, batch_prompts, parsed_answers, sample_texts, module_filter, roster_counts, worst_trees, written_tree, stored_structures,
     )
 }
 
@@ -272,4 +296,11 @@ f AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY seen, o_custkey) A
 h AS (SELECT *, floor(date_diff('second', seen, TIMESTAMP '2026-03-05 09:30:00') / 3600.0) AS hours FROM f WHERE n = 1)
 SELECT tree, o_custkey::VARCHAR AS database, strftime(seen, '%Y-%m-%dT%H:%M:%S') AS built,
        CASE WHEN hours >= 24 THEN floor(hours / 24)::BIGINT || CASE WHEN floor(hours / 24) = 1 THEN ' day' ELSE ' days' END ELSE hours::BIGINT || CASE WHEN hours = 1 THEN ' hour' ELSE ' hours' END END AS age FROM h""",
+    "written_tree": f"SELECT 'bodies/' || key || '.sql' AS path, file_md5 FROM ({oracles.ORACLE_SQL['body_files']}) UNION ALL SELECT 'columns/' || key || '.tsv', md5(text) FROM ({oracles.ORACLE_SQL['column_files']})",
+    "stored_structures": with_views(
+        """, c AS (SELECT key, count(*) AS n FROM columns GROUP BY key)
+SELECT key, CASE WHEN pk % 3 = 0 THEN '2027-01-01' ELSE modified END AS signal, coalesce(n, 0)::BIGINT AS n_columns, (pk % 5)::BIGINT AS emails FROM objects LEFT JOIN c USING (key) WHERE kind = 'table'""",
+        "objects",
+        "columns",
+    ),
 }

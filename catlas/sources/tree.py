@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -102,7 +103,15 @@ class TreeWriter(DataSourceWriter):
         shutil.rmtree(self.work, ignore_errors=True)
 
 
+def local_path(root: str | Path) -> str:
+    """`root` as a path of this machine's file system; a tree isn't written to a store that only Spark reads."""
+    parts = urlsplit(str(root))
+    if parts.scheme not in ("", "file") or parts.netloc not in ("", "localhost"):
+        raise ValueError(f"a tree needs a folder that driver and executors have mounted, not {root}")
+    return os.path.abspath(parts.path if parts.scheme else str(root))
+
+
 def write(files: DataFrame, root: str | Path) -> None:
     """Bring the files of `files` (FILES) below `root`, a folder that driver and executors share."""
     files.sparkSession.dataSource.register(TreeFiles)
-    files.select("path", "part", "text").write.format(NAME).mode("append").option("root", os.path.abspath(root)).option("run", uuid.uuid4().hex).save()
+    files.select("path", "part", "text").write.format(NAME).mode("append").option("root", local_path(root)).option("run", uuid.uuid4().hex).save()

@@ -59,6 +59,13 @@ def test_names_stay_below_the_tree(spark, tmp_path):
     assert (again.refetch, again.described, again.unchanged) == (0, 0, 4)
 
 
+def test_trees_lie_in_mounted_folders(tmp_path):
+    assert tree.local_path(f"file://{tmp_path}") == tree.local_path(tmp_path) == str(tmp_path)
+    for root in ("hdfs://host/x", "s3a://bucket/x", "file://elsewhere/x"):
+        with pytest.raises(ValueError, match="mounted"):
+            tree.local_path(root)
+
+
 # Batches
 
 
