@@ -1,4 +1,4 @@
-"""The command line: index, doctor, connection, backend, profile, config, version."""
+"""The command line: index, doctor, connection, backend, profile, config, version, completion."""
 
 from __future__ import annotations
 
@@ -62,6 +62,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", "-o", default="")
     p.add_argument("--quiet", action="store_true")
     p.add_argument("--force", action="store_true")
+    p.add_argument("--no-input", action="store_true", help="never ask; no command does, so scripts may always give it")
     sub = p.add_subparsers(dest="command", required=True)
     index = sub.add_parser("index", help="bring an index up to date with a database")
     index.add_argument("connection", nargs="?", default="")
@@ -93,9 +94,39 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("key")
     one.add_argument("value")
     sub.add_parser("version")
+    sub.add_parser("completion", help="print a script that completes commands and flags in a shell").add_argument("shell", choices=("bash", "zsh"))
     return p
 
 
+def words(p: argparse.ArgumentParser, path: tuple[str, ...] = ()) -> dict[tuple[str, ...], list[str]]:
+    """What may follow each path of commands: sub-commands, flags and fixed choices."""
+    out: dict[tuple[str, ...], list[str]] = {path: []}
+    for action in p._actions:
+        if isinstance(action, argparse._SubParsersAction):
+            for name, child in action.choices.items():
+                out |= words(child, (*path, name))
+        out[path] += [*action.option_strings, *map(str, action.choices or ())]
+    return out
+
+
+def completion(shell: str) -> str:
+    """A shell function that offers the words of the longest path of commands typed so far."""
+    cases = "\n".join(f'    "{" ".join(path)}") words="{" ".join(found)}" ;;' for path, found in words(parser()).items())
+    start = "autoload -U +X bashcompinit && bashcompinit\n" if shell == "zsh" else ""
+    commands = " ".join(sorted({w for path in words(parser()) for w in path}))
+    return f"""{start}_catlas() {{
+  local words="" path="" w
+  for w in "${{COMP_WORDS[@]:1:COMP_CWORD-1}}"; do
+    case " {commands} " in *" $w "*) path="${{path:+$path }}$w" ;; esac
+  done
+  case "$path" in
+{cases}
+  esac
+  COMPREPLY=($(compgen -W "$words" -- "${{COMP_WORDS[COMP_CWORD]}}"))
+}}
+complete -F _catlas catlas"""
+
+
 def _record(args: argparse.Namespace, kind: str) -> dict[str, Any]:
     names = {"connection": ("engine", "host", "port", "database", "auth", "username", "driver"), "backend": ("provider", "model", "base_url"), "profile": ("connection", "backend", "output_format")}[kind]
     out = {("output" if n == "output_format" else n): getattr(args, n) for n in names if getattr(args, n)}
@@ -196,6 +227,8 @@ def main(argv: list[str] | None = None) -> int:
         format_ = c.value("output", args.output)
         if args.command == "version":
             text = VERSION
+        elif args.command == "completion":
+            text = completion(args.shell)
         elif args.command == "config":
             text = settings(args, c, format_)
         elif args.command == "index":

@@ -3,6 +3,7 @@
 import dataclasses
 import json
 import sqlite3
+import subprocess
 import sys
 
 import pytest
@@ -198,3 +199,16 @@ def test_unreachable_servers_are_stored_with_a_warning(tmp_path, monkeypatch, ca
     assert run("connection", "show", "far") == 0 and "timed out" in caplog.text
     assert run("connection", "add", "no", "--engine", "postgres", "--host", "no", "--auth", "scram", "--username", "u") == output.AUTH
     assert run("connection", "show", "no") == output.NOT_FOUND
+
+
+def test_completion_offers_what_may_follow(tmp_path, capsys):
+    assert cli.main(["--no-input", "--config", str(tmp_path / "c.json"), "completion", "bash"]) == 0
+    script = tmp_path / "complete.sh"
+    script.write_text(capsys.readouterr().out + '\nCOMP_WORDS=("$@"); COMP_CWORD=$(($# - 1)); _catlas; printf "%s\\n" "${COMPREPLY[@]}"\n')
+
+    def offered(*typed):
+        return subprocess.run(["bash", str(script), "catlas", *typed], capture_output=True, text=True, check=True).stdout.split()
+
+    assert offered("conn") == ["connection"] and offered("connection", "re") == ["remove"]
+    assert "--host" in offered("connection", "add", "--") and offered("index", "--dr") == ["--dry-run"]
+    assert offered("completion", "z") == ["zsh"] and "--no-input" in offered("--")
