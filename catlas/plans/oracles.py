@@ -220,7 +220,7 @@ SELECT DISTINCT o.key, body FROM objects o JOIN said ON contains(lower(line), lo
         "objects",
         "bodies",
     ),
-    "server_health": """
+    "server_health": r"""
 WITH r AS (
   SELECT s_suppkey AS server, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey % 2 = 0 END AS seen, floor(s_acctbal / 100) / 4 AS gb,
          CASE WHEN s_nationkey % 5 = 0 THEN 'memory is Low' ELSE 'memory is fine' END AS state, s_suppkey % 11 = 0 AS low, s_suppkey % 9 AS waiting FROM supplier),
