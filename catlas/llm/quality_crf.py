@@ -2,9 +2,11 @@
 
 Every line is good (1) or bad (0). A line's features are its own statistics and
 those of the lines before and after it; a transition score ties neighbouring
-labels. Training lines take their document's label. A document's score is the
-length-weighted mean of its lines' forward-backward marginals, put through a
-logistic calibration fitted on the training documents.
+labels. Only documents have labels, so those of training lines are estimated: they
+begin as their document's, and an expectation step, in which that label is
+evidence for each line, then takes turns with the fit of the field. A document's
+score is the length-weighted mean of its lines' forward-backward marginals, put
+through a logistic calibration fitted on the training documents.
 
 Training uses at most MAX_TRAINING labelled documents of a label and
 MAX_TRAINING_BYTES of their texts, the first by a fixed pseudo-random key; scoring is one pass over every whole text.
@@ -118,6 +120,11 @@ def marginals(emit: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> tuple[
     return np.exp(both[:, 1] - total), pairs
 
 
+def _expected(advantage: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """marginals, from each line's advantage of the good label."""
+    return marginals(np.column_stack([-advantage / 2, advantage / 2]), trans.reshape(2, 2), counts)
+
+
 @dataclass
 class LineField:
     """weights: one per feature, the good label's advantage; trans: 2 x 2; scale, shift: of the calibration."""
@@ -129,8 +136,7 @@ class LineField:
 
     def lines(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """P(good) of each line."""
-        advantage = features @ self.weights
-        return marginals(np.column_stack([-advantage / 2, advantage / 2]), self.trans, counts)[0]
+        return _expected(features @ self.weights, self.trans, counts)[0]
 
     def raw(self, features: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
         good = self.lines(features, counts)
@@ -150,12 +156,24 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 1e-5, stands_for: tuple[float, float] = (1.0, 1.0)) -> LineField:
-    """Maximise the conditional likelihood of the lines' labels by Adam.
+#: Rounds of estimating the lines' labels, and gradient steps of each (the first round takes FIRST_STEPS).
+ROUNDS, FIRST_STEPS, STEPS = 4, 120, 60
+#: Log odds that a document's label gives to each of its lines in an expectation step.
+DOCUMENT_ODDS = 2.0
+#: Penalties on the squares of feature weights and of transitions. Most documents have lines of one label only; unless
+#: transitions are held back they rule out any change of label.
+L2, L2_TRANS = 1e-5, 1e-2
+
 
-    Both labels weigh alike in training, the calibration restores their shares:
-    there each text of label y counts as the `stands_for[y]` it was drawn from.
-    Without documents of both labels every text scores the one label's share.
+def fit(texts: list[str], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> LineField:
+    """Maximise the conditional likelihood of the lines' estimated labels by Adam, in rounds.
+
+    The first round takes lines by themselves, without transitions, and labels
+    them as their documents; each later one fits the whole field to the marginals
+    of lines and of pairs under the last field and the documents' labels. Both
+    labels weigh alike in training, the calibration restores their shares: there
+    each text of label y counts as the `stands_for[y]` it was drawn from. Without
+    documents of both labels every text scores the one label's share.
     """
     labels_ = np.asarray(labels)
     if len(set(labels)) < 2:
@@ -166,20 +184,19 @@ def fit(texts: list[str], labels: list[int], steps: int = 200, l2: float = 1e-5,
     # each text weighs alike however many lines it has, and each label alike
     text_weight = np.where(labels_ == 1, 0.5 / (labels_ == 1).sum(), 0.5 / (labels_ == 0).sum())
     weight = np.repeat(text_weight / counts, counts)
-    first = np.zeros(len(y), dtype=bool)
-    first[np.concatenate([[0], np.cumsum(counts)[:-1]])] = True
-    seen = np.zeros((len(y), 2, 2))
-    inner = np.flatnonzero(~first)
-    seen[inner, y[inner - 1], y[inner]] = 1
+    label, pair = y.astype(float), None
     parameters = np.zeros(features.shape[1] + 4)
-    m, v = np.zeros_like(parameters), np.zeros_like(parameters)
-    for step in range(1, steps + 1):
-        w, trans = parameters[:-4], parameters[-4:].reshape(2, 2)
-        advantage = features @ w
-        good, pairs = marginals(np.column_stack([-advantage / 2, advantage / 2]), trans, counts)
-        grad = np.concatenate([features.T @ ((y - good) * weight), ((seen - pairs) * weight[:, None, None]).sum(0).ravel()]) - l2 * parameters
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        parameters = parameters + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    penalty = np.append(np.full(features.shape[1], L2), np.full(4, L2_TRANS))
+    for turn in range(ROUNDS):
+        m, v = np.zeros_like(parameters), np.zeros_like(parameters)
+        for step in range(1, (STEPS if turn else FIRST_STEPS) + 1):
+            good, pairs = _expected(features @ parameters[:-4], parameters[-4:], counts)
+            tied = np.zeros(4) if pair is None else ((pair - pairs) * weight[:, None, None]).sum(0).ravel()
+            grad = np.concatenate([features.T @ ((label - good) * weight), tied]) - penalty * parameters
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            parameters = parameters + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        if turn < ROUNDS - 1:
+            label, pair = _expected(features @ parameters[:-4] + DOCUMENT_ODDS * (2 * y - 1), parameters[-4:], counts)
     field = LineField(parameters[:-4], parameters[-4:].reshape(2, 2))
     x = _logit(field.raw(features, size, counts))
     scale, shift = 1.0, 0.0

@@ -47,6 +47,22 @@ def test_held_out_accuracy(spark):
     assert sum((r["s"] >= 0.3) == (r["quality"] == 1) for r in rows) >= 0.95 * len(rows)
 
 
+def test_lines_of_glued_documents_are_told_apart(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality_crf.train(docs, labels)
+    rows = docs.join(labels, "doc_id").filter(quality_crf.held_out(F.col("doc_id")) & F.col("text").contains("\n")).orderBy("doc_id").select("text", "quality").collect()
+    good, bad = ([r["text"] for r in rows if r["quality"] == y] for y in (1, 0))
+    right = lines = both = 0
+    for g, b in [pair for k in range(len(bad)) for pair in ((good[k], bad[k]), (bad[k], good[k]))]:
+        features, _, counts = quality_crf.line_features([f"{g}\n{b}"])
+        p = model.lines(features, counts)
+        want = np.repeat([g in good, b in good], [g.count("\n") + 1, b.count("\n") + 1])
+        right, lines = right + ((p > 0.5) == want).sum(), lines + len(want)
+        both += p.min() < 0.5 < p.max()
+    assert len(bad) >= 5 and right >= 0.85 * lines and both >= 0.8 * 2 * len(bad)
+    assert model.trans[0, 0] + model.trans[1, 1] > model.trans[0, 1] + model.trans[1, 0]  # neighbours still agree rather than not
+
+
 def test_scores_of_odd_rows(spark):
     schema = "doc_id long, text string, score string, __y int"
     docs = spark.createDataFrame([(1, "Good words here.", "a", 1), (2, None, "a", 1), (3, "", "a", 1), (None, "### ###", "a", 1), (4, " \n ", "a", 1)], schema)
