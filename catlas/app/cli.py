@@ -14,6 +14,7 @@ from pathlib import Path
 from typing import Any
 
 from catlas.app import cache, config, doctor, output
+from catlas.app.terminal import Terminal
 from catlas.operators import health, planning
 from catlas.plans import build as B
 from catlas.sources import guarded, postgres, sqlserver
@@ -22,6 +23,8 @@ from catlas.sources.tables import Tables
 log = logging.getLogger("catlas")
 
 VERSION = "0.1.0"
+#: How doctor's lines are coloured at a terminal.
+RESULTS = {"ok": "green", "failed": "red", "skipped": "gray"}
 PROBE = 'Answer with the JSON object {"objects": []} and nothing else.'
 
 
@@ -41,15 +44,16 @@ def open_source(record: dict[str, Any], secret: str) -> B.Source:
     return postgres.Postgres(read) if record["engine"] == "postgres" else sqlserver.SqlServer(read)
 
 
-def describer(record: dict[str, Any]) -> Callable[[str], dict]:
-    """provider command: a program that reads a prompt and writes the JSON reply; http: a URL that takes {"prompt"} and gives {"reply", ...usage}."""
+def describer(record: dict[str, Any], secret: str = "") -> Callable[[str], dict]:
+    """provider command: a program that reads a prompt and writes the JSON reply; http: a URL that takes {"prompt"} and gives {"reply", ...usage}, and a secret as its bearer token."""
+    headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {secret}"} if secret else {})}
     if record["provider"] == "command":
         return lambda prompt: {"reply": subprocess.run(record["model"], shell=False, input=prompt, capture_output=True, text=True, check=True, timeout=300).stdout}
 
     def post(prompt: str) -> dict:
         from urllib.request import Request, urlopen
 
-        with urlopen(Request(record["base_url"], json.dumps({"prompt": prompt}).encode(), {"Content-Type": "application/json"}), timeout=300) as r:
+        with urlopen(Request(record["base_url"], json.dumps({"prompt": prompt}).encode(), headers), timeout=300) as r:
             return json.loads(r.read())
 
     return post
@@ -62,7 +66,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", "-o", default="")
     p.add_argument("--quiet", action="store_true")
     p.add_argument("--force", action="store_true")
-    p.add_argument("--no-input", action="store_true", help="never ask; no command does, so scripts may always give it")
+    p.add_argument("--no-input", action="store_true", help="never ask for a secret")
+    p.add_argument("--allow-plaintext", action="store_true", help="keep secrets in a file that only its owner may read, beside the configuration")
     sub = p.add_subparsers(dest="command", required=True)
     index = sub.add_parser("index", help="bring an index up to date with a database")
     index.add_argument("connection", nargs="?", default="")
@@ -84,6 +89,7 @@ def parser() -> argparse.ArgumentParser:
             add.add_argument(f"--{f}", default="")
         if kind != "profile":
             add.add_argument("--no-verify", action="store_true", help="store it without trying it")
+            add.add_argument("--password-stdin" if kind == "connection" else "--api-key-stdin", dest="piped", action="store_true", help="read the secret from the input and keep it")
         for act in ("show", "remove", *(("switch",) if kind == "profile" else ())):
             acts.add_parser(act).add_argument("name")
         acts.add_parser("list")
@@ -137,32 +143,63 @@ def _record(args: argparse.Namespace, kind: str) -> dict[str, Any]:
     return out
 
 
-def verify(kind: str, name: str, record: dict[str, Any]) -> None:
+def stored(args: argparse.Namespace, c: config.Config) -> config.Secrets:
+    fallback = "plaintext" if args.allow_plaintext else c.value("secrets.fallback")
+    return config.Secrets(Path(args.config).with_name(".catlas-secrets.json"), fallback)
+
+
+def obtain(args: argparse.Namespace, record: dict[str, Any], known: config.Secrets, terminal: Terminal) -> str:
+    """A secret that is new and to be kept: piped in, or typed where one is needed, none is known and it may be kept; else an empty text."""
+    needed = args.command == "connection" and record["auth"] not in config.SECRETLESS
+    flag = "--password-stdin" if args.command == "connection" else "--api-key-stdin"
+    if args.piped:
+        value = terminal.piped()
+        if not value:
+            raise config.Invalid(flag, "", "nothing arrived on the input")
+    elif needed and known.kept and terminal.can_ask and not known.find(args.command, args.name):
+        value = terminal.secret("password")
+        if not value:
+            raise config.Invalid("password", "", f"must not be empty; type it, use {flag} or set {config.secret_name(args.command, args.name)}")
+    else:
+        return ""
+    if not known.kept:
+        known.keep(args.command, args.name, value)  # says what would allow it
+    return value
+
+
+def verify(kind: str, name: str, record: dict[str, Any], known: config.Secrets) -> None:
     """Raise unless a connection answers a guarded read, or a backend one small question with JSON.
 
     A server that can't be reached just now is warned of and may be stored; one that
     refuses the login, the database or the certificate has decided.
     """
     if kind == "backend":
-        json.loads(describer(record)(PROBE)["reply"])
+        json.loads(describer(record, known.find(kind, name))(PROBE)["reply"])
         return
-    _, error = doctor.run(name, record, open_source, dict(os.environ))
+    _, error = doctor.run(name, record, open_source, known)
     if isinstance(error, guarded.ConnectError) and error.kind == "unavailable":
         log.warning("%s was not reached: %s", name, error)
     elif error and not isinstance(error, health.Unhealthy):  # a busy server is there all the same
         raise error
 
 
-def entries(args: argparse.Namespace, c: config.Config, format_: str) -> str:
-    kind = args.command
+def entries(args: argparse.Namespace, c: config.Config, format_: str, terminal: Terminal) -> str:
+    kind, known = args.command, stored(args, c)
     if args.act == "add":
-        c.add(kind, args.name, _record(args, kind))
+        record = _record(args, kind)
+        c.add(kind, args.name, record)
+        new = obtain(args, record, known, terminal) if kind != "profile" else ""
         if kind != "profile" and not args.no_verify:
-            verify(kind, args.name, c.get(kind, args.name))
+            # what was just given is tried, and kept only if it isn't refused
+            key = config.secret_name(kind, args.name)
+            verify(kind, args.name, record, config.Secrets(known.path, env={**known.env, key: new}) if new else known)
+        if new:
+            known.keep(kind, args.name, new)
         c.save()
     elif args.act == "remove":
         c.remove(kind, args.name, args.force)
         c.save()
+        known.forget(kind, args.name)
     elif args.act == "switch":
         c.set("current_profile", args.name)
         c.save()
@@ -204,10 +241,12 @@ def index(args: argparse.Namespace, c: config.Config, format_: str) -> tuple[str
     record = c.get("connection", name)
     database = args.db or record.get("database", "") or "main"
     backend = c.get("backend", args.backend or profile.get("backend", "")) if not args.dry_run else None
-    secret = "" if record["auth"] in config.SECRETLESS else config.secret("connection", name)
+    known = stored(args, c)
+    secret = "" if record["auth"] in config.SECRETLESS else known.get("connection", name)
+    told = describer(backend, known.find("backend", args.backend or profile.get("backend", ""))) if backend else None
     o = B.Options(name, database, record["engine"], args.out, args.match, args.limit, args.samples, args.force, args.dry_run, store=args.store, answers=args.answers, now=datetime.now(timezone.utc))
     spent: dict[str, float] = {}
-    ask = (lambda prompt: {}) if not backend else cache.retried(describer(backend)) if o.answers else cache.cached(cache.retried(cache.metered(describer(backend), spent)), Path(args.config).parent / ".catlas-answers")
+    ask = (lambda prompt: {}) if not told else cache.retried(told) if o.answers else cache.cached(cache.retried(cache.metered(told, spent)), Path(args.config).parent / ".catlas-answers")
     summary = B.build(session(), open_source({**record, "database": database}, secret), ask, o)
     summary.usage = summary.usage if o.answers else spent
     try:
@@ -222,6 +261,7 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(stream=sys.stderr, level=logging.ERROR if args.quiet else logging.INFO, format="%(message)s")
     logging.getLogger("py4j").setLevel(logging.ERROR)
     error: BaseException | None = None
+    terminal = Terminal(args.no_input)
     try:
         c = config.Config.load(args.config)
         format_ = c.value("output", args.output)
@@ -235,10 +275,12 @@ def main(argv: list[str] | None = None) -> int:
             text, error = index(args, c, format_)
         elif args.command == "doctor":
             name = args.connection or c.entries["profile"].get(c.value("current_profile", args.profile), {}).get("connection", "")
-            rows, error = doctor.run(name, c.get("connection", name), open_source, dict(os.environ))
+            rows, error = doctor.run(name, c.get("connection", name), open_source, stored(args, c))
             text = output.table(["check", "result", "detail"], [list(r) for r in rows], format_)
+            if format_ == "table":
+                text = "\n".join([terminal.paint("bold", (lines := text.split("\n"))[0]), *[terminal.paint(RESULTS[r[1]], line) for r, line in zip(rows, lines[1:], strict=True)]])
         else:
-            text = entries(args, c, format_)
+            text = entries(args, c, format_, terminal)
         print(text)
     except (Exception, KeyboardInterrupt) as e:
         error = e

@@ -143,9 +143,50 @@ def secret_name(kind: str, name: str) -> str:
     return "CATLAS_" + re.sub(r"[^A-Z0-9]", "_", f"{kind}_{name}_SECRET".upper())
 
 
+class Secrets:
+    """Secrets by connection or backend: from the environment, else from a file for its owner's eyes only.
+
+    The file lies beside the configuration and is read and written only where
+    the fallback is `plaintext`; without that nothing is kept. It is the only
+    store, so a secret that may not be kept has to come from the environment.
+    """
+
+    def __init__(self, path: str | Path, fallback: str = "never", env: Mapping[str, str] = os.environ) -> None:
+        self.path, self.kept, self.env = Path(path), fallback == "plaintext", env
+
+    def _read(self) -> dict[str, str]:
+        return json.loads(self.path.read_text(encoding="utf-8")) if self.kept and self.path.exists() else {}
+
+    def _write(self, found: dict[str, str]) -> None:
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+        part = self.path.with_name(self.path.name + ".part")
+        part.unlink(missing_ok=True)  # touch gives its mode to new files only
+        part.touch(mode=0o600)
+        part.write_text(json.dumps(found, indent=1, sort_keys=True), encoding="utf-8")
+        part.replace(self.path)
+
+    def find(self, kind: str, name: str) -> str:
+        """The secret, or an empty text."""
+        key = secret_name(kind, name)
+        return self.env.get(key) or self._read().get(key, "")
+
+    def get(self, kind: str, name: str) -> str:
+        found = self.find(kind, name)
+        if not found:
+            raise NotFound(f"no secret in {secret_name(kind, name)}" + (f" nor in {self.path}" if self.kept else ""))
+        return found
+
+    def keep(self, kind: str, name: str, value: str) -> None:
+        if not self.kept:
+            raise Invalid("secrets.fallback", "never", f"a secret is kept only with --allow-plaintext; else put it into {secret_name(kind, name)}")
+        self._write({**self._read(), secret_name(kind, name): value})
+
+    def forget(self, kind: str, name: str) -> None:
+        found = self._read()
+        if found.pop(secret_name(kind, name), None) is not None:
+            self._write(found)
+
+
 def secret(kind: str, name: str, env: Mapping[str, str] = os.environ) -> str:
-    """A secret from the environment, the only store this engine reads."""
-    key = secret_name(kind, name)
-    if not env.get(key):
-        raise NotFound(f"no secret in {key}")
-    return env[key]
+    """A secret from the environment alone."""
+    return Secrets(os.devnull, env=env).get(kind, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from catlas.app import config as C
@@ -11,10 +11,10 @@ from catlas.operators import health
 CHECKS = ("credential", "connection", "auth", "read-only", "health")
 
 
-def run(name: str, record: dict[str, Any], open_: Callable[[dict[str, Any], str], Any], env: dict[str, str]) -> tuple[list[tuple[str, str, str]], BaseException | None]:
+def run(name: str, record: dict[str, Any], open_: Callable[[dict[str, Any], str], Any], secrets: Mapping[str, str] | C.Secrets) -> tuple[list[tuple[str, str, str]], BaseException | None]:
     """((check, ok/failed/skipped, detail) in order, the first error).
 
-    `open_` makes a source of a record and a secret; reading its health shows
+    `secrets` is an environment or what also knows a file. `open_` makes a source of a record and a secret; reading its health shows
     that the login and a read are accepted.
     """
     got: dict[str, Any] = {"secret": ""}
@@ -22,8 +22,10 @@ def run(name: str, record: dict[str, Any], open_: Callable[[dict[str, Any], str]
     def credential() -> str:
         if record["auth"] in C.SECRETLESS:
             return f"{record['auth']} needs no stored secret"
-        got["secret"] = C.secret("connection", name, env)
-        return f"found in {C.secret_name('connection', name)}"
+        known = secrets if isinstance(secrets, C.Secrets) else C.Secrets("", env=secrets)
+        got["secret"] = known.get("connection", name)
+        key = C.secret_name("connection", name)
+        return f"found in {key}" if known.env.get(key) else f"found in {known.path}"
 
     def connection() -> str:
         got["source"] = open_(record, got["secret"])
