@@ -433,3 +433,17 @@ def test_pipeline_runs_on_test_tables(spark):
     assert sum(quality[i] for i in quality if i in good) >= 0.98 * sum(quality.values())
     rows = P.run(spark, data).collect()
     assert rows and {r["shard"] for r in rows} <= set(range(P.SHARDS)) and {r["doc_id"] for r in rows} <= good
+
+
+def test_links_just_over_the_threshold_are_found(spark):
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, want = [], {}
+    for i in range(1600):
+        text, k = [word() for _ in range(100)], 8 + i % 4  # of 96 runs of five words, 96 - k are shared by both texts
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:-k] + [word() for _ in range(k)]))]
+        want[2 * i] = want[2 * i + 1] = int((96 - k) / (96 + k) >= 0.8)
+    got = {r["id"]: r["n_links"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want.values()) == 2 * 1200 and not any(got[i] for i in want if not want[i])
+    found = sum(got[i] for i in want if want[i])  # each link is seen from both of its texts
+    assert found >= 0.999 * 2 * 1200
