@@ -125,10 +125,13 @@ def sqlserver_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def module_catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog lines of views, procedures, functions and synonyms: columns, parameters, what is returned, targets."""
+    """Catalog lines of views, procedures, functions and synonyms: columns, parameters, what is returned, targets.
+
+    Parameters of one number stand as their rows do in the table.
+    """
     none = lambda schema: spark.createDataFrame([], schema)
     objects = view(spark, sf_dir, "objects").filter("kind <> 'table'").select("schema", "name", "kind", "rows", "kb", "triggers", "modified", "key", "pk")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("concat('app', l_partkey % 7, '.obj', l_partkey) as key", "l_orderkey * 10 + l_linenumber as ord", "if(l_linenumber = 1, '(returns)', concat('@p', l_linenumber)) as name", "if(l_linenumber = 2, 'text', 'int') as type", "l_returnflag = 'R' as output")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("concat('app', l_partkey % 7, '.obj', l_partkey) as key", "struct(l_orderkey * 10 + l_linenumber as num, _metadata.file_path as file, _metadata.row_index as row) as ord", "if(l_linenumber = 1, '(returns)', concat('@p', l_linenumber)) as name", "if(l_linenumber = 2, 'text', 'int') as type", "l_returnflag = 'R' as output")
     targets = objects.select("key", F.concat(F.lit("app0.obj"), F.col("pk").cast("string")).alias("target")).filter("pk % 11 = 3")
     bodies = objects.select("key", F.concat(F.lit("as\r\n "), F.col("name"), F.lit("\t \n")).alias("definition"))
     columns = view(spark, sf_dir, "columns")
