@@ -8,15 +8,15 @@ it grows, so that a statistic which hardly varies among good rows still isolates
 what lies far off. (Grown on rows of both labels, within their own range, it
 tells few bad rows from good ones: they are too many to be isolated.)
 
-Labelled rows come in two halves: one grows the forest, the other, which it has
-not seen, gives the threshold. Both use at most MAX_TRAINING rows of each label,
-the first by a fixed pseudo-random key, of which only statistics come to the
-driver; statistics and scores are of every whole text.
+Labelled rows come in two halves by a fixed pseudo-random bit: one grows the
+forest, the other, which it has not seen, gives the threshold. All of them count:
+the trees' cuts are drawn from the range alone, tasks count every growing row at
+every node, and the threshold is an exact rank among all scores of the other
+half. Only counts by node and by bin come to the driver, whatever the rows are.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -27,10 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_key
+from .common import materialize, shuffle_key
 
-MAX_TRAINING = 2000
-TREES, SUBSAMPLE = 200, 256
+TREES, DEPTH = 200, 8
+#: Bins of one round that looks for a rank.
+BINS = 1024
 #: Share of labelled good rows that the threshold may reject.
 FALSE_REJECTS = 0.005
 SYMBOLS = "#*$%&|<>"
@@ -122,30 +123,54 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
 
-def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 1) -> Forest:
-    """Trees over subsamples of `rows`; each split cuts its node's box, the root's being low to high."""
+def draw(low: np.ndarray, high: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> Forest:
+    """Whole trees of random cuts, the children of node i at 2i + 1 and 2i + 2; each cuts its node's box, the root's being low to high."""
     random = np.random.default_rng(seed)
-    subsample = min(subsample, len(rows))
-    depth = max(1, int(np.ceil(np.log2(max(subsample, 2)))))
-    shape = (trees, 2 ** (depth + 1))
-    feature, cut, left, path = np.full(shape, -1), np.zeros(shape), np.zeros(shape, dtype=np.int64), np.zeros(shape)
+    shape = (trees, 2 ** (depth + 1) - 1)
+    feature, cut, path = np.full(shape, -1), np.zeros(shape), np.zeros(shape)
+    left = np.tile(2 * np.arange(shape[1]) + 1, (trees, 1))
     for t in range(trees):
-        todo, used = [(0, rows[random.choice(len(rows), subsample, replace=False)], low, high, 0)], 1
+        todo = [(0, low, high, 0)]
         while todo:
-            node, some, least, most, level = todo.pop()
+            node, least, most, level = todo.pop()
             wide = np.flatnonzero(most > least)
-            if level >= depth or len(some) < 2 or not len(wide):
-                path[t, node] = level + _c(np.array([len(some)]))[0]
+            if level >= depth or not len(wide):
                 continue
             f = random.choice(wide)
             at = random.uniform(least[f], most[f])
-            right = some[:, f] >= at
-            feature[t, node], cut[t, node], left[t, node] = f, at, used
+            feature[t, node], cut[t, node] = f, at
             upper, lower = most.copy(), least.copy()
             upper[f] = lower[f] = at
-            todo += [(used, some[~right], least, upper, level + 1), (used + 1, some[right], lower, most, level + 1)]
-            used += 2
-    return Forest(feature, cut, left, path, float(_c(np.array([subsample]))[0]) or 1.0)
+            todo += [(2 * node + 1, least, upper, level + 1), (2 * node + 2, lower, most, level + 1)]
+    return Forest(feature, cut, left, path, 1.0)
+
+
+def visits(forest: Forest, rows: np.ndarray) -> np.ndarray:
+    """How many of the rows pass each node of each tree."""
+    out = np.zeros(forest.feature.shape, dtype=np.int64)
+    for t in range(len(out)):
+        at, some = np.zeros(len(rows), dtype=np.int64), rows
+        while len(at):
+            out[t] += np.bincount(at, minlength=out.shape[1])
+            inner = forest.feature[t, at] >= 0
+            at, some = at[inner], some[inner]
+            at = forest.left[t, at] + (some[np.arange(len(at)), forest.feature[t, at]] >= forest.cut[t, at])
+    return out
+
+
+def settle(forest: Forest, counts: np.ndarray) -> Forest:
+    """Nodes of fewer than two rows become leaves; a leaf's path is its level and what its rows would still take."""
+    forest.feature = np.where(counts < 2, -1, forest.feature)
+    level = np.floor(np.log2(np.arange(counts.shape[1]) + 1))
+    forest.path = level + _c(counts)
+    forest.norm = float(_c(counts[:1, 0])[0]) or 1.0
+    return forest
+
+
+def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> Forest:
+    """Trees over all rows at hand."""
+    forest = draw(low, high, trees, depth, seed)
+    return settle(forest, visits(forest, rows))
 
 
 def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, false_rejects: float = FALSE_REJECTS) -> Forest:
@@ -160,35 +185,77 @@ def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, false_rejects:
     return forest
 
 
-def train(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest | None:
-    """A calibrated forest, or None without good rows that pass the base rules: then they alone decide.
+def grow_from(rows: DataFrame, low: np.ndarray, high: np.ndarray) -> Forest:
+    """As `grow`, over a frame's `features`; each task adds up its rows, the driver gets a count per node."""
+    forest = draw(low, high)
 
-    Of repeated ids the least text counts, of repeated labels the least; null
-    ids and labels other than 0 and 1 are not learnt from.
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(forest.feature.shape, dtype=np.int64)
+        for part in parts:
+            if len(part):
+                total += visits(forest, np.stack(part["features"].to_numpy()))
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"node": seen, "n": total.ravel()[seen]})
+
+    counts = np.zeros(forest.feature.size, dtype=np.int64)
+    for r in rows.select("features").mapInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect():
+        counts[r["node"]] = r["n"]
+    return settle(forest, counts.reshape(forest.feature.shape))
+
+
+def ranked(scores: DataFrame, rank: int) -> float:
+    """The value at 0-based `rank` in the order of `s`, exactly: counts by bin, then within the bin that holds it, until that is one value."""
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        inside = scores.filter(F.col("s").between(low, high))
+        at = F.least(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        for r in sorted(inside.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).collect(), key=lambda r: r["bin"]):
+            if rank < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return low
+
+
+def calibrate_from(forest: Forest, good: DataFrame, bad: DataFrame, n_good: int, false_rejects: float = FALSE_REJECTS) -> Forest:
+    """As `calibrate`, over frames with `features`."""
+
+    @F.pandas_udf("double")
+    def score(features: pd.Series) -> pd.Series:
+        return pd.Series(forest.score(np.stack(features.to_numpy())) if len(features) else [], dtype="float64")
+
+    scores = materialize(good.select(F.lit(1).alias("y"), score("features").alias("s")).unionByName(bad.select(F.lit(0).alias("y"), score("features").alias("s"))), "forest-scores")
+    forest.threshold = ranked(scores.filter("y = 1"), min(n_good - 1, math.ceil(n_good * (1 - false_rejects)) - 1))
+    above = scores.filter((F.col("y") == 0) & (F.col("s") > forest.threshold)).agg(F.min("s")).first()[0]
+    if above is not None:
+        forest.threshold = (forest.threshold + above) / 2
+    return forest
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest | None:
+    """A calibrated forest of all labelled rows, or None without good rows that pass the base rules: then they alone decide.
+
+    Of repeated ids the text with the least MD5 counts, of repeated labels the
+    least; null ids and labels other than 0 and 1 are not learnt from. Texts are
+    described where they lie; only their features are shuffled.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.min("__y").alias("__y"))
-    picked = []
-    for y in (0, 1):
-        some = known.filter(F.col("__y") == y).withColumn("__key", shuffle_key(F.col("__id"))).orderBy("__key", "__id").limit(max_training)
-        picked += [(r["__id"], r["__y"]) for r in some.collect()]
-    if not picked:
-        return None
-    wanted = docs.sparkSession.createDataFrame(picked, known.schema)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted), "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
-    rows = texts.select("__id", "__y", _described()("__text").alias("d")).select("__id", "__y", "d.*").collect()
-    rows.sort(key=lambda r: hashlib.md5(str(r["__id"]).encode()).digest())
-    held: dict[int, list] = {0: [], 1: []}
-    for r in rows:
-        if not r["failed"]:
-            held[r["__y"]].append(r["features"])
-    if not held[1]:
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null and __text is not null")
+    told = texts.select("__id", F.md5(F.col("__text").cast("binary")).alias("__digest"), _described()("__text").alias("d"))
+    one = told.join(known, "__id").groupBy("__id", "__y").agg(F.min_by("d", "__digest").alias("d"))
+    half = F.substring(shuffle_key(F.col("__id")), 1, 1).isin(*"02468ace")
+    rows = materialize(one.filter("not d.failed").select("__y", half.alias("__grows"), "d.features"), "labelled")
+    at = [F.col("features")[i] for i in range(4)]
+    seen = {(r["__y"], r["__grows"]): r for r in rows.groupBy("__y", "__grows").agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.min, at)).alias("low"), F.array(*map(F.max, at)).alias("high")).collect()}
+    # A label without rows in one half has all its rows in both.
+    split = {y: (y, True) in seen and (y, False) in seen for y in (0, 1)}
+    part = lambda y, grows: rows.filter((F.col("__y") == y) & ((F.col("__grows") == grows) if split[y] else F.lit(True)))
+    held = lambda y, grows: [r for (label, own), r in seen.items() if label == y and (own == grows or not split[y])]
+    if not held(1, True):
         return None
-    good, bad = np.array(held[1]), np.array(held[0]).reshape(-1, len(held[1][0]))
-    # Every other row of each label; a label of one row has it in both halves.
-    growing = [x[::2] for x in (good, bad)]
-    unseen = [x[1::2] if len(x) > 1 else x for x in (good, bad)]
-    every = np.concatenate(growing)
-    return calibrate(grow(growing[0], every.min(axis=0), every.max(axis=0)), *unseen)
+    growing = held(1, True) + held(0, True)
+    low, high = np.min([r["low"] for r in growing], axis=0), np.max([r["high"] for r in growing], axis=0)
+    return calibrate_from(grow_from(part(1, True), low, high), part(1, False), part(0, False), sum(r["n"] for r in held(1, False)))
 
 
 def _described():
