@@ -12,7 +12,7 @@ from catlas.operators import catalogs, describing, fetching, health, planning, r
 from catlas.plans import oracles, queries
 from catlas.plans.workload import view, with_views
 from catlas.sources import postgres, sqlserver, tree
-from catlas.storage import shared_dir
+from catlas.storage import materialize, shared_dir
 
 
 class Frames:
@@ -203,7 +203,8 @@ def written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a store serves after two pulls, of all tables and then of some under a new signal."""
     kept = fetching.Store(spark, f"{shared_dir(spark)}/store")
-    entries = queries._entries(spark, sf_dir).withColumn("counts", F.create_map(F.lit("email"), (F.col("pk") % 5).cast("int"), F.lit("password"), F.lit(1)))
+    counts = F.create_map(F.lit("email"), (F.col("pk") % 5).cast("int"), F.lit("password"), F.lit(1))
+    entries = materialize(queries._entries(spark, sf_dir).select("key", "pk", "modified", "structure", counts.alias("counts")), "entries")  # folded once, read by both pulls
     kept.add(entries)
     kept.add(entries.filter("pk % 3 = 0").withColumn("modified", F.lit("2027-01-01")))
     return kept.read().select("key", "signal", F.size("structure.columns").cast("long").alias("n_columns"), F.col("counts")["email"].cast("long").alias("emails"))

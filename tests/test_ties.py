@@ -1,4 +1,4 @@
-"""Rows that an order leaves open stand as they do in the table, as SQL on one thread gives them."""
+"""Rows that an order leaves open stand as they do in the table, as SQL on one thread gives them; stored structures are folded once."""
 
 import duckdb
 import pytest
@@ -18,3 +18,10 @@ def test_parameters_of_one_number(spark, tmp_path, flags):
     [(_, _, want)] = con.execute(catalog_queries.ORACLE_SQL["module_catalog_rows"]).fetchall()
     [got] = catalog_queries.module_catalog_rows(spark, str(tmp_path)).collect()
     assert got["line"] == want and ("@p3 int out, @p3 int" in want) == (flags == "RN")
+
+
+def test_pulls_read_structures_that_are_folded_once(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(catalog_queries.fetching.Store, "add", lambda self, entries: read.append(entries.inputFiles()))
+    catalog_queries.stored_structures(spark, "/root/testdata/sf0.001")
+    assert len(read) == 2 and not any("lineitem" in f for files in read for f in files)
