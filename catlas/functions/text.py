@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The Unicode white space set, digest length, caps and units.
 SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE_IN_LINE = SPACE.replace(r"\n", "")
+#: The same set, character by character.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 DIGEST_CHARS = 16
 MAX_DEFINITION = 50_000
 PROMPT_BODY_CHARS = 16_000
@@ -16,8 +18,12 @@ RETURNS = "(returns)"
 
 
 def trim(c: Column) -> Column:
-    """Strip Unicode white space at both ends; trim() would take spaces only."""
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    """Strip Unicode white space at both ends; trim() would take spaces only, and a pattern would try every character in between."""
+    return F.btrim(c, F.lit(SPACES))
+
+
+def trim_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def digest(c: Column) -> Column:

@@ -80,7 +80,7 @@ def column_file(kind: Column, key: Column, fingerprint: Column, rows: Column, kb
         F.array(head),
         F.when(kind == "table", F.array(facts)).otherwise(none),
         F.when(description != "", F.array(F.concat(F.lit("# "), T.cell(description)))).otherwise(none),
-        F.array(F.regexp_replace(table, rf"[{T.SPACE}]+\z", "")),
+        F.array(T.trim_end(table)),
         keys,
         F.transform(structure["indexes"], index),
         F.transform(structure["foreign_keys"], reference),

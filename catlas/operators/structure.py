@@ -1,7 +1,8 @@
 """Folding flat catalog rows, one per column or parameter, into one structure per object.
 
 Every input row carries `ord`, its place in the catalog's order: collect_list
-after a shuffle keeps none.
+after a shuffle keeps none. Rows are shuffled by their object once, as they are:
+lists begun before the shuffle would hold as much and be built twice.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from catlas.schemas import COLUMN, FOREIGN_KEY, INDEX, PARAM
 
 def _listed(value: Column, ord_: str = "ord") -> Column:
     """Values in the order of `ord`."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("ord"), value.alias("value"))))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(ord_).alias("ord"), value.alias("value"))))
     return F.transform(pairs, lambda p: p["value"])
 
 
 def fold_columns(rows: DataFrame) -> DataFrame:
     """(key, ord, name, type, length, nullable, identity, computed) to (key, columns)."""
     value = F.struct("name", "type", "length", "nullable", "identity", "computed")
-    return rows.groupBy("key").agg(_listed(value).alias("columns"))
+    return rows.repartition("key").groupBy("key").agg(_listed(value).alias("columns"))
 
 
 def fold_indexes(rows: DataFrame) -> DataFrame:
@@ -30,9 +31,15 @@ def fold_indexes(rows: DataFrame) -> DataFrame:
     Indexes stand in the order of their first rows. The first primary one gives
     the key; further primary ones are kept as indexes.
     """
-    each = rows.groupBy("key", "index").agg(F.min("ord").alias("ord"), F.min_by("primary", "ord").alias("primary"), F.min_by("unique", "ord").alias("unique"), _listed(F.col("column")).alias("columns"))
-    value = F.struct("index", "primary", "unique", "columns")
-    listed = each.groupBy("key").agg(_listed(value).alias("all"))
+    rows_of = F.sort_array(F.collect_list(F.struct("index", "ord", "column", "primary", "unique")))
+    sorted_ = rows.repartition("key").groupBy("key").agg(rows_of.alias("rows"))
+    # An index is a run of rows; 1-based places of the runs' first rows, and where the next one begins.
+    row, places = lambda at: F.element_at("rows", at), F.sequence(F.lit(1), F.size("rows"))
+    first = lambda at: (at == 1) | ~row(at)["index"].eqNullSafe(row(F.greatest(at - 1, F.lit(1)))["index"])
+    runs = sorted_.select("key", "rows", F.filter(places, first).alias("starts"))
+    runs = runs.withColumn("ends", F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("rows") + 1)))
+    value = lambda at, end: F.struct(row(at)["ord"].alias("ord"), row(at)["index"].alias("index"), row(at)["primary"].alias("primary"), row(at)["unique"].alias("unique"), F.slice("rows", at, end - at)["column"].alias("columns"))
+    listed = runs.select("key", F.sort_array(F.zip_with("starts", "ends", value)).alias("all"))
     primary = F.filter("all", lambda i: i["primary"])
     lifted = F.when(F.size(primary) > 0, F.element_at(primary, 1)["index"])
     rest = F.filter("all", lambda i: ~i["primary"] | (i["index"] != F.coalesce(lifted, F.lit(""))))
@@ -45,12 +52,12 @@ def fold_indexes(rows: DataFrame) -> DataFrame:
 
 def fold_foreign_keys(rows: DataFrame) -> DataFrame:
     """(key, ord, column, references) to (key, foreign_keys)."""
-    return rows.groupBy("key").agg(_listed(F.struct("column", "references")).alias("foreign_keys"))
+    return rows.repartition("key").groupBy("key").agg(_listed(F.struct("column", "references")).alias("foreign_keys"))
 
 
 def fold_parameters(rows: DataFrame) -> DataFrame:
     """(key, ord, name, type, output) to (key, parameters)."""
-    return rows.groupBy("key").agg(_listed(F.struct("name", "type", "output")).alias("parameters"))
+    return rows.repartition("key").groupBy("key").agg(_listed(F.struct("name", "type", "output")).alias("parameters"))
 
 
 def structures(objects: DataFrame, columns: DataFrame, indexes: DataFrame, foreign_keys: DataFrame, parameters: DataFrame, definitions: DataFrame, targets: DataFrame) -> DataFrame:

@@ -149,3 +149,15 @@ def test_patterns_have_no_surprises():
     for _, pattern, _, _ in redaction.RULES:
         assert "\\b" not in pattern and "\\s" not in pattern
         re.compile(pattern.replace("(?iu)", "(?i)").replace("|\\G", ""))
+
+
+def test_trim_takes_the_set_that_patterns_take(spark):
+    from pyspark.sql import functions as F
+
+    from catlas.functions import text as T
+
+    rows = [(f"{chr(n)}a{chr(n)}b{chr(n)}{chr(n)}",) for n in [*range(1, 0x300), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), 0x3000, 0x3001, 0xFEFF]] + [("",), (" \t",), (None,)]
+    pattern = F.regexp_replace("s", rf"\A[{T.SPACE}]+|[{T.SPACE}]+\z", "")
+    ends = F.regexp_replace("s", rf"[{T.SPACE}]+\z", "")
+    df = spark.createDataFrame(rows, "s string")
+    assert df.filter(~T.trim(F.col("s")).eqNullSafe(pattern) | ~T.trim_end(F.col("s")).eqNullSafe(ends)).count() == 0
