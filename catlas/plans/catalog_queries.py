@@ -189,15 +189,15 @@ def worst_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column and body files as tasks have written them, read back: path below the tree and digest."""
-    root = tree.local_path(shared_dir(spark))
+    shared = shared_dir(spark)
+    root, listed = tree.local_path(f"{shared}/tree"), f"{shared}/listed"
     path = lambda folder, ending: F.array(F.lit(folder), F.concat("key", F.lit(ending)))
     c = F.col
     text = catalogs.body_file(c("key"), F.lit("0123456789abcdef"), F.when(c("doc_id") % 2 == 0, F.lit("2026-01-01")), F.lit("Says\nthings."), c("text"))
     bodies = view(spark, sf_dir, "bodies").select(path("bodies", ".sql").alias("path"), F.lit(0).cast("bigint").alias("part"), text.alias("text"))
     columns = queries.column_files(spark, sf_dir).select(path("columns", ".tsv").alias("path"), F.lit(0).cast("bigint").alias("part"), "text")
-    tree.write(bodies.unionByName(columns), root)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}")
-    return found.select(F.substring_index("path", "/", -2).alias("path"), F.md5("content").alias("file_md5"))
+    tree.write(bodies.unionByName(columns), root, listed)
+    return tree.digests(spark, root, listed)
 
 
 def stored_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
