@@ -1,8 +1,9 @@
 """Folding flat catalog rows, one per column or parameter, into one structure per object.
 
 Every input row carries `ord`, its place in the catalog's order: collect_list
-after a shuffle keeps none. Rows are shuffled by their object once, as they are:
-lists begun before the shuffle would hold as much and be built twice.
+after a shuffle keeps none. Rows are shuffled by their object once, not as lists,
+which would hold as much and be built twice. They are made one value each before
+the shuffle, in compiled code: collect_list interprets what it is given.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from pyspark.sql import functions as F
 from catlas.schemas import COLUMN, FOREIGN_KEY, INDEX, PARAM
 
 
-def _listed(value: Column, ord_: str = "ord") -> Column:
-    """Values in the order of `ord`."""
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(ord_).alias("ord"), value.alias("value"))))
-    return F.transform(pairs, lambda p: p["value"])
+def _gathered(rows: DataFrame, *values: str | Column) -> DataFrame:
+    """(key, rows): a list of the values of each key's rows, sorted."""
+    return rows.select("key", F.struct(*values).alias("row")).repartition("key").groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+
+
+def _listed(rows: DataFrame, name: str, *values: str) -> DataFrame:
+    """(key, name): the values in the order of `ord`."""
+    return _gathered(rows, "ord", F.struct(*values).alias("value")).select("key", F.col("rows")["value"].alias(name))
 
 
 def fold_columns(rows: DataFrame) -> DataFrame:
     """(key, ord, name, type, length, nullable, identity, computed) to (key, columns)."""
-    value = F.struct("name", "type", "length", "nullable", "identity", "computed")
-    return rows.repartition("key").groupBy("key").agg(_listed(value).alias("columns"))
+    return _listed(rows, "columns", "name", "type", "length", "nullable", "identity", "computed")
 
 
 def fold_indexes(rows: DataFrame) -> DataFrame:
@@ -31,8 +35,7 @@ def fold_indexes(rows: DataFrame) -> DataFrame:
     Indexes stand in the order of their first rows. The first primary one gives
     the key; further primary ones are kept as indexes.
     """
-    rows_of = F.sort_array(F.collect_list(F.struct("index", "ord", "column", "primary", "unique")))
-    sorted_ = rows.repartition("key").groupBy("key").agg(rows_of.alias("rows"))
+    sorted_ = _gathered(rows, "index", "ord", "column", "primary", "unique")
     # An index is a run of rows; 1-based places of the runs' first rows, and where the next one begins.
     row, places = lambda at: F.element_at("rows", at), F.sequence(F.lit(1), F.size("rows"))
     first = lambda at: (at == 1) | ~row(at)["index"].eqNullSafe(row(F.greatest(at - 1, F.lit(1)))["index"])
@@ -52,12 +55,12 @@ def fold_indexes(rows: DataFrame) -> DataFrame:
 
 def fold_foreign_keys(rows: DataFrame) -> DataFrame:
     """(key, ord, column, references) to (key, foreign_keys)."""
-    return rows.repartition("key").groupBy("key").agg(_listed(F.struct("column", "references")).alias("foreign_keys"))
+    return _listed(rows, "foreign_keys", "column", "references")
 
 
 def fold_parameters(rows: DataFrame) -> DataFrame:
     """(key, ord, name, type, output) to (key, parameters)."""
-    return rows.repartition("key").groupBy("key").agg(_listed(F.struct("name", "type", "output")).alias("parameters"))
+    return _listed(rows, "parameters", "name", "type", "output")
 
 
 def structures(objects: DataFrame, columns: DataFrame, indexes: DataFrame, foreign_keys: DataFrame, parameters: DataFrame, definitions: DataFrame, targets: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from test_build import Fake, options, teller
 
 from catlas.app import cache
-from catlas.operators import describing, fetching, health, reading
+from catlas.operators import describing, fetching, health, reading, structure
 from catlas.plans import build as B
 from catlas.sources import tree
 from catlas.sources.tables import Tables
@@ -161,6 +161,19 @@ def test_an_entry_under_anothers_key_is_none(spark, tmp_path):
     assert kept.read().count() == 5
 
 
+# Structures
+
+
+def test_folds_gather_values_made_before_the_shuffle(spark):
+    columns = spark.createDataFrame([("k", 2, "b", "int", "", False, False, True), ("k", 1, "a", "int", "", True, True, False), ("j", 1, None, "int", "", True, False, False)], "key string, ord long, name string, type string, length string, nullable boolean, identity boolean, computed boolean")
+    folded = structure.fold_columns(columns)
+    assert {r["key"]: [c["name"] for c in r["columns"]] for r in folded.collect()} == {"k": ["a", "b"], "j": [None]} and folded.schema["columns"].dataType.elementType.names == columns.columns[2:]
+    indexes = spark.createDataFrame([("k", 1, "i", True, True, "c")], "key string, ord long, index string, primary boolean, unique boolean, column string")
+    for rows in (folded, structure.fold_indexes(indexes)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list(row" in plan and "collect_list(struct" not in plan and "collect_list(named_struct" not in plan
+
+
 # Samples
 
 
